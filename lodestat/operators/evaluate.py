@@ -60,7 +60,8 @@ def prf(df: DataFrame, average: str = "auto", positive=1) -> DataFrame:
     """
     per_class = class_metrics(df)
     weighted = [ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")) for m in ("precision", "recall", "f1")]
-    binary = [F.coalesce(F.max(F.when(F.col("class") == F.lit(positive), F.col(m))), F.lit(0.0)) for m in ("precision", "recall", "f1")]
+    wanted = F.lit(str(positive)).try_cast(per_class.schema["class"].dataType)
+    binary = [F.coalesce(F.max(F.when(F.col("class") == wanted, F.col(m))), F.lit(0.0)) for m in ("precision", "recall", "f1")]
     two = F.count_if(F.col("support") > 0) == 2
     chosen = {
         "binary": binary,

@@ -375,11 +375,11 @@ REPLY = ["CASE WHEN event_id % 10 = 0 THEN 'no json' WHEN event_id % 10 = 1 THEN
 
 @query(
     "j05_extract_json",
-    f"WITH t AS ({as_sql('events', REPLY, 'event_id')}) SELECT event_id, TRY_CAST(regexp_extract(reply, '\"k\": (\\d+)', 1) AS BIGINT) AS k FROM t",
+    f"WITH t AS ({as_sql('events', REPLY, 'event_id')}) SELECT event_id, TRY_CAST(regexp_extract(reply, '\"k\": (\\d+)', 1) AS DOUBLE) AS k FROM t",
 )
 def _(spark, d):
     t = text.extract_json(derived(spark, d, "events", REPLY, "event_id"), "reply", "k bigint")
-    return t.select("event_id", "parsed.k")
+    return t.select("event_id", F.col("parsed.k").cast("double").alias("k"))
 
 
 INTENT_REPLY = [
