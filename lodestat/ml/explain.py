@@ -109,3 +109,29 @@ def sampled_shap(
 
 def _numbers(values: list, dtype: str) -> Column:
     return F.array(*[F.lit(v).cast(dtype) for v in values])
+
+
+def explain_predicted_class(trained, train: DataFrame, keys: list[str], n: int = 100, donors: int = 50, k: int = 10, permutations: int = 16) -> DataFrame:
+    """Sampled attributions to the probability of the class predicted for each explained row."""
+    rows = background(train, n, keys, seed="rows")
+    chosen = trained.predict(rows).select(*[named(x) for x in keys], F.col("prediction").cast("int").alias("_class"))
+
+    def output(table: DataFrame) -> DataFrame:
+        scored = trained.predict(table)
+        # at most n rows on the broadcast side
+        joined = scored.drop("prediction").join(F.broadcast(chosen), keys)
+        return joined.withColumn("output", F.get(vector_to_array("probability"), F.col("_class")))
+
+    phis = sampled_shap(rows, background(train, donors, keys), output, trained.feature_names, keys, permutations)
+    return explain_rows(phis, keys, k).join(F.broadcast(chosen.withColumnRenamed("_class", "predicted_class")), keys)
+
+
+def importance_or_fallback(spark, trained, attributions: Callable[[], DataFrame]) -> DataFrame:
+    """Importance from attributions, or the model's own importances if computing them fails."""
+    from lodestat.ml.train import importances
+
+    try:
+        return shap_importance(attributions()).withColumn("fallback", F.lit(False))
+    except Exception:
+        own = spark.createDataFrame(importances(trained), "feature string, importance double")
+        return own.orderBy(F.desc("importance"), "feature").withColumn("fallback", F.lit(True))

@@ -132,6 +132,49 @@ def tune(name: str, prepared: DataFrame, problem: str, k: int = FOLDS, key: str
     return best, mean, std
 
 
+@dataclass
+class Prepared:
+    """Train and test tables with row_key, label and features, and what produced them."""
+
+    problem: str
+    train: DataFrame
+    test: DataFrame
+    features: PipelineModel
+    feature_names: list[str]
+    classes: list[str]
+
+    def trained(self, name: str, title: str, model: object, settings: dict) -> TrainedModel:
+        return TrainedModel(name, title, self.problem, model, self.features, self.feature_names, self.classes, settings)
+
+
+def prepare_rows(df: DataFrame, target: str, keys: list[str], test_size: float = 0.2, rules: str = "trainer", problem: str | None = None) -> Prepared:
+    """Split by key hash, fit the feature pipeline on the training rows and apply it to both parts."""
+    problem = problem or problem_type(df, target, rules)
+    table = model_table(df, target, keys).withColumn("row_key", row_key(keys))
+    if problem == "regression":
+        table = table.withColumn("label", named(target).cast("double"))
+    train_rows, test_rows = split(table, test_size, keys)
+    skip = [*keys, "row_key", "label"]
+    features = fit_features(train_rows, target, skip, problem, rules)
+    indexer = target_stage(table, target, problem)
+    labeller = indexer[0].fit(table.select(target)) if indexer else None
+
+    def apply(rows: DataFrame) -> DataFrame:
+        made = features.transform(rows)
+        made = labeller.transform(made) if labeller else made
+        return made.select(*[named(k) for k in keys], "row_key", "label", "features")
+
+    numeric, texts = model_inputs(train_rows, target, skip)
+    return Prepared(problem, apply(train_rows), apply(test_rows), features, numeric + texts, labeller.labels if labeller else [])
+
+
+def fit(df: DataFrame, target: str, keys: list[str], name: str, test_size: float = 0.2, rules: str = "trainer", problem: str | None = None, **settings) -> tuple[TrainedModel, Prepared]:
+    """Fit one named model on the training part; returns it with the prepared tables."""
+    ready = prepare_rows(df, target, keys, test_size, rules, problem)
+    model = build(name, ready.problem, training_facts(ready.train, ready.problem), **settings).fit(ready.train)
+    return ready.trained(name, TITLES.get(name, name), model, settings), ready
+
+
 def train_all(
     df: DataFrame,
     target: str,
@@ -146,28 +189,14 @@ def train_all(
     """Train the named models on one split, test and rank them; a failing model is skipped.
 
     ``keys`` identify a row (split, folds and the neighbour join use them) and are not features.
-    The prepared training table is persisted: all fits read it.
+    The prepared tables are persisted, spilling to disk: all fits read them.
     """
-    problem = problem_type(df, target, rules)
-    table = model_table(df, target, keys)
-    if problem == "regression":
-        table = table.withColumn("label", named(target).cast("double"))
-    table = table.withColumn("row_key", row_key(keys))
-    train_rows, test_rows = split(table, test_size, keys)
-    skip = [*keys, "row_key", "label"]
-    features = fit_features(train_rows, target, skip, problem, rules)
-    indexer = target_stage(table, target, problem)
-    labeller = indexer[0].fit(table.select(target)) if indexer else None
-
-    def prepare(rows: DataFrame) -> DataFrame:
-        made = features.transform(rows)
-        made = labeller.transform(made) if labeller else made
-        return made.select(*[named(k) for k in keys if k != "row_key"], "row_key", "label", "features")
-
-    train = with_folds(prepare(train_rows), folds, ["row_key"], "label" if problem == "classification" else None, seed="folds").persist()
-    test = prepare(test_rows).persist()
+    ready = prepare_rows(df, target, keys, test_size, rules)
+    problem = ready.problem
+    stratify = "label" if problem == "classification" else None
+    train = with_folds(ready.train, folds, ["row_key"], stratify, seed="folds").persist()
+    test = ready.test.persist()
     facts = training_facts(train, problem)
-    numeric, texts = model_inputs(train_rows, target, skip)
     wanted = models or (CLASSIFIERS if problem == "classification" else REGRESSORS)
     short, metric = _main(problem)
     results, fitted = [], {}
@@ -191,7 +220,7 @@ def train_all(
             LOG.warning("model %s failed: %s", name, error)
             continue
         results.append({"name": name, "model_name": title, "metric": metric, "test_score": found[short], "cv_score": cv, "cv_std": cv_std, **found})
-        fitted[name] = TrainedModel(name, title, problem, model, features, numeric + texts, labeller.labels if labeller else [], chosen)
+        fitted[name] = ready.trained(name, title, model, chosen)
     train.unpersist()
     test.unpersist()
     if not results:

@@ -30,19 +30,25 @@ def build_session(master: str | None = None, app: str = "lodestat", **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder is
-    made only for a local master, where driver and executors share one disk.
+    A temporary folder is made only for a local master, where driver and executors share one disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not folder:
-            if not context.master.startswith("local"):
-                raise NoCheckpointFolder("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="lodestat-checkpoint-")
+    folder = folder or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise NoCheckpointFolder("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestat-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back without its lineage."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +41,43 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_trained(trained, path: str) -> None:
+    """Write a trained model: feature pipeline, estimator and a small settings table.
+
+    A neighbour model is stored as its training rows.
+    """
+    spark = SparkSession.active()
+    save_model(trained.features, f"{path}/features")
+    knn = hasattr(trained.model, "train")
+    if knn:
+        trained.model.train.write.mode("overwrite").parquet(f"{path}/rows")
+        extra = {"k": trained.model.k, "weights": trained.model.weights}
+    else:
+        extra = {}
+        save_model(PipelineModel(stages=[trained.model]), f"{path}/model")
+    about = {
+        "name": trained.name,
+        "title": trained.title,
+        "problem": trained.problem,
+        "feature_names": trained.feature_names,
+        "classes": trained.classes,
+        **extra,
+    }
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_trained(path: str):
+    from lodestat.ml.models import KnnModel
+    from lodestat.ml.train import TrainedModel
+
+    spark = SparkSession.active()
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    if "k" in about:
+        model = KnnModel(spark.read.parquet(f"{path}/rows"), about["problem"], about["k"], about["weights"], "row_key")
+    else:
+        model = load_model(f"{path}/model").stages[0]
+    return TrainedModel(
+        about["name"], about["title"], about["problem"], model, load_model(f"{path}/features"), about["feature_names"], about["classes"]
+    )
