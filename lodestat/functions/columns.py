@@ -128,13 +128,14 @@ def long_rows(row: DataFrame, structs: list[Column]) -> DataFrame:
 def melt(df: DataFrame, cols: list[str], value=None, extra: dict[str, list] | None = None) -> DataFrame:
     """One row (c, v, ...) per input row and column, c being the position in ``cols``.
 
-    Aggregates over many columns are grouped by c afterwards. The generated code then holds each
-    aggregate once instead of once per column, which keeps it small enough for the JIT whatever
-    the width of the table, and every task still reduces its rows to one per column.
+    ``extra`` adds per-column numbers, looked up by c. Aggregates over many columns are grouped by
+    c afterwards. The generated code then holds each aggregate once instead of once per column,
+    which keeps it small enough for the JIT whatever the width of the table, and every task still
+    reduces its rows to one per column.
     """
     value = value or number
-    extra = extra or {}
-    structs = [
-        F.struct(F.lit(i).alias("c"), value(df, c).alias("v"), *[F.lit(x[i]).alias(k) for k, x in extra.items()]) for i, c in enumerate(cols)
-    ]
-    return df.select(F.inline(F.array(*structs)))
+    names = [str(i) for i in range(len(cols))]
+    wide = df.select(*[value(df, c).alias(n) for n, c in zip(names, cols)])
+    long = wide.unpivot([], [named(n) for n in names], "c", "v").withColumn("c", F.col("c").cast("int"))
+    looked_up = {k: F.get(F.array(*[F.lit(x) for x in xs]), F.col("c")) for k, xs in (extra or {}).items()}
+    return long.withColumns(looked_up) if looked_up else long

@@ -41,7 +41,8 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, rule
         cols = numeric_columns(df)[: HISTOGRAM_COLUMNS[rules]]
     need_numeric(df, *cols)
     found = {c: b for c, b in _bounds(df, cols).items() if b[0] > 0}
-    medians = exact_quantiles(df, list(found), [0.5])
+    finite = df.select(*[json_safe(number(df, c)).alias(c) for c in found])
+    medians = exact_quantiles(finite, list(found), [0.5], bounds={c: b[:3] for c, b in found.items()})
     lows, widths, grid = [], [], []
     for c, (_, low, high, mean, _) in found.items():
         if low == high:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.columns import ratio
 from lodestat.operators.ordered import MAX_GROUP_ROWS, running
+from lodestat.session import checkpointed
 
 
 def accuracy(df: DataFrame) -> DataFrame:
@@ -75,6 +76,7 @@ def prf(df: DataFrame, average: str = "auto", positive=1) -> DataFrame:
 class _Totals:
     positives: int
     negatives: int
+    scores: int
 
 
 def _by_score(df: DataFrame) -> DataFrame:
@@ -83,12 +85,13 @@ def _by_score(df: DataFrame) -> DataFrame:
 
 
 def _totals(groups: DataFrame) -> _Totals:
-    row = groups.agg(F.sum("pos"), F.sum("neg")).first()
-    return _Totals(row[0] or 0, row[1] or 0)
+    row = groups.agg(F.sum("pos"), F.sum("neg"), F.count("*")).first()
+    return _Totals(row[0] or 0, row[1] or 0, row[2])
 
 
-def _cumulative(groups: DataFrame, max_group_rows: int) -> DataFrame:
-    return running(
+def _corners(groups: DataFrame, totals: _Totals, max_group_rows: int) -> DataFrame:
+    """Numbered corners of the curve; a point on the straight line between its neighbours is left out."""
+    curve = running(
         groups,
         [],
         [F.col("score").desc()],
@@ -96,48 +99,39 @@ def _cumulative(groups: DataFrame, max_group_rows: int) -> DataFrame:
         row_number="at",
         leads={"next_pos": "pos", "next_neg": "neg"},
         max_group_rows=max_group_rows,
+        group_rows=totals.scores,
     )
+    final = F.col("next_pos").isNull()
+    corner = (F.col("at") == 1) | final | (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
+    corners = curve.where(corner).select("at", "tp", "fp", final.alias("final"))
+    # there are at most as many corners as scores
+    return running(corners, [], [F.col("at")], row_number="point", max_group_rows=max_group_rows, group_rows=totals.scores)
 
 
-def roc_points(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """All corners of the ROC curve in order: point, tp, fp, fpr, tpr, score.
+def roc_curve(df: DataFrame, step: int = 5, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """fpr, tpr of the origin and every step-th corner; (1, 1) is added unless a kept point has fpr 1.
 
-    Point 0 is the origin. A point on the straight line between its neighbours is left out.
+    The thinned corners are written out once, so that the check for the end point does not build
+    the curve a second time.
     """
     groups = _by_score(df)
     totals = _totals(groups)
-    curve = _cumulative(groups, max_group_rows)
-    corner = (F.col("at") == 1) | F.col("next_pos").isNull() | (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
-    corners = curve.where(corner).select("at", "tp", "fp", "score")
-    numbered = running(corners, [], [F.col("at")], row_number="point", max_group_rows=max_group_rows)
-    origin = df.sparkSession.createDataFrame([(0, 0, 0, None)], "point bigint, tp bigint, fp bigint, score double")
-    both = numbered.select("point", "tp", "fp", F.col("score").cast("double").alias("score")).unionByName(origin)
-    return both.select(
-        "point",
-        "tp",
-        "fp",
-        ratio(F.col("fp"), F.lit(totals.negatives)).alias("fpr"),
-        ratio(F.col("tp"), F.lit(totals.positives)).alias("tpr"),
-        "score",
-    )
-
-
-def roc_curve(df: DataFrame, step: int = 5, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Every step-th corner from the origin on; (1, 1) is added unless a kept point already has fpr 1."""
-    points = roc_points(df, max_group_rows)
-    at_end = F.col("fpr") == 1
-    facts = points.agg(F.max("point").alias("last"), F.max(F.when(F.col("point") % step == 0, F.col("fpr"))).alias("reach")).first()
     kept = F.col("point") % step == 0
-    if facts["reach"] is not None and facts["reach"] < 1:
-        kept = kept | (at_end & (F.col("point") == facts["last"]))
-    return points.where(kept).select("fpr", "tpr")
+    thinned = checkpointed(_corners(groups, totals, max_group_rows).where(kept | F.col("final")).select("point", "tp", "fp", "final"))
+    reached = thinned.where(kept & (F.col("fp") == totals.negatives)).limit(1).count() > 0
+    points = thinned.where(kept if reached else (kept | F.col("final"))).select("tp", "fp")
+    origin = df.sparkSession.createDataFrame([(0, 0)], "tp bigint, fp bigint")
+    return origin.unionByName(points).select(
+        ratio(F.col("fp"), F.lit(totals.negatives)).alias("fpr"), ratio(F.col("tp"), F.lit(totals.positives)).alias("tpr")
+    )
 
 
 def auc(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule; NULL with a single class."""
     groups = _by_score(df)
     totals = _totals(groups)
-    curve = running(groups, [], [F.col("score").desc()], sums={"tp": "pos"}, max_group_rows=max_group_rows)
+    order = [F.col("score").desc()]
+    curve = running(groups, [], order, sums={"tp": "pos"}, max_group_rows=max_group_rows, group_rows=totals.scores)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     return curve.agg(ratio(area, F.lit(float(totals.positives)) * float(totals.negatives)).alias("auc"))
 

@@ -69,15 +69,17 @@ def running(
     row_number: str | None = None,
     leads: dict[str, str] | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Add running totals ``sums`` {output: input}, a 1-based ``row_number`` and next-row values ``leads``.
 
     ``order`` must be unique within ``keys`` for a reproducible result. Rows that share the whole
-    order tuple also share a piece, so aggregate them first.
+    order tuple also share a piece, so aggregate them first. ``group_rows`` is the size of the
+    largest group, or a bound on it, where the caller knows it already.
     """
     sums, leads = sums or {}, leads or {}
     key_cols = [named(k) for k in keys]
-    if largest_group(df, keys) <= max_group_rows:
+    if (largest_group(df, keys) if group_rows is None else group_rows) <= max_group_rows:
         w = Window.partitionBy(*(key_cols or [F.lit(0)])).orderBy(*order)
         total = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         added = {out: F.sum(named(c)).over(total) for out, c in sums.items()}

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.errors import UnknownOperation
-from lodestat.functions.columns import long_rows, percent, present
+from lodestat.functions.columns import is_missing, long_rows, percent, present
 from lodestat.operators.outliers import outlier_report
 from lodestat.operators.schema import categorical_columns, numeric_columns
-from lodestat.operators.stats import constant_columns, duplicate_count, missing_counts, value_ranges
+from lodestat.operators.stats import distinct_counts, duplicate_count, missing_counts, value_ranges
 
 HEURISTIC_REASON = "Heuristic suggestion (AI unavailable)"
 
@@ -42,20 +42,23 @@ class Facts:
 
 
 def table_facts(df: DataFrame, distinct: list[str] | None = None) -> Facts:
-    """Missing counts (1 pass), constants (1), duplicates (2), distinct counts of the asked columns (1)."""
-    counted = missing_counts(df).collect()
-    asked = distinct or []
-    unique = {}
-    if asked:
-        row = df.agg(*[F.count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(asked)]).first()
-        unique = {c: row[f"d{i}"] for i, c in enumerate(asked)}
+    """Row count, missing values and constants in one pass, duplicates in two, distinct counts of the asked columns.
+
+    A column has one distinct value exactly if its minimum equals its maximum.
+    """
+    comparable = [f.name for f in df.schema if f.dataType.typeName() != "map"]
+    row = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
+        *[(F.min(present(df, c)) == F.max(present(df, c))).alias(f"k{i}") for i, c in enumerate(comparable)],
+    ).first()
     return Facts(
-        rows=counted[0]["rows"] if counted else 0,
+        rows=row["rows"],
         columns=df.columns,
-        missing={r["column"]: r["missing"] for r in counted},
+        missing={c: row[f"m{i}"] for i, c in enumerate(df.columns)},
         duplicates=duplicate_count(df),
-        constants=constant_columns(df),
-        distinct=unique,
+        constants=[c for i, c in enumerate(comparable) if row[f"k{i}"]],
+        distinct={r["column"]: r["distinct"] for r in distinct_counts(df, distinct).collect()} if distinct else {},
         numeric=numeric_columns(df),
         categorical=categorical_columns(df),
     )

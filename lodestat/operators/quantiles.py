@@ -2,12 +2,13 @@
 
 ``percentile`` keeps a value-to-count map of the column in a single buffer. Beyond a checked row
 count we instead
-  1. take mergeable quantile sketches of all columns in one pass, giving per wanted rank a bracket
-     [lo, hi] that holds it and only a tiny share of the rows,
-  2. count exactly how many rows lie below and inside each bracket (one pass, plain sums), and
-     narrow brackets that still hold too many rows,
+  1. sketch a sample of the rows, giving per wanted rank a bracket [lo, hi] that very likely holds
+     it and only a small share of the rows,
+  2. count exactly how many rows lie below and inside each bracket (one pass of plain sums),
+     widen a bracket that missed its rank and narrow one that still holds too many rows,
   3. fetch the one or two values at the wanted ranks from the few rows inside the brackets.
-Only counts, brackets and the answers themselves reach the driver.
+The sample decides how much work is left, never the answer. Only counts, brackets and the answers
+themselves reach the driver.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.functions.columns import number
+from lodestat.functions.columns import melt, number
 
 ACCURACY = 10_000
+SAMPLE_ROWS = 50_000
+SAMPLE_SHARE = 0.01
 SMALL_COLUMN = 100_000
 MAX_ROUNDS = 4
+BRACKET_FACTOR = 10
 
 
 @dataclass
@@ -50,85 +54,98 @@ def exact_quantiles(
     probs: list[float],
     small_column: int = SMALL_COLUMN,
     accuracy: int = ACCURACY,
+    bounds: dict[str, tuple] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column; None for a column without values."""
+    """Linearly interpolated quantiles per column; None for a column without values.
+
+    ``bounds`` are (count, min, max) per column from a pass the caller has already made.
+    """
     if not cols:
         return {}
     values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
     names = {c: f"c{i}" for i, c in enumerate(cols)}
-    asked = sorted({q for p in probs for q in (max(p - 3 / accuracy, 0.0), min(p + 3 / accuracy, 1.0))})
-    first = values.agg(
-        *[F.count(v).alias(f"{v}_n") for v in names.values()],
-        *[F.min(v).alias(f"{v}_min") for v in names.values()],
-        *[F.max(v).alias(f"{v}_max") for v in names.values()],
-        *[F.percentile_approx(v, asked, accuracy).alias(f"{v}_q") for v in names.values()],
-    ).first()
-    counts = {c: first[f"{v}_n"] for c, v in names.items()}
+    if bounds is None:
+        rows = melt(values, list(names.values())).groupBy("c").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        bounds = {cols[r["c"]]: (r["n"], r["lo"], r["hi"]) for r in rows}
+    bounds = {c: bounds.get(c, (0, None, None)) for c in cols}
     answers: dict[tuple[str, float], float | None] = {(c, p): None for c in cols for p in probs}
 
-    small = [c for c in cols if 0 < counts[c] <= small_column]
+    small = [c for c in cols if 0 < bounds[c][0] <= small_column]
     if small:
         row = values.agg(*[F.percentile(names[c], F.array(*[F.lit(p) for p in probs])).alias(names[c]) for c in small]).first()
         for c in small:
             answers.update({(c, p): v for p, v in zip(probs, row[names[c]])})
-
-    wanted = []
-    for c in (c for c in cols if counts[c] > small_column):
-        v = names[c]
-        sketch = dict(zip(asked, first[f"{v}_q"]))
-        for p in probs:
-            low = first[f"{v}_min"] if p - 3 / accuracy <= 0 else sketch[max(p - 3 / accuracy, 0.0)]
-            high = first[f"{v}_max"] if p + 3 / accuracy >= 1 else sketch[min(p + 3 / accuracy, 1.0)]
-            wanted.append(_Wanted(c, p, counts[c], low, high))
-    if wanted:
-        _narrow(values, names, wanted, first, small_column, accuracy)
-        _select(values, names, wanted, answers)
+    large = [c for c in cols if bounds[c][0] > small_column]
+    wanted = [_Wanted(c, p, *bounds[c]) for c in large for p in probs]
+    for w in wanted:
+        w.inside = w.rows
+    _narrow(values, names, wanted, bounds, small_column, accuracy)
+    _select(values, names, wanted, answers)
     return {c: [answers[(c, p)] for p in probs] for c in cols}
 
 
-def _inside(value: Column, w: _Wanted) -> Column:
-    return (value >= F.lit(w.low)) & (value <= F.lit(w.high))
+def _melted(values: DataFrame, names: dict, wanted: list[_Wanted]) -> tuple[DataFrame, list[list[_Wanted]], list[Column]]:
+    """(c, v, lo0, hi0, lo1, ...): each value next to the brackets of its column, and a test per bracket."""
+    columns = list(dict.fromkeys(w.column for w in wanted))
+    per_column = [[w for w in wanted if w.column == c] for c in columns]
+    width = max(len(ws) for ws in per_column)
+    extra = {}
+    for k in range(width):
+        extra[f"lo{k}"] = [ws[k].low if k < len(ws) else math.inf for ws in per_column]
+        extra[f"hi{k}"] = [ws[k].high if k < len(ws) else -math.inf for ws in per_column]
+    long = melt(values, [names[c] for c in columns], extra=extra)
+    v = F.col("v")
+    return long, per_column, [(v >= F.col(f"lo{k}")) & (v <= F.col(f"hi{k}")) for k in range(width)]
 
 
 def _count(values: DataFrame, names: dict, wanted: list[_Wanted]) -> None:
-    row = values.agg(
-        *[F.count_if(F.col(names[w.column]) < F.lit(w.low)).alias(f"b{i}") for i, w in enumerate(wanted)],
-        *[F.count_if(_inside(F.col(names[w.column]), w)).alias(f"i{i}") for i, w in enumerate(wanted)],
-    ).first()
-    for i, w in enumerate(wanted):
-        w.below, w.inside = row[f"b{i}"], row[f"i{i}"]
-
-
-def _narrow(values, names, wanted, first, small_column, accuracy) -> None:
-    """Count the brackets; widen any that missed its rank, tighten any that is still large."""
-    _count(values, names, wanted)
-    missed = [w for w in wanted if not w.holds()]
-    for w in missed:
-        w.low, w.high = first[f"{names[w.column]}_min"], first[f"{names[w.column]}_max"]
-    if missed:
-        _count(values, names, missed)
-    for _ in range(MAX_ROUNDS):
-        large = [w for w in wanted if w.inside > small_column and w.low < w.high]
+    long, per_column, inside = _melted(values, names, wanted)
+    counts = [F.count_if(F.col("v") < F.col(f"lo{k}")).alias(f"b{k}") for k in range(len(inside))]
+    counts += [F.count_if(test).alias(f"i{k}") for k, test in enumerate(inside)]
+    for row in long.groupBy("c").agg(*counts).collect():
+        for k, w in enumerate(per_column[row["c"]]):
+            w.below, w.inside = row[f"b{k}"], row[f"i{k}"]
+
+
+def _narrow(values: DataFrame, names: dict, wanted: list[_Wanted], bounds: dict, small_column: int, accuracy: int) -> None:
+    """Tighten brackets by sampled sketches until each holds few rows or a single value."""
+    for turn in range(MAX_ROUNDS):
+        large = [w for w in wanted if w.low < w.high and w.inside > (small_column if turn == 0 else small_column * BRACKET_FACTOR)]
         if not large:
             return
+        most = max(w.inside for w in large)
+        share = min(1.0, max(SAMPLE_ROWS, most * SAMPLE_SHARE) / most)
+        sample = values.where(F.rand(turn) < share) if share < 1 else values
         asks = []
         for w in large:
-            share = [(r - w.below) / w.inside for r in (w.rank, w.next_rank)]
-            asks.append([max(share[0] - 3 / accuracy, 0.0), min(share[1] + 3 / accuracy, 1.0)])
-        row = values.agg(
-            *[
-                F.percentile_approx(F.when(_inside(F.col(names[w.column]), w), F.col(names[w.column])), ask, accuracy).alias(f"q{i}")
-                for i, (w, ask) in enumerate(zip(large, asks))
-            ]
-        ).first()
+            # 5 standard errors of the sample and 3 of the sketch on either side
+            margin = 3 / accuracy + (2.5 / math.sqrt(w.inside * share) if share < 1 else 0)
+            ranks = [(r - w.below) / w.inside for r in (w.rank, w.next_rank)]
+            asks.append([max(ranks[0] - margin, 0.0), min(ranks[1] + margin, 1.0)])
+        # columns whose bracket is still the whole range share one sketch for all their ranks
+        groups: dict[tuple, list[float]] = {}
+        keys = []
+        for w, ask in zip(large, asks):
+            key = (w.column, w.low, w.high)
+            keys.append(key)
+            groups.setdefault(key, []).extend(ask)
+        sketches = []
+        for i, ((column, low, high), ask) in enumerate(groups.items()):
+            v = F.col(names[column])
+            whole = (low, high) == bounds[column][1:]
+            held = v if whole else F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
+            sketches.append(F.percentile_approx(held, ask, accuracy).alias(f"q{i}"))
+        row = sample.agg(*sketches).first()
+        found = {key: dict(zip(ask, row[f"q{i}"] or [])) for i, (key, ask) in enumerate(groups.items())}
         tighter = []
-        for i, (w, ask) in enumerate(zip(large, asks)):
-            low = w.low if ask[0] == 0.0 else row[f"q{i}"][0]
-            high = w.high if ask[1] == 1.0 else row[f"q{i}"][1]
+        for w, key, ask in zip(large, keys, asks):
+            low = w.low if ask[0] == 0.0 else found[key].get(ask[0], w.low)
+            high = w.high if ask[1] == 1.0 else found[key].get(ask[1], w.high)
             tighter.append(_Wanted(w.column, w.prob, w.rows, low, high))
         _count(values, names, tighter)
         progress = False
         for w, t in zip(large, tighter):
+            # a bracket that missed its rank is dropped: the wider, counted one stays
             if t.holds() and t.inside < w.inside:
                 w.low, w.high, w.below, w.inside = t.low, t.high, t.below, t.inside
                 progress = True
@@ -145,34 +162,32 @@ def _select(values: DataFrame, names: dict, wanted: list[_Wanted], answers: dict
             open_brackets.append(w)
     if not open_brackets:
         return
-    tests = [_inside(F.col(names[w.column]), w) for w in open_brackets]
-    any_inside = tests[0]
-    for test in tests[1:]:
+    long, per_column, inside = _melted(values, names, open_brackets)
+    any_inside = inside[0]
+    for test in inside[1:]:
         any_inside = any_inside | test
-    tagged = F.array(
-        *[
-            F.when(test, F.struct(F.lit(i).alias("w"), F.col(names[w.column]).alias("v")))
-            for i, (w, test) in enumerate(zip(open_brackets, tests))
-        ]
-    )
-    ranks = F.array(*[F.lit(w.rank - w.below) for w in open_brackets])
-    next_ranks = F.array(*[F.lit(w.next_rank - w.below) for w in open_brackets])
-    per_bracket = Window.partitionBy("w").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = F.filter(F.array(*[F.when(test, F.lit(k)) for k, test in enumerate(inside)]), lambda k: k.isNotNull())
+    at = {(i, k): w for i, ws in enumerate(per_column) for k, w in enumerate(ws)}
+    width = len(inside)
+    slots = [at.get((i, k)) for i in range(len(per_column)) for k in range(width)]
+    ranks = F.array(*[F.lit(w.rank - w.below if w else -1) for w in slots])
+    next_ranks = F.array(*[F.lit(w.next_rank - w.below if w else -1) for w in slots])
+    per_bracket = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # the filter comes first: only the few rows inside some bracket are exploded and shuffled
     rows = (
-        values.where(any_inside)
-        .select(F.inline(F.filter(tagged, lambda t: t.isNotNull())))
-        .groupBy("w", "v")
+        long.where(any_inside)
+        .select("c", "v", F.explode(hits).alias("k"))
+        .groupBy((F.col("c") * width + F.col("k")).alias("slot"), "v")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(per_bracket))
-        .withColumn("rank", F.get(ranks, F.col("w")))
-        .withColumn("next_rank", F.get(next_ranks, F.col("w")))
+        .withColumn("rank", F.get(ranks, F.col("slot")))
+        .withColumn("next_rank", F.get(next_ranks, F.col("slot")))
         .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("next_rank")))
-        .select("w", "v", "upto", "n")
+        .select("slot", "v", "upto", "n")
         .collect()
     )
-    for i, w in enumerate(open_brackets):
-        spans = [(r["upto"] - r["n"], r["upto"], r["v"]) for r in rows if r["w"] == i]
-        at = {k: next(v for lo, hi, v in spans if lo <= k - w.below < hi) for k in (w.rank, w.next_rank)}
+    for (i, k), w in at.items():
+        spans = [(r["upto"] - r["n"], r["upto"], r["v"]) for r in rows if r["slot"] == i * width + k]
+        value = {x: next(v for lo, hi, v in spans if lo <= x - w.below < hi) for x in (w.rank, w.next_rank)}
         share = w.position - w.rank
-        answers[(w.column, w.prob)] = at[w.rank] + (at[w.next_rank] - at[w.rank]) * share
+        answers[(w.column, w.prob)] = value[w.rank] + (value[w.next_rank] - value[w.rank]) * share

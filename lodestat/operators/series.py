@@ -64,7 +64,7 @@ def downsample(
         steps[name] = 1 if n <= points else (n // points if rounding == "floor" else math.ceil(n / points))
     if not steps:
         return series.select("series", "t", "value", F.lit(0).cast("bigint").alias("position"))
-    counted = running(merged, ["series"], [F.col("t"), F.col("value")], {"upto": "n"}, max_group_rows=max_group_rows)
+    counted = running(merged, ["series"], [F.col("t"), F.col("value")], {"upto": "n"}, max_group_rows=max_group_rows, group_rows=max(sizes.values()))
     lookup = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])
     step = F.element_at(lookup, F.col("series"))
     before = F.col("upto") - F.col("n")

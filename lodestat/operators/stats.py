@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestat.functions.columns import (
     is_missing,
@@ -98,11 +99,11 @@ def describe(df: DataFrame, cols: list[str] | None = None, probs: list[float] |
     """count, mean, sample std, min, 25/50/75 % (interpolated, exact), max, G1 skewness, G2 kurtosis."""
     cols = numeric_columns(df) if cols is None else cols
     need_numeric(df, *cols)
-    quart = exact_quantiles(df, cols, QUARTILES)
-    names = [(i, c, *quart[c]) for i, c in enumerate(cols)]
-    labels = df.sparkSession.createDataFrame(names, "c int, column string, q25 double, q50 double, q75 double")
+    schema = "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    schema += ", skew double, kurtosis double, zeros bigint"
+    n, spread = F.col("n"), F.col("max") - F.col("min")
     moments = melt(df, cols).groupBy("c").agg(
-        F.count("v").alias("count"),
+        F.count("v").alias("n"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"),
@@ -111,31 +112,71 @@ def describe(df: DataFrame, cols: list[str] | None = None, probs: list[float] |
         F.kurtosis("v").alias("g2"),
         F.count_if(F.col("v") == 0).alias("zeros"),
     )
-    n, spread = F.col("count"), F.col("max") - F.col("min")
-    # one row per column on both sides
-    return labels.join(F.broadcast(moments), "c", "left").select(
-        "column",
-        F.coalesce(n, F.lit(0)).alias("count"),
-        "mean",
-        F.when(n > 1, F.col("std")).alias("std"),
-        "min",
-        "q25",
-        "q50",
-        "q75",
-        "max",
-        sample_skewness(n, F.col("g1"), spread).alias("skew"),
-        sample_kurtosis(n, F.col("g2"), spread).alias("kurtosis"),
-        F.coalesce("zeros", F.lit(0)).alias("zeros"),
-    )
+    skew, kurtosis = sample_skewness(n, F.col("g1"), spread), sample_kurtosis(n, F.col("g2"), spread)
+    # one row per column
+    found = {r["c"]: r for r in moments.withColumns({"skew": skew, "kurtosis": kurtosis}).collect()}
+    bounds = {cols[i]: (r["n"], r["min"], r["max"]) for i, r in found.items()}
+    quart = exact_quantiles(df, cols, QUARTILES, bounds=bounds)
+    rows = []
+    for i, c in enumerate(cols):
+        r = found[i].asDict() if i in found else {"n": 0, "zeros": 0}
+        std = r["std"] if r["n"] > 1 else None
+        rows.append((c, r["n"], r.get("mean"), std, r.get("min"), *quart[c], r.get("max"), r.get("skew"), r.get("kurtosis"), r["zeros"]))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Distinct present values per column; ``approx`` swaps the shuffle of values for mergeable sketches."""
+    """Distinct present values per column.
+
+    Columns of one class (whole numbers and dates, floating, text) are melted to (column, value)
+    pairs of one narrow type, which every task reduces to its distinct pairs before the shuffle;
+    one count over many columns would instead copy each row once per column at full width.
+    ``approx`` swaps the shuffle of values for mergeable sketches.
+    """
     cols = df.columns if cols is None else cols
     need(df, *cols)
-    count = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(*[count(present(df, c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    return long_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(cols)])
+    parts = []
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(cols)])
+        return long_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(cols)])
+    groups: dict[str, list[str]] = {}
+    for c in cols:
+        groups.setdefault(_value_class(df.schema[c].dataType), []).append(c)
+    for name, members in groups.items():
+        if name == "other":
+            row = df.agg(*[F.count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(members)])
+            parts.append(long_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(members)]))
+            continue
+        pairs = melt(df, members, _AS_CLASS[name]).where("v IS NOT NULL").groupBy("c", "v").agg(F.lit(1).alias("one"))
+        counts = pairs.groupBy("c").agg(F.count("*").alias("distinct"))
+        labels = df.sparkSession.createDataFrame(list(enumerate(members)), "c int, column string")
+        # one row per column on both sides
+        joined = labels.join(F.broadcast(counts), "c", "left")
+        parts.append(joined.select("column", F.coalesce("distinct", F.lit(0)).cast("bigint").alias("distinct")))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _value_class(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "whole"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "floating"
+    return "text" if isinstance(dtype, T.StringType) else "other"
+
+
+def _whole(df: DataFrame, c: str) -> Column:
+    dtype = df.schema[c].dataType
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(named(c)).cast("bigint")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(named(c).cast("timestamp"))
+    return named(c).cast("bigint")
+
+
+_AS_CLASS = {"whole": _whole, "floating": number, "text": present}
 
 
 def constant_columns(df: DataFrame) -> list[str]:
