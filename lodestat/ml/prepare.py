@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestat.errors import TooManyCategories
 from lodestat.functions.columns import hash_number, hash_percent, hash_text, is_missing, named, present
+from lodestat.operators.fitting import BROADCAST_BYTES, attach_codes, fit_codes
 from lodestat.operators.ordered import MAX_GROUP_ROWS, running
 from lodestat.operators.schema import categorical_columns, kind, need, numeric_columns
 
 FOLDS = 5
+INDEXED_CLASSES = 20_000
+TARGET_CLASSES = 10_000
 
 
 def problem_type(df: DataFrame, target: str, rules: str = "trainer") -> str:
@@ -80,8 +86,41 @@ def model_table(df: DataFrame, target: str, keys: list[str]) -> DataFrame:
     )
 
 
-def feature_stages(numeric: list[str], texts: list[str], rules: str = "trainer") -> list:
-    """Unfitted stages ending in ``features``.
+@dataclass
+class FeatureModel:
+    """Fitted feature pipeline; text columns with very many classes are coded by a join beforehand."""
+
+    pipeline: PipelineModel
+    codes: dict[str, dict] = field(default_factory=dict)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for c, fitted in self.codes.items():
+            df = attach_codes(df, c, fitted, f"{c}__code")
+            # a class not seen in training gets a code of its own, as the indexer does
+            df = df.withColumn(f"{c}__code", F.coalesce(named(f"{c}__code"), F.lit(fitted["size"])).cast("double"))
+        return self.pipeline.transform(df)
+
+    def outputs(self) -> set[str]:
+        stages = [s for s in self.pipeline.stages if s.hasParam("outputCols") and s.isDefined("outputCols")]
+        return {name for s in stages for name in s.getOutputCols()}
+
+
+def many_classes(df: DataFrame, texts: list[str]) -> list[str]:
+    """Text columns whose classes are too many or too long to go through the driver, from one pass of sketches.
+
+    The sketch only picks the route; both routes give the same codes.
+    """
+    if not texts:
+        return []
+    row = df.agg(
+        *[F.approx_count_distinct(named(c)).alias(f"d{i}") for i, c in enumerate(texts)],
+        *[F.max(F.octet_length(named(c))).alias(f"b{i}") for i, c in enumerate(texts)],
+    ).first()
+    return [c for i, c in enumerate(texts) if row[f"d{i}"] > INDEXED_CLASSES or row[f"d{i}"] * (row[f"b{i}"] or 0) > BROADCAST_BYTES]
+
+
+def feature_stages(numeric: list[str], texts: list[str], rules: str = "trainer", joined: list[str] | None = None) -> list:
+    """Unfitted stages ending in ``features``; ``joined`` text columns have their codes already.
 
     trainer: label codes for text, mean fill, standardised vector; quick: dummies, mean fill, no scaling.
     """
@@ -90,8 +129,9 @@ def feature_stages(numeric: list[str], texts: list[str], rules: str = "trainer")
     stages: list = []
     if numeric:
         stages.append(Imputer(strategy="mean", inputCols=numeric, outputCols=filled))
-    if texts:
-        stages.append(StringIndexer(inputCols=texts, outputCols=coded, stringOrderType="alphabetAsc", handleInvalid="keep"))
+    indexed = [c for c in texts if c not in (joined or [])]
+    if indexed:
+        stages.append(StringIndexer(inputCols=indexed, outputCols=[f"{c}__code" for c in indexed], stringOrderType="alphabetAsc", handleInvalid="keep"))
     if rules == "quick":
         if texts:
             dummy = [f"{c}__dummy" for c in texts]
@@ -104,12 +144,18 @@ def feature_stages(numeric: list[str], texts: list[str], rules: str = "trainer")
 
 
 def target_stage(df: DataFrame, target: str, problem: str) -> list:
-    if problem == "classification":
-        return [StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")]
-    return []
+    """Indexer of the target's classes, whose number is checked before they go through the driver."""
+    if problem != "classification":
+        return []
+    if df.select(named(target)).distinct().limit(TARGET_CLASSES + 1).count() > TARGET_CLASSES:
+        raise TooManyCategories(f"{target} has more than {TARGET_CLASSES} classes")
+    return [StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")]
 
 
-def fit_features(train: DataFrame, target: str, keys: list[str], problem: str, rules: str = "trainer") -> PipelineModel:
+def fit_features(train: DataFrame, target: str, keys: list[str], rules: str = "trainer") -> FeatureModel:
     """Fit encoders, fills and scaling on the training rows only."""
     numeric, texts = model_inputs(train, target, keys)
-    return Pipeline(stages=feature_stages(numeric, texts, rules)).fit(train)
+    wide = many_classes(train, texts)
+    coded = FeatureModel(PipelineModel([]), {c: fit_codes(train, c, INDEXED_CLASSES) for c in wide})
+    pipeline = Pipeline(stages=feature_stages(numeric, texts, rules, wide)).fit(coded.transform(train))
+    return FeatureModel(pipeline, coded.codes)

@@ -9,7 +9,6 @@ import statistics
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestat.errors import NoModelTrained
 from lodestat.functions.columns import named, present
 from lodestat.ml.models import CLASSIFIERS, REGRESSORS, TITLES, build, training_facts
-from lodestat.ml.prepare import FOLDS, fit_features, model_inputs, model_table, problem_type, split, target_stage, with_folds
+from lodestat.ml.prepare import FOLDS, FeatureModel, fit_features, model_inputs, model_table, problem_type, split, target_stage, with_folds
 from lodestat.operators import evaluate
 from lodestat.sources.sinks import EXPERIMENT
 
@@ -50,7 +49,7 @@ class TrainedModel:
     title: str
     problem: str
     model: object
-    features: PipelineModel
+    features: FeatureModel
     feature_names: list[str]
     classes: list[str] = field(default_factory=list)
     settings: dict = field(default_factory=dict)
@@ -139,7 +138,7 @@ class Prepared:
     problem: str
     train: DataFrame
     test: DataFrame
-    features: PipelineModel
+    features: FeatureModel
     feature_names: list[str]
     classes: list[str]
 
@@ -155,7 +154,7 @@ def prepare_rows(df: DataFrame, target: str, keys: list[str], test_size: float =
         table = table.withColumn("label", named(target).cast("double"))
     train_rows, test_rows = split(table, test_size, keys)
     skip = [*keys, "row_key", "label"]
-    features = fit_features(train_rows, target, skip, problem, rules)
+    features = fit_features(train_rows, target, skip, rules)
     indexer = target_stage(table, target, problem)
     labeller = indexer[0].fit(table.select(target)) if indexer else None
 
@@ -250,7 +249,7 @@ def score(trained: TrainedModel, df: DataFrame, keys: list[str]) -> DataFrame:
 
     Absent feature columns count as missing. The model is a projection, so this also scores streams.
     """
-    filled = _stage_outputs(trained)
+    filled = trained.features.outputs()
 
     def feature(c: str):
         source = present(df, c) if c in df.columns else F.lit(None)
@@ -277,14 +276,6 @@ def row_key(keys: list[str]) -> Column:
     return F.xxhash64(*[named(k) for k in keys]) if len(keys) > 1 else named(keys[0]).cast("bigint")
 
 
-def _stage_outputs(trained: TrainedModel) -> set[str]:
-    names: set[str] = set()
-    for stage in trained.features.stages:
-        if stage.hasParam("outputCols") and stage.isDefined("outputCols"):
-            names.update(stage.getOutputCols())
-    return names
-
-
 def experiment_row(spark: SparkSession, run: Experiment, job_id: str, timestamp: str) -> DataFrame:
     """The record of a run for the experiment log."""
     best = run.results[0]

@@ -18,6 +18,7 @@ from lodestat.operators.stats import modes
 
 SIMPLE = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
 BROADCAST_CLASSES = 50_000
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 200
 
 
@@ -52,16 +53,19 @@ def code_text(df: DataFrame, column: str) -> Column:
 
 
 def fit_codes(df: DataFrame, column: str, broadcast_classes: int = BROADCAST_CLASSES) -> dict:
-    """Codes of the sorted class texts: a short list, or a ranked table when there are too many."""
+    """Codes of the sorted class texts: a short list, or a ranked table when there are too many.
+
+    The list is fetched only after its length and its bytes have been measured.
+    """
     counts = df.select(code_text(df, column).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    head = [r["value"] for r in counts.select("value").orderBy("value").limit(broadcast_classes + 1).collect()]
-    if len(head) <= broadcast_classes:
-        return {"classes": head}
-    total = df.count()
+    size = counts.agg(F.count("*").alias("classes"), F.sum(F.octet_length("value")).alias("bytes"), F.sum("n").alias("rows")).first()
+    if size["classes"] <= broadcast_classes and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        return {"classes": [r["value"] for r in counts.select("value").orderBy("value").collect()], "size": size["classes"]}
+    total = size["rows"]
     # a value holding over 1 / HOT_SHARE of the rows is hot: there are fewer than HOT_SHARE of them
-    table = running(counts, [], [F.col("value")], row_number="code").withColumn("code", F.col("code") - 1)
+    table = running(counts, [], [F.col("value")], row_number="code", group_rows=size["classes"]).withColumn("code", F.col("code") - 1)
     hot = table.where(F.col("n") * HOT_SHARE > total).select("value", "code").collect()
-    return {"table": table.select("value", "code"), "hot": [(r["value"], r["code"]) for r in hot]}
+    return {"table": table.select("value", "code"), "hot": [(r["value"], r["code"]) for r in hot], "size": size["classes"]}
 
 
 def attach_codes(df: DataFrame, column: str, fitted: dict, output: str) -> DataFrame:

@@ -49,7 +49,12 @@ def save_trained(trained, path: str) -> None:
     A neighbour model is stored as its training rows.
     """
     spark = SparkSession.active()
-    save_model(trained.features, f"{path}/features")
+    save_model(trained.features.pipeline, f"{path}/features")
+    codes = {}
+    for i, (column, fitted) in enumerate(trained.features.codes.items()):
+        codes[column] = {k: v for k, v in fitted.items() if k != "table"}
+        if "table" in fitted:
+            fitted["table"].write.mode("overwrite").parquet(f"{path}/codes/{i}")
     knn = hasattr(trained.model, "train")
     if knn:
         trained.model.train.write.mode("overwrite").parquet(f"{path}/rows")
@@ -63,6 +68,7 @@ def save_trained(trained, path: str) -> None:
         "problem": trained.problem,
         "feature_names": trained.feature_names,
         "classes": trained.classes,
+        "codes": codes,
         **extra,
     }
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
@@ -70,6 +76,7 @@ def save_trained(trained, path: str) -> None:
 
 def load_trained(path: str):
     from lodestat.ml.models import KnnModel
+    from lodestat.ml.prepare import FeatureModel
     from lodestat.ml.train import TrainedModel
 
     spark = SparkSession.active()
@@ -78,6 +85,9 @@ def load_trained(path: str):
         model = KnnModel(spark.read.parquet(f"{path}/rows"), about["problem"], about["k"], about["weights"], "row_key")
     else:
         model = load_model(f"{path}/model").stages[0]
-    return TrainedModel(
-        about["name"], about["title"], about["problem"], model, load_model(f"{path}/features"), about["feature_names"], about["classes"]
-    )
+    codes = about["codes"]
+    for i, fitted in enumerate(codes.values()):
+        if "classes" not in fitted:
+            fitted["table"] = spark.read.parquet(f"{path}/codes/{i}")
+    features = FeatureModel(load_model(f"{path}/features"), codes)
+    return TrainedModel(about["name"], about["title"], about["problem"], model, features, about["feature_names"], about["classes"])

@@ -156,3 +156,18 @@ def test_experiment_log(spark, tmp_path, linear_rows):
     for i in (1, 2):
         sinks.log_experiment(train.experiment_row(spark, run, f"job{i}", f"2024-01-0{i}T00:00:00"), path)
     assert [r["job_id"] for r in sinks.read_experiments(spark, path).collect()] == ["job2", "job1"]
+
+
+def test_text_features_with_many_classes_take_the_join(spark, tmp_path, monkeypatch):
+    from lodestat.ml import prepare
+
+    df = spark.range(600).select("id", F.concat(F.lit("c"), F.col("id") % 90).alias("s"), (F.col("id") % 90 + 0.5).alias("y"))
+    short, _ = train.fit(df, "y", ["id"], "decision_tree")
+    monkeypatch.setattr(prepare, "INDEXED_CLASSES", 20)
+    wide, ready = train.fit(df, "y", ["id"], "decision_tree")
+    assert not short.features.codes and set(wide.features.codes) == {"s"}
+    sinks.save_trained(wide, str(tmp_path / "wide"))
+    got = [sorted(train.score(m, df, ["id"]).select("id", "prediction").collect()) for m in (short, wide, sinks.load_trained(str(tmp_path / "wide")))]
+    assert got[0] == got[1] == got[2]
+    unseen = spark.createDataFrame([(1, "never seen")], "id bigint, s string")
+    assert train.score(wide, unseen, ["id"]).first()["prediction"] is not None
