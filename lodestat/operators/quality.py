@@ -17,7 +17,33 @@ from lodestat.operators.outliers import outlier_report
 from lodestat.operators.schema import categorical_columns, numeric_columns
 from lodestat.operators.stats import distinct_counts, duplicate_count, missing_counts, value_ranges
 
+# The report texts.
 HEURISTIC_REASON = "Heuristic suggestion (AI unavailable)"
+ENGINE_MISSING = "Consider handling missing values before training models"
+ENGINE_DUPLICATES = "Remove duplicate rows to improve data quality"
+ENGINE_SCALING = "Consider feature scaling due to different value ranges"
+ENGINE_ENCODING = "Categorical variables will need encoding for ML models"
+MISSING_ADVICE = "Consider handling missing values using imputation or removal"
+DUPLICATE_ADVICE = "Review and remove duplicate rows if they are not intentional"
+ENCODING_ADVICE = "Encode categorical variables before training ML models"
+NOTHING_TO_DO = "Dataset looks well-prepared for analysis!"
+COMPLETE = "No missing values detected - data is complete!"
+HIGH_CARDINALITY = "Column '{}' has high cardinality ({} unique values) - consider binning"
+LOW_CARDINALITY = "Column '{}' appears suitable for classification (low cardinality)"
+SIZE = "Dataset contains {:,} rows and {} columns"
+FOUND_MISSING = "Found {:,} missing values ({:.1f}% of total data)"
+FOUND_NUMERIC = "Found {} numeric columns suitable for modeling"
+FOUND_CATEGORICAL = "Found {} categorical columns that may need encoding"
+GOOD_TARGET = "Column '{}' might be a good classification target (low cardinality)"
+FOUND_DUPLICATES = "Warning: Found {} duplicate rows"
+SPARSE_COLUMNS = "High missing values in: {}"
+DUPLICATE_ROWS = "{} duplicate rows found"
+CONSTANT_COLUMNS = "Constant columns: {}"
+UNIQUE_TEXT = "High cardinality in {}"
+MISSING_SHARE = "{} missing values: {:.1f}% of data is missing"
+MANY_DUPLICATES = "High duplicates: {} duplicate rows ({:.1f}%)"
+SOME_DUPLICATES = "{} duplicate rows found ({:.1f}%)"
+ONE_VALUE = "Column '{}' has only one unique value"
 
 
 @dataclass(frozen=True)
@@ -157,28 +183,28 @@ def _issues(df: DataFrame, rules: str, facts: Facts | None) -> list[tuple[str, i
     if rules == "engine":
         sparse = [c for c in facts.columns if facts.rows and facts.missing[c] / facts.rows * 100 > 50]
         if sparse:
-            found.append((f"High missing values in: {sparse}", 10))
+            found.append((SPARSE_COLUMNS.format(sparse), 10))
         if facts.duplicates:
-            found.append((f"{facts.duplicates} duplicate rows found", 10))
+            found.append((DUPLICATE_ROWS.format(facts.duplicates), 10))
         if facts.constants:
-            found.append((f"Constant columns: {facts.constants}", 10))
+            found.append((CONSTANT_COLUMNS.format(facts.constants), 10))
         for c in facts.categorical:
             if facts.distinct[c] > 0.9 * facts.rows:
-                found.append((f"High cardinality in {c}", 10))
+                found.append((UNIQUE_TEXT.format(c), 10))
         return found
     share = facts.missing_share
     levels = [(20, "High", 30), (5, "Moderate", 15), (0, "Low", 5)]
     for limit, word, cost in levels:
         if share > limit:
-            found.append((f"{word} missing values: {share:.1f}% of data is missing", cost))
+            found.append((MISSING_SHARE.format(word, share), cost))
             break
     if facts.duplicates:
         part = facts.duplicates / facts.rows * 100
         if part > 10:
-            found.append((f"High duplicates: {facts.duplicates} duplicate rows ({part:.1f}%)", 20))
+            found.append((MANY_DUPLICATES.format(facts.duplicates, part), 20))
         else:
-            found.append((f"{facts.duplicates} duplicate rows found ({part:.1f}%)", 10))
-    found += [(f"Column '{c}' has only one unique value", 5) for c in facts.columns if c in facts.constants]
+            found.append((SOME_DUPLICATES.format(facts.duplicates, part), 10))
+    found += [(ONE_VALUE.format(c), 5) for c in facts.columns if c in facts.constants]
     return found
 
 
@@ -191,45 +217,45 @@ def recommendations(df: DataFrame, rules: str = "dashboard") -> DataFrame:
     if rules == "engine":
         facts = table_facts(df)
         if facts.rows and max(facts.missing.values()) / facts.rows * 100 > 5:
-            lines.append("Consider handling missing values before training models")
+            lines.append(ENGINE_MISSING)
         if facts.duplicates:
-            lines.append("Remove duplicate rows to improve data quality")
+            lines.append(ENGINE_DUPLICATES)
         spread = [r["range"] for r in value_ranges(df).collect() if r["range"] is not None] if facts.numeric else []
         if spread and max(spread) > 100 * min(spread):
-            lines.append("Consider feature scaling due to different value ranges")
+            lines.append(ENGINE_SCALING)
         if facts.categorical:
-            lines.append("Categorical variables will need encoding for ML models")
+            lines.append(ENGINE_ENCODING)
         return _lines(df, lines, "recommendation")
 
     facts = table_facts(df, numeric_columns(df) + categorical_columns(df))
     if facts.total_missing:
-        lines.append("Consider handling missing values using imputation or removal")
+        lines.append(MISSING_ADVICE)
     if facts.duplicates:
-        lines.append("Review and remove duplicate rows if they are not intentional")
+        lines.append(DUPLICATE_ADVICE)
     if facts.categorical:
-        lines.append("Encode categorical variables before training ML models")
+        lines.append(ENCODING_ADVICE)
     wide = [c for c in facts.categorical if facts.distinct[c] > 50][:1]
-    lines += [f"Column '{c}' has high cardinality ({facts.distinct[c]} unique values) - consider binning" for c in wide]
+    lines += [HIGH_CARDINALITY.format(c, facts.distinct[c]) for c in wide]
     narrow = [c for c in facts.numeric if facts.rows and facts.distinct[c] / facts.rows < 0.05 and facts.distinct[c] <= 10][:1]
-    lines += [f"Column '{c}' appears suitable for classification (low cardinality)" for c in narrow]
-    return _lines(df, lines or ["Dataset looks well-prepared for analysis!"], "recommendation")
+    lines += [LOW_CARDINALITY.format(c) for c in narrow]
+    return _lines(df, lines or [NOTHING_TO_DO], "recommendation")
 
 
 def insights(df: DataFrame) -> DataFrame:
     """Plain sentences about size, missing values, column classes, possible targets and duplicates."""
     facts = table_facts(df, numeric_columns(df))
-    lines = [f"Dataset contains {facts.rows:,} rows and {len(facts.columns)} columns"]
+    lines = [SIZE.format(facts.rows, len(facts.columns))]
     if facts.total_missing:
-        lines.append(f"Found {facts.total_missing:,} missing values ({facts.missing_share:.1f}% of total data)")
+        lines.append(FOUND_MISSING.format(facts.total_missing, facts.missing_share))
     else:
-        lines.append("No missing values detected - data is complete!")
+        lines.append(COMPLETE)
     if facts.numeric:
-        lines.append(f"Found {len(facts.numeric)} numeric columns suitable for modeling")
+        lines.append(FOUND_NUMERIC.format(len(facts.numeric)))
     if facts.categorical:
-        lines.append(f"Found {len(facts.categorical)} categorical columns that may need encoding")
+        lines.append(FOUND_CATEGORICAL.format(len(facts.categorical)))
     for c in facts.numeric:
         if facts.rows and facts.distinct[c] / facts.rows < 0.1 and facts.distinct[c] < 20:
-            lines.append(f"Column '{c}' might be a good classification target (low cardinality)")
+            lines.append(GOOD_TARGET.format(c))
     if facts.duplicates:
-        lines.append(f"Warning: Found {facts.duplicates} duplicate rows")
+        lines.append(FOUND_DUPLICATES.format(facts.duplicates))
     return _lines(df, lines, "insight")

@@ -160,7 +160,7 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
 
 
 def _value_class(dtype: T.DataType) -> str:
-    if isinstance(dtype, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType)):
         return "whole"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return "floating"
@@ -171,8 +171,8 @@ def _whole(df: DataFrame, c: str) -> Column:
     dtype = df.schema[c].dataType
     if isinstance(dtype, T.DateType):
         return F.unix_date(named(c)).cast("bigint")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(named(c).cast("timestamp"))
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(named(c))
     return named(c).cast("bigint")
 
 

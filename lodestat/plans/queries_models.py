@@ -8,6 +8,7 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lodestat.errors import LodestatError
 from lodestat.ml import explain, train
 from lodestat.operators import quality
 from lodestat.operators.neighbors import mean_label, nearest, vote
@@ -362,7 +363,11 @@ def _(spark, d):
 @query("i05_importance_fallback")
 def _(spark, d):
     model, ready = train.fit(parts(spark, d), "p_retailprice", ["p_partkey"], "random_forest", **SMALL_FOREST)
-    return explain.importance_or_fallback(spark, model, lambda: 1 / 0)
+
+    def unsupported():
+        raise LodestatError("no attributions for this model")
+
+    return explain.importance_or_fallback(spark, model, unsupported)
 
 
 @query(
