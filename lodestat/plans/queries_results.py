@@ -113,11 +113,11 @@ def _(spark, d):
     "h35_regression_metrics",
     f"{R} SELECT round(1 - sum((label - prediction) * (label - prediction)) / sum((label - m) * (label - m)), 8) AS r2, "
     "round(avg((label - prediction) * (label - prediction)), 1) AS mse, round(sqrt(avg((label - prediction) * (label - prediction))), 5) AS rmse, "
-    "round(avg(abs(label - prediction)), 5) AS mae FROM t, (SELECT avg(label) AS m FROM t)",
+    "round(avg(abs(label - prediction)), 7) AS mae FROM t, (SELECT avg(label) AS m FROM t)",
 )
 def _(spark, d):
     out = evaluate.regression_metrics(predictions(spark, d, REGRESSION))
-    return rounded(rounded(rounded(out, 8, "r2"), 1, "mse"), 5, "rmse", "mae")
+    return rounded(rounded(rounded(rounded(out, 8, "r2"), 1, "mse"), 5, "rmse"), 7, "mae")
 
 
 @query(
