@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import repeats
+from lodestat.llm import quality, repeats, rules
+from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +16,23 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.train(docs, labels, "quality", usable=~held_out(5, 0))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES["op1_quality_classifier"] = op1_quality_classifier
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(documents(spark, folder)).select("doc_id", *rules.BASE, "base_failed", "kept", "quality")
+
+
+QUERIES["op6_quality_rules"] = op6_quality_rules
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.remove_repeats(documents(spark, folder), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
