@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import quality, repeats, rules
+from lodestat.llm import quality, repeats, rules, secret_scan
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -33,6 +33,18 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op6_quality_rules"] = op6_quality_rules
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find(documents(spark, folder))
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.as_text(base).cast("binary"), 256).alias("base_sha256"), secret_scan.as_text(F.col("secrets")).alias("spans")
+    )
+
+
+QUERIES["op8_secret_scan"] = op8_secret_scan
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.remove_repeats(documents(spark, folder), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -15,18 +15,18 @@ from lodestat.llm.textstats import stats
 from lodestat.session import checkpointed
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Rule: (value, below or above which it votes good, beyond which it votes bad). Between the two it abstains.
+#: Rule: (value, up to which it votes good or None if it never does, beyond which it votes bad). Else it abstains.
 RULES = {
     "length": (lambda s: -s["n_words"], -50, -20),
     "word_length": (lambda s: _share(s["word_chars"], s["n_words"]), 9, 13),
-    "symbols": (lambda s: _share(s["n_symbols"], s["n_words"]), 0.03, 0.2),
-    "same_lines": (lambda s: _share(s["n_dup_lines"], s["n_lines"]), 0.05, 0.3),
-    "same_windows": (lambda s: _share(s["n_repeat_words"], s["n_words"]), 0.1, 0.3),
-    "capitals": (lambda s: _share(s["n_upper"], s["n_letters"]), 0.15, 0.4),
-    "exclamations": (lambda s: _share(s["n_bangs"], s["n_words"]), 0.08, 0.3),
-    "echoes": (lambda s: _share(s["n_echo"], s["n_words"]), 0.03, 0.2),
-    "known_words": (lambda s: _share(s["n_known"], s["n_words"]) * (s["n_words"] < 2000), 0.75, 0.9),
     "letters": (lambda s: 1 - _share(s["n_letters"], s["word_chars"]), 0.15, 0.35),
+    "symbols": (lambda s: _share(s["n_symbols"], s["n_words"]), None, 0.1),
+    "same_lines": (lambda s: _share(s["n_dup_lines"], s["n_lines"]), None, 0.6),
+    "same_windows": (lambda s: _share(s["n_repeat_words"], s["n_words"]), None, 0.3),
+    "capitals": (lambda s: _share(s["n_upper"], s["n_letters"]), None, 0.4),
+    "exclamations": (lambda s: _share(s["n_bangs"], s["n_words"]), None, 0.3),
+    "echoes": (lambda s: _share(s["n_echo"], s["n_words"]), None, 0.2),
+    "known_words": (lambda s: _share(s["n_known"], s["n_words"]) * (s["n_words"] < 2000), None, 0.9),
 }
 
 
@@ -36,8 +36,12 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """(texts, rules): 1 good, -1 bad, 0 abstains. A text without words gets no good vote."""
-    out = np.stack([(v <= good).astype(np.int8) - (v > bad) for v, good, bad in ((f(s), g, b) for f, g, b in RULES.values())], axis=1)
-    out[(s["n_words"] == 0)[:, None] & (out > 0)] = 0
+    out = np.zeros((len(s["n_words"]), len(RULES)), np.int8)
+    for k, (value, good, bad) in enumerate(RULES.values()):
+        v = value(s)
+        out[v > bad, k] = -1
+        if good is not None:
+            out[(v <= good) & (s["n_words"] > 0), k] = 1
     return out
 
 
@@ -55,28 +59,34 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
 
 
+#: Chances of (bad, no, good) votes before any text is seen, for rules that vote both ways and for rules that never vote good.
+#: Bad text gets many good votes too, as each rule knows one fault only.
+TWO_SIDED = {"bad": (0.25, 0.15, 0.6), "good": (0.005, 0.095, 0.9)}
+ONE_SIDED = {"bad": (0.25, 0.749, 0.001), "good": (0.003, 0.996, 0.001)}
+WEIGHT = {"bad": 1.0, "good": 10.0}  # of these chances, in texts per text: false alarms are held rare
+
+
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """EM over distinct vote patterns. It starts from the majority of votes; pseudo-votes keep a rule on its own side."""
-    rules = patterns.shape[1]
-    total = max(counts.sum(), 1.0)
-    prior_votes = np.array([[0.08, 0.04, 0.005], [0.005, 0.04, 0.08]]) * total + 1  # bad text: bad votes; good text: good votes
-    q = 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1)))
-    model = LabelModel(0.5, np.full((rules, 2, 3), 1 / 3))
-    for _ in range(rounds):
-        chance = np.empty((rules, 2, 3))
-        for c, w in ((1, q * counts), (0, (1 - q) * counts)):
-            for v in (-1, 0, 1):
-                chance[:, c, v + 1] = (w[:, None] * (patterns == v)).sum(axis=0) + prior_votes[c, v + 1] * (0.05 if c else 0.02)
-        chance /= chance.sum(axis=2, keepdims=True)
-        model = LabelModel(float(np.clip((q * counts).sum() / total, 0.01, 0.99)), chance)
-        new = model.posterior(patterns) if len(patterns) else q
-        if len(new) and np.abs(new - q).max() < 1e-9:
+    """EM over distinct vote patterns, from the chances above; as pseudo-votes they keep a rule on its own side."""
+    before = np.array([[kind["bad"], kind["good"]] for kind in (ONE_SIDED if good is None else TWO_SIDED for _, good, _ in RULES.values())])
+    weight = np.array([WEIGHT["bad"], WEIGHT["good"]])
+    total = counts.sum()
+    model = LabelModel(0.9, before)
+    q = np.full(len(patterns), -1.0)
+    for _ in range(rounds if total else 0):
+        new = model.posterior(patterns)
+        if np.abs(new - q).max() < 1e-9:
             break
         q = new
+        chance = np.stack([np.stack([(w[:, None] * (patterns == v)).sum(axis=0) for v in (-1, 0, 1)], axis=1) for w in ((1 - q) * counts, q * counts)], axis=1)
+        held = np.array([((1 - q) * counts).sum(), (q * counts).sum()])
+        chance += (weight * (held + 1))[None, :, None] * before
+        chance /= chance.sum(axis=2, keepdims=True)
+        model = LabelModel(float(np.clip((q * counts).sum() / total, 0.05, 0.95)), chance)
     return model
 
 
-def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
     """The columns ``carry`` of each row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality
     (posterior probability of good text) and kept.
 
