@@ -35,8 +35,11 @@ QUERIES["op6_quality_rules"] = op6_quality_rules
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.find(documents(spark, folder))
-    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+
+    def of(*kinds: str):
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    base, counts = of("assign", "access", "hex"), [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select(
         "doc_id", *counts, F.sha2(secret_scan.as_text(base).cast("binary"), 256).alias("base_sha256"), secret_scan.as_text(F.col("secrets")).alias("spans")
     )
