@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lodestat.llm.words import chunks
 from lodestat.session import checkpointed
 
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 24 << 20
 
 
 def add_columns(

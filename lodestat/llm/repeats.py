@@ -13,13 +13,12 @@ from pyspark.sql import types as T
 from lodestat.llm.exchange import add_columns, bucket_count, text_bytes
 from lodestat.llm.words import Words, chunks, longs, packed, split
 
-FLUSH_WINDOWS = 2_000_000
-_SALT = np.uint64(0x2545F4914F6CDD1D)
+FLUSH_WINDOWS = 1_000_000
 
 
 def _gaps(doc: np.ndarray, pos: np.ndarray) -> tuple[int, bytes]:
     """Positions, ascending within each document, as gaps of one byte with 255 for "255 more"; four bytes each if that is less."""
-    gap = pos.copy()
+    gap = pos.astype(np.int64)
     same = doc[1:] == doc[:-1]
     gap[1:][same] -= pos[:-1][same]
     full = gap // 255
@@ -32,12 +31,12 @@ def _gaps(doc: np.ndarray, pos: np.ndarray) -> tuple[int, bytes]:
 
 def _positions(doc: np.ndarray, size: int, raw: memoryview) -> np.ndarray:
     if not size:
-        return np.frombuffer(raw, np.uint32, len(doc)).astype(np.int64)
+        return np.frombuffer(raw, np.uint32, len(doc)).astype(np.int32)
     codes = np.frombuffer(raw, np.uint8, size)
     sums = np.cumsum(codes, dtype=np.int64)[codes < 255]
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     base = np.where(first > 0, sums[first - 1], 0)
-    return sums - np.repeat(base, np.diff(np.r_[first, len(doc)]))
+    return (sums - np.repeat(base, np.diff(np.r_[first, len(doc)]))).astype(np.int32)
 
 
 def _pack(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, hashes: np.ndarray | None) -> bytes:
@@ -54,23 +53,24 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     at = 32
     ids, keys = np.frombuffer(raw, np.int64, docs, at), np.frombuffer(raw, np.int64, docs, at + 8 * docs)
     at += 16 * docs
-    doc = np.repeat(np.arange(docs), np.frombuffer(raw, np.uint32, docs, at))
+    doc = np.repeat(np.arange(docs, dtype=np.int32), np.frombuffer(raw, np.uint32, docs, at))
     at += 4 * docs
     hashes = np.frombuffer(raw, np.uint64, n, at) if hashed else None
     return ids, keys, doc, _positions(doc, size, memoryview(raw)[at + 8 * n * hashed :]), hashes
 
 
-def _later(hashes: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _later(hashes: np.ndarray, ids: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Masks: entries whose hash also stands at a smaller (id, pos); entries that are the only one sent on for their hash."""
     order = np.argsort(hashes)
     same = np.zeros(len(order) + 1, bool)
     ranked = hashes[order]
     same[1:-1] = ranked[1:] == ranked[:-1]
     shared = order[same[1:] | same[:-1]]
+    del order, ranked
     later = np.zeros(len(hashes), bool)
     if len(shared):
-        shared = shared[np.lexsort((pos[shared], ids[shared], hashes[shared]))]
-        h, i, p = hashes[shared], ids[shared], pos[shared]
+        shared = shared[np.lexsort((pos[shared], ids[doc[shared]], hashes[shared]))]
+        h, i, p = hashes[shared], ids[doc[shared]], pos[shared]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         runs = np.diff(np.r_[start, len(shared)])
         later[shared] = (i != np.repeat(i[start], runs)) | (p != np.repeat(p[start], runs))
@@ -91,7 +91,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _doc_buckets(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     spread = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys.astype(np.uint64)
-    return (((spread >> np.uint64(20)) % np.uint64(n)).astype(np.int64))[doc]
+    return (((spread >> np.uint64(20)) % np.uint64(n)).astype(np.int32))[doc]
 
 
 def _hash_windows(window: int, n: int):
@@ -100,10 +100,11 @@ def _hash_windows(window: int, n: int):
     def flush(parts: list[tuple]) -> pa.RecordBatch | None:
         shift = np.cumsum([0, *(len(p[0]) for p in parts)])[:-1]
         ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        doc = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=True)])
-        pos, hashes, other = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
-        later, on = _later(hashes, ids[doc], pos)
-        rows = [*_by_bucket(0, (other[on] % np.uint64(n)).astype(np.int64), ids, keys, doc[on], pos[on], hashes[on])]
+        doc = np.concatenate([p[2] + s for p, s in zip(parts, shift.astype(np.int32), strict=True)])
+        pos, hashes, bucket = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
+        parts.clear()
+        later, on = _later(hashes, ids, doc, pos)
+        rows = [*_by_bucket(0, bucket[on], ids, keys, doc[on], pos[on], hashes[on])]
         rows += _by_bucket(1, _doc_buckets(ids, keys, doc[later], n), ids, keys, doc[later], pos[later], None)
         return _rows(rows) if rows else None
 
@@ -115,7 +116,9 @@ def _hash_windows(window: int, n: int):
             hashes = words.hashes()
             at, code = words.windows(hashes, window)
             doc = words.row_of(at)
-            parts.append((longs(batch.column("doc_id")), longs(batch.column("key")), doc, at - words.first[doc], code, words.windows(hashes, window, 1)[1]))
+            bucket = (words.windows(hashes, window, 1)[1] % np.uint64(n)).astype(np.int32)
+            own = longs(batch.column("doc_id")), longs(batch.column("key")), doc.astype(np.int32), (at - words.first[doc]).astype(np.int32)
+            parts.append((*own, code, bucket))
             held += len(at)
             if held >= FLUSH_WINDOWS:
                 out = flush(parts)
@@ -133,7 +136,7 @@ def _gather(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     parts = [_unpack(p) for p in payloads]
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])[:-1]
     ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    doc = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=True)])
+    doc = np.concatenate([p[2] + s for p, s in zip(parts, shift.astype(np.int32), strict=True)])
     hashes = None if parts[0][4] is None else np.concatenate([p[4] for p in parts])
     return ids, keys, doc, np.concatenate([p[3] for p in parts]), hashes
 
@@ -153,7 +156,7 @@ def _find_repeats(n: int):
         for payloads in [own.pop(k) for k in list(own)]:
             ids, keys, doc, pos, hashes = _gather(payloads)
             payloads.clear()
-            later, _ = _later(hashes, ids[doc], pos)
+            later, _ = _later(hashes, ids, doc, pos)
             doc, pos = doc[later], pos[later]
             rows = [*_by_bucket(1, _doc_buckets(ids, keys, doc, n), ids, keys, doc, pos, None)]
             if rows:
