@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import quality, repeats, rules, secret_scan
+from lodestat.llm import packing, quality, repeats, rules, secret_scan
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -26,6 +27,13 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op1_quality_classifier"] = op1_quality_classifier
 
 
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+QUERIES["op2_best_fit_packing"] = op2_best_fit_packing
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(documents(spark, folder)).select("doc_id", *rules.BASE, "base_failed", "kept", "quality")
 
