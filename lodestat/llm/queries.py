@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import packing, quality, repeats, rules, secret_scan
+from lodestat.llm import jaccard, packing, quality, repeats, rules, secret_scan
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -34,6 +34,13 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op2_best_fit_packing"] = op2_best_fit_packing
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link(documents(spark, folder), k=3, part=90, whole=100)
+
+
+QUERIES["op5_ngram_jaccard_join"] = op5_ngram_jaccard_join
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(documents(spark, folder)).select("doc_id", *rules.BASE, "base_failed", "kept", "quality")
 
