@@ -17,16 +17,19 @@ BUCKET_BYTES = 24 << 20
 
 
 def add_columns(
-    df: DataFrame, new: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()
+    df: DataFrame, new: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = (), by: str = "text"
 ) -> DataFrame:
-    """``df`` with the columns ``compute`` returns for each small batch; a column of the same name is replaced."""
+    """``df`` with the columns ``compute`` returns for each small batch; a column of the same name is replaced.
+
+    Batches are cut by the size of the column ``by``.
+    """
     taken = {f.name.lower() for f in new} | {d.lower() for d in drop}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     names = [f.name for f in kept]
     heads = [*names, *(f.name for f in new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, by):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *compute(batch)], heads)
 
     return df.mapInArrow(run, T.StructType([*kept, *new]))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestat.llm.idcache import IdCache
 from lodestat.llm.words import chunks, split
 from lodestat.session import checkpointed
 
@@ -41,9 +42,7 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.cache = IdCache(CACHED_PARTS)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -63,32 +62,11 @@ class WordTokens:
         for at in np.flatnonzero(words.data[:-1] * (words.data[1:] == ord("|")) == ord("<")) if len(words.data) else ():
             k = int(np.searchsorted(words.starts, at, "right")) - 1
             hashes[k] = zlib.crc32(words.data[words.starts[k] : words.ends[k]].tobytes()) ^ (hashes[k] << np.uint64(32))
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        new = (place == len(self.keys)) | (self.keys[np.minimum(place, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            if len(self.keys) + new.sum() > CACHED_PARTS:
-                self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-                new[:] = True
-            at = at[new]
-            counts, ids = self._encode([words.data[a:b].tobytes().decode() for a, b in zip(words.starts[at], words.ends[at], strict=True)])
-            all_counts = np.concatenate([np.diff(self.first), counts])
-            begin = np.concatenate([[0], np.cumsum(all_counts)])[:-1]
-            all_keys, all_ids = np.concatenate([self.keys, keys[new]]), np.concatenate([self.ids, ids])
-            order = np.argsort(all_keys)
-            self.ids = all_ids[_spread(begin[order], all_counts[order])]
-            self.first = np.concatenate([[0], np.cumsum(all_counts[order])])
-            self.keys = all_keys[order]
-            place = np.searchsorted(self.keys, keys)
-        counts = np.diff(self.first)[place]
-        ids = self.ids[_spread(self.first[place][inverse], counts[inverse])]
-        return ids, np.concatenate([[0], np.cumsum(counts[inverse])])[words.first]
-
-
-def _spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Indices begin[k] .. begin[k] + counts[k] - 1 of every k, one after the other."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - counts), counts)
+        def encode(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self._encode([words.data[a:b].tobytes().decode() for a, b in zip(words.starts[at], words.ends[at], strict=True)])
+
+        ids, counts = self.cache.lookup(hashes, encode)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[words.first]
 
 
 @cache

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import jaccard, packing, quality, repeats, rules, secret_scan
+from lodestat.llm import jaccard, packing, pieces, quality, repeats, rules, secret_scan
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -82,3 +82,12 @@ kept AS (SELECT doc_id, len(w) AS n_words, coalesce(len(cut), 0) AS n_removed,
          FROM words LEFT JOIN hits USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
 """
+
+
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    done = pieces.round_trip(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+    same = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    return done.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same)
+
+
+QUERIES["op10_sentencepiece"] = op10_sentencepiece

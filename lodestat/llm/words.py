@@ -107,8 +107,9 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
+        values = batch.column(column)
+        sizes = pa.compute.list_value_length(values) if pa.types.is_list(values.type) else pa.compute.binary_length(values)
+        ends = np.cumsum(pa.compute.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
