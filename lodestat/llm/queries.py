@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import jaccard, packing, pieces, quality, repeats, rules, secret_scan
+from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -34,6 +34,15 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op2_best_fit_packing"] = op2_best_fit_packing
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    model = language.train(spark.read.parquet(f"{folder}/documents.parquet"), usable=~held_out(5, 0))
+    found = language.identify(documents(spark, folder), model)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op4_language_id"] = op4_language_id
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link(documents(spark, folder), k=3, part=90, whole=100)
 
