@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan
+from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan, toxicity
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -57,6 +57,17 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op6_quality_rules"] = op6_quality_rules
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels, "toxic", usable=~held_out(3, 1))
+    scored = toxicity.score(docs, model)
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans")
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans)
+
+
+QUERIES["op7_toxicity"] = op7_toxicity
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.find(documents(spark, folder))
 
