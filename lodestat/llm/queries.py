@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan, toxicity
+from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan, topk, toxicity
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -34,6 +34,22 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op2_best_fit_packing"] = op2_best_fit_packing
 
 
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES["op3_exact_top_k"] = op3_exact_top_k
+ORACLES["op3_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.train(spark.read.parquet(f"{folder}/documents.parquet"), usable=~held_out(5, 0))
     found = language.identify(documents(spark, folder), model)
