@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,3 +128,8 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_sentencepiece"] = op10_sentencepiece
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
