@@ -5,8 +5,10 @@
   in use they agree on at least one whole, non-empty token. (A set with too few segments in use gets its prefix-filter elements
   as further tokens.) Segment numbers depend on the size class, and a set takes part in each class in which a partner can be.
 * Groups: each task joins documents that it finds similar to one group and sends the union of the group's tokens, once.
-* Two groups that share no token cannot hold a link. Those that share one are opened: first their first documents are compared,
-  and only groups that this leaves in different components are opened in full. Every link is verified on the shingle sets.
+* Two groups that share no token cannot hold a link. Of those that share one, first the first documents are compared; only groups
+  that this leaves in different components are opened. Their members meet token by token in blocks of bounded size, where counts
+  of shingles by hash range bound every overlap from above; only pairs within the bound leave the block. Every link is verified on
+  the shingle sets.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.llm.exchange import bucket_count, components, text_bytes
-from lodestat.llm.words import chunks, longs, mix, range_hashes, split
+from lodestat.llm.words import chunks, longs, mix, packed, range_hashes, split
 from lodestat.session import checkpointed
 
 FLUSH_WORDS = 1_000_000
+BLOCK_ROWS = 4096
 _GROWTH = 1.5
 _MEMBER, _TOKENS, _SHARED = 0, 1, 2
 
@@ -95,6 +98,21 @@ def tokens(row: np.ndarray, code: np.ndarray, sizes: np.ndarray, part: int, whol
     return np.concatenate(out_row), np.concatenate(out_token)
 
 
+def sketches(row: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each set the number of its hashes in each of 2^b equal ranges, one byte each; b grows with the set. A set with more
+    than 255 hashes in a range has no sketch."""
+    bits = np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64), 6, 24)
+    width = np.where(sizes > 0, 1 << bits, 0)
+    first = np.cumsum(width) - width
+    counts = np.bincount(first[row] + (mix(code, 0x2127599BF4325C37) >> (64 - bits[row]).astype(np.uint64)).astype(np.int64), minlength=int(width.sum()))
+    full = np.unique(np.searchsorted(first, np.flatnonzero(counts > 255), "right") - 1)
+    if len(full):
+        keep = np.ones(len(sizes), bool)
+        keep[full] = False
+        counts, width = counts[np.repeat(keep, width)], np.where(keep, width, 0)
+    return packed(width, counts.astype(np.uint8).tobytes())
+
+
 def _linked(overlap, a, b, part: int, whole: int):
     return whole * overlap >= part * (a + b - overlap)
 
@@ -119,7 +137,7 @@ def _local_groups(row, code, sizes, fp, ids, part, whole) -> tuple[np.ndarray, n
     A group's number is that of its text with the smallest doc_id.
     """
     order = np.lexsort((ids, fp[:, 1], fp[:, 0], sizes))
-    same = np.concatenate([[False], (sizes[order][1:] == sizes[order][:-1]) & (fp[order][1:] == fp[order][:-1]).all(axis=1)])
+    same = np.concatenate([[False], (sizes[order][1:] > 0) & (sizes[order][1:] == sizes[order][:-1]) & (fp[order][1:] == fp[order][:-1]).all(axis=1)])
     twin = np.empty(len(sizes), np.int64)  # the text of an equal set with the smallest doc_id
     twin[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     alone = twin[row] == row
@@ -156,7 +174,8 @@ _NAMES = [f.name for f in _ROW.fields]
 def _batch(kind: int, height: int, **columns) -> pa.RecordBatch:
     types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
     given = [pa.array(np.full(height, kind, np.int32)) if name == "kind" else columns.get(name) for name in _NAMES]
-    return pa.RecordBatch.from_arrays([pa.nulls(height, t) if c is None else pa.array(c, t) for c, t in zip(given, types, strict=True)], _NAMES)
+    arrays = [pa.nulls(height, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(given, types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
 def _group(k: int, part: int, whole: int, buckets: int):
@@ -172,7 +191,7 @@ def _group(k: int, part: int, whole: int, buckets: int):
         fp[sizes > 0] = np.stack([_sum_by(mix(code, s), cut) for s in (0x632BE59BD9B4E019, 0x9FB21C651E98DF25)], axis=1)
         group, at, token = _local_groups(row, code, sizes, fp, ids, part, whole)
         spread = pa.array((ids.astype(np.uint64) % np.uint64(buckets)).astype(np.int64))
-        yield _batch(_MEMBER, len(ids), bucket=spread, doc_id=ids, n=sizes, group=ids[group], fp1=fp[:, 0].view(np.int64), fp2=fp[:, 1].view(np.int64))
+        yield _batch(_MEMBER, len(ids), bucket=spread, doc_id=ids, n=sizes, group=ids[group], fp1=fp[:, 0].view(np.int64), fp2=fp[:, 1].view(np.int64), payload=sketches(row, code, sizes))
         bucket = (token >> np.uint64(40)) % np.uint64(buckets)
         order = np.lexsort((at, bucket))
         for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
@@ -237,6 +256,59 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_SHARED, int(rows.sum()), fp1=np.repeat(name, counts)[rows].view(np.int64), group=g[rows])
 
 
+def _bounded_pairs(part: int, whole: int):
+    """Pairs (a, b) of one block, in different components, whose sizes and range counts allow a link.
+
+    Rows come ordered by block; those of one block are compared at once, however they fall into batches.
+    """
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        ids, n, root, side = (table.column(c).to_numpy() for c in ("doc_id", "n", "root", "side"))
+        raw = table.column("payload").to_pylist()
+        least = min((len(b) for b in raw if b), default=1)
+        counts = np.full((len(ids), least), 60_000, np.uint16)  # without a sketch: no bound
+        for k, b in enumerate(raw):
+            if b:
+                counts[k] = np.frombuffer(b, np.uint8).reshape(least, -1).sum(axis=1)
+        two_sided = side.min() != side.max()
+        left, right, step = [], [], max(1, (8 << 20) // (least * len(ids)))
+        for at in range(0, len(ids), step):
+            mine = slice(at, at + step)
+            may = (root[mine, None] != root[None]) & (ids[mine, None] < ids[None] if not two_sided else (side[mine, None] == 0) & (side[None] == 1))
+            small, large = np.minimum(n[mine, None], n[None]), np.maximum(n[mine, None], n[None])
+            i, j = np.nonzero(may & (whole * small >= part * large))
+            for cut in range(0, len(i), max(1, (8 << 20) // least)):
+                a, b = i[cut : cut + max(1, (8 << 20) // least)] + at, j[cut : cut + max(1, (8 << 20) // least)]
+                most = np.minimum(np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64), np.minimum(n[a], n[b]))
+                held = _linked(most, n[a], n[b], part, whole)
+                left.append(ids[a[held]])
+                right.append(ids[b[held]])
+        if not left:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("list", "low", "high")])
+            cut = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                own = tuple(keys[:, a])
+                if own != name and held:
+                    if (out := compare(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                name = own
+                held.append(batch.slice(int(a), int(b - a)))
+        if held and (out := compare(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return run
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     """The pairs (a, b) whose texts link."""
     texts = docs.select(F.col("doc_id").alias("id_"), "text")
@@ -267,7 +339,7 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     n = bucket_count(text_bytes(rows))
     found = rows.mapInArrow(_group(k, part, whole, n), _ROW).repartition(n, "bucket").mapInArrow(_share, _ROW)
     found = checkpointed(found)
-    members = found.where(F.col("kind") == _MEMBER).select("doc_id", "n", "group", "fp1", "fp2")
+    members = found.where(F.col("kind") == _MEMBER).select("doc_id", "n", "group", "fp1", "fp2", "payload")
     shared = checkpointed(found.where(F.col("kind") == _SHARED).select(F.col("fp1").alias("list"), "group").distinct())
 
     heads = members.where("doc_id = group and n > 0").groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("n", "fp1", "fp2")))
@@ -288,15 +360,17 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     roots = components(edges)
 
     rooted = shared.join(roots, shared.group == roots.node, "left").select("list", "group", F.coalesce("root", "group").alias("root"))
-    split_ = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    rooted = checkpointed(rooted.join(split_, "list"))
-    other = rooted.select("list", F.col("group").alias("b"), F.col("root").alias("root_b"))
-    open_ = rooted.join(other, "list").where("root < root_b").select(F.col("group").alias("ga"), F.col("b").alias("gb")).distinct()
-    inside = members.where("n > 0").select("doc_id", "group", "n").distinct()
-    opened = open_.join(inside.select(F.col("group").alias("ga"), F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "ga")
-    opened = opened.join(inside.select(F.col("group").alias("gb"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "gb")
-    opened = opened.where(whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-    opened = opened.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    divided = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
+    inside = members.where("n > 0").groupBy("doc_id", "group", "fp1", "fp2").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
+    met = rooted.join(divided, "list").join(inside, "group").select("list", "root", "doc_id", "n", "payload")
+    met = checkpointed(met)
+    blocks = met.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    met = met.join(blocks, "list").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    met = met.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
+    opened = met.select("list", "low", "high", "side", "root", "doc_id", "n", "payload").mapInArrow(_bounded_pairs(part, whole), "a long, b long")
+    opened = opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     grouped = members.where("doc_id <> group").select(F.col("doc_id").alias("a"), F.col("group").alias("b"))
     late = _verify(opened, rows, k, part, whole)
     late = late.join(grouped, "a", "left").select(F.coalesce(grouped.b, "a").alias("a"), late.b.alias("y"))
