@@ -120,11 +120,18 @@ def hash_number(*keys: Column, seed: str = "") -> Column:
     return F.conv(F.substring(hash_text(*keys, seed=seed), 1, 8), 16, 10).cast("bigint")
 
 
-def long_rows(row: DataFrame, structs: list[Column]) -> DataFrame:
-    """Unfold a one-row aggregate into one row per struct, inside the JVM."""
+def long_rows(row: DataFrame, structs: list[Column], schema: str = "") -> DataFrame:
+    """Unfold a one-row aggregate into one row per struct, inside the JVM; without structs an empty table of ``schema``."""
+    if not structs:
+        return row.sparkSession.createDataFrame([], schema)
     return row.select(F.inline(F.array(*structs)))
 
 
+def comparable(df: DataFrame) -> list[Column]:
+    """What rows are compared by: maps are left out, NaN counts as NULL."""
+    return [present(df, f.name).alias(f.name) for f in df.schema if f.dataType.typeName() != "map"]
+
+
 def melt(df: DataFrame, cols: list[str], value=None, extra: dict[str, list] | None = None) -> DataFrame:
     """One row (c, v, ...) per input row and column, c being the position in ``cols``.
 
@@ -134,6 +141,9 @@ def melt(df: DataFrame, cols: list[str], value=None, extra: dict[str, list] | No
     reduces its rows to one per column.
     """
     value = value or number
+    if not cols:
+        more = "".join(f", {k} double" for k in extra or {})
+        return df.sparkSession.createDataFrame([], "c int, v double" + more)
     names = [str(i) for i in range(len(cols))]
     wide = df.select(*[value(df, c).alias(n) for n, c in zip(names, cols)])
     long = wide.unpivot([], [named(n) for n in names], "c", "v").withColumn("c", F.col("c").cast("int"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.errors import LodestatError
 from lodestat.functions.columns import constant, named, number, ratio
 from lodestat.operators.charts import hash_sample
 from lodestat.operators.schema import need_numeric
@@ -65,21 +68,21 @@ def sampled_shap(
     """Shapley values of any model by permutation sampling (Strumbelj and Kononenko 2014).
 
     ``rows`` and ``sample`` carry a vector ``features``; ``score`` adds a double ``output`` to such
-    a table. For every explained row and permutation, features are switched one after another from
-    a background row to the explained row; a feature's value is the mean change at its switch. The
-    row and background samples are bounded by the caller (100 and 50 rows by default elsewhere), so
-    the table scored has rows x permutations x (features + 1) rows. The attributions of a row sum
+    a table. For every explained row, permutation and background row, features are switched one after
+    another from the background row to the explained row; a feature's value is the mean change at
+    its switch. The row and background samples are bounded by the caller (100 and 50 rows by default
+    elsewhere); the table scored has rows x permutations x background rows x (features + 1) rows. The attributions of a row sum
     exactly to its output minus the mean output of its background rows.
     """
-    spark = rows.sparkSession
     rng = random.Random(seed)
     donors = [list(map(float, r["x"])) for r in sample.select(vector_to_array("features").alias("x")).collect()]
     plan = []
-    for p in range(permutations):
+    for _ in range(permutations):
         order = list(range(len(features)))
         rng.shuffle(order)
-        plan.append((p, [order.index(i) for i in range(len(features))], donors[rng.randrange(len(donors))]))
-    orders = F.array(*[F.struct(F.lit(p).alias("p"), _numbers(o, "int").alias("place"), _numbers(b, "double").alias("donor")) for p, o, b in plan])
+        place = [order.index(i) for i in range(len(features))]
+        plan += [{"p": len(plan) + i, "place": place, "donor": donor} for i, donor in enumerate(donors)]
+    orders = F.from_json(F.lit(json.dumps(plan)), "array<struct<p:int,place:array<int>,donor:array<double>>>")
     base = rows.select(*[named(k) for k in keys], vector_to_array("features").alias("x")).withColumn("plan", F.explode(orders))
     steps = base.withColumn("switched", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
     pairs = F.arrays_zip(F.col("x").alias("x"), F.col("plan.donor").alias("d"), F.col("plan.place").alias("o"))
@@ -107,10 +110,6 @@ def sampled_shap(
     )
 
 
-def _numbers(values: list, dtype: str) -> Column:
-    return F.array(*[F.lit(v).cast(dtype) for v in values])
-
-
 def explain_predicted_class(trained, train: DataFrame, keys: list[str], n: int = 100, donors: int = 50, k: int = 10, permutations: int = 16) -> DataFrame:
     """Sampled attributions to the probability of the class predicted for each explained row."""
     rows = background(train, n, keys, seed="rows")
@@ -118,12 +117,11 @@ def explain_predicted_class(trained, train: DataFrame, keys: list[str], n: int =
 
     def output(table: DataFrame) -> DataFrame:
         scored = trained.predict(table)
-        # at most n rows on the broadcast side
-        joined = scored.drop("prediction").join(F.broadcast(chosen), keys)
+        joined = scored.drop("prediction").join(chosen, keys)  # n rows
         return joined.withColumn("output", F.get(vector_to_array("probability"), F.col("_class")))
 
     phis = sampled_shap(rows, background(train, donors, keys), output, trained.feature_names, keys, permutations)
-    return explain_rows(phis, keys, k).join(F.broadcast(chosen.withColumnRenamed("_class", "predicted_class")), keys)
+    return explain_rows(phis, keys, k).join(chosen.withColumnRenamed("_class", "predicted_class"), keys)
 
 
 def importance_or_fallback(spark, trained, attributions: Callable[[], DataFrame]) -> DataFrame:
@@ -131,7 +129,8 @@ def importance_or_fallback(spark, trained, attributions: Callable[[], DataFrame]
     from lodestat.ml.train import importances
 
     try:
-        return shap_importance(attributions()).withColumn("fallback", F.lit(False))
-    except Exception:
+        return shap_importance(attributions()).withColumns({"fallback": F.lit(False), "error": F.lit(None).cast("string")})
+    except (LodestatError, PySparkException, AttributeError, TypeError, ValueError) as error:
         own = spark.createDataFrame(importances(trained), "feature string, importance double")
-        return own.orderBy(F.desc("importance"), "feature").withColumn("fallback", F.lit(True))
+        reason = F.lit(f"{type(error).__name__}: {error}"[:500])
+        return own.orderBy(F.desc("importance"), "feature").withColumns({"fallback": F.lit(True), "error": reason})

@@ -48,7 +48,8 @@ TITLES = {
     "naive_bayes": "Gaussian Naive Bayes", "decision_tree": "Decision Tree", "random_forest": "Random Forest", "xgboost": "XGBoost",
     "lightgbm": "LightGBM", "catboost": "CatBoost", "gradient_boosting": "Gradient Boosting",
 }
-# the boosting libraries are not Spark-native: each name is a preset of MLlib's gradient-boosted trees
+# the boosting libraries are not Spark-native: each name is a preset of MLlib's gradient-boosted trees, which results name as ENGINE
+ENGINE = "MLlib gradient-boosted trees"
 BOOSTING = {
     "gradient_boosting": {},
     "xgboost": {"maxBins": 256},
@@ -138,6 +139,8 @@ def build(name: str, problem: str, facts: TrainingFacts, key: str = "row_key", *
     """An unfitted estimator for ``name``; ``given`` overrides single settings (as in tuning)."""
     if name == "auto":
         name = "logistic" if problem == "classification" else "linear"
+    if name.startswith("boosting:"):  # the boosting tool takes any unknown library name for XGBoost
+        name = name.removeprefix("boosting:") if name.removeprefix("boosting:") in BOOSTING else "xgboost"
     if name not in TITLES:
         raise UnknownOperation(f"unknown model {name}")
     maker = _classifier if problem == "classification" else _regressor
@@ -155,7 +158,7 @@ def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator
     if name == "svc":
         kernel = _rbf(facts, p)
         svm = LinearSVC(featuresCol=_kernel_col(kernel), regParam=1 / (p.get("C", 1.0) * facts.rows), maxIter=100)
-        machine = svm if binary else OneVsRest(classifier=svm, featuresCol=_kernel_col(kernel))
+        machine = svm if binary else OneVsRest(classifier=svm, featuresCol=_kernel_col(kernel), parallelism=4)
         # probabilities from a logistic fit on the margins
         platt = LogisticRegression(
             featuresCol="rawPrediction", predictionCol="platt_prediction", rawPredictionCol="platt_raw", probabilityCol="probability"
@@ -169,7 +172,7 @@ def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator
         )
     if name in BOOSTING:
         gbt = GBTClassifier(**_boosting(name, p))
-        return gbt if binary else OneVsRest(classifier=gbt)
+        return gbt if binary else OneVsRest(classifier=gbt, parallelism=4)
     raise UnknownOperation(f"{name} is not a classifier")
 
 

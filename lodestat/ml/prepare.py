@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestat.errors import TooManyCategories
 from lodestat.functions.columns import hash_number, hash_percent, hash_text, is_missing, named, present
 from lodestat.operators.fitting import BROADCAST_BYTES, attach_codes, fit_codes
 from lodestat.operators.ordered import MAX_GROUP_ROWS, running
@@ -18,7 +18,6 @@ from lodestat.operators.schema import categorical_columns, kind, need, numeric_c
 
 FOLDS = 5
 INDEXED_CLASSES = 20_000
-TARGET_CLASSES = 10_000
 
 
 def problem_type(df: DataFrame, target: str, rules: str = "trainer") -> str:
@@ -119,10 +118,11 @@ def many_classes(df: DataFrame, texts: list[str]) -> list[str]:
     return [c for i, c in enumerate(texts) if row[f"d{i}"] > INDEXED_CLASSES or row[f"d{i}"] * (row[f"b{i}"] or 0) > BROADCAST_BYTES]
 
 
-def feature_stages(numeric: list[str], texts: list[str], rules: str = "trainer", joined: list[str] | None = None) -> list:
+def feature_stages(numeric: list[str], texts: list[str], rules: str = "trainer", joined: list[str] | None = None, rows: int = 0, classes: list[int] | None = None) -> list:
     """Unfitted stages ending in ``features``; ``joined`` text columns have their codes already.
 
-    trainer: label codes for text, mean fill, standardised vector; quick: dummies, mean fill, no scaling.
+    trainer: label codes for text, mean fill, vector standardised by the population deviation of its ``rows``; quick: mean fill,
+    no scaling, and a dummy for each of a text column's ``classes`` but the first (an unseen class has none).
     """
     filled = [f"{c}__filled" for c in numeric]
     coded = [f"{c}__code" for c in texts]
@@ -134,21 +134,25 @@ def feature_stages(numeric: list[str], texts: list[str], rules: str = "trainer",
         stages.append(StringIndexer(inputCols=indexed, outputCols=[f"{c}__code" for c in indexed], stringOrderType="alphabetAsc", handleInvalid="keep"))
     if rules == "quick":
         if texts:
-            dummy = [f"{c}__dummy" for c in texts]
-            stages.append(OneHotEncoder(inputCols=coded, outputCols=dummy, handleInvalid="keep"))
-            coded = dummy
+            dummy, kept = [f"{c}__dummy" for c in texts], [f"{c}__kept" for c in texts]
+            stages.append(OneHotEncoder(inputCols=coded, outputCols=dummy, dropLast=False))
+            for c, out, n in zip(dummy, kept, classes or [], strict=True):
+                stages.append(VectorSlicer(inputCol=c, outputCol=out, indices=list(range(1, n))))
+            coded = [out for out, n in zip(kept, classes or [], strict=True) if n > 1]
+            stages = [s for s in stages if not isinstance(s, VectorSlicer) or s.getIndices()]
         return [*stages, VectorAssembler(inputCols=filled + coded, outputCol="features")]
     stages.append(VectorAssembler(inputCols=filled + coded, outputCol="raw_features"))
-    stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
+    # the scaler divides by the sample deviation; the factor makes that the population deviation
+    stages.append(StandardScaler(inputCol="raw_features", outputCol="sample_scaled", withMean=True, withStd=True))
+    factor = (rows / (rows - 1)) ** 0.5 if rows > 1 else 1.0
+    stages.append(ElementwiseProduct(inputCol="sample_scaled", outputCol="features", scalingVec=Vectors.dense([factor] * len(filled + coded))))
     return stages
 
 
 def target_stage(df: DataFrame, target: str, problem: str) -> list:
-    """Indexer of the target's classes, whose number is checked before they go through the driver."""
+    """Indexer of the target's classes, which are the model's outputs and so must fit in the driver."""
     if problem != "classification":
         return []
-    if df.select(named(target)).distinct().limit(TARGET_CLASSES + 1).count() > TARGET_CLASSES:
-        raise TooManyCategories(f"{target} has more than {TARGET_CLASSES} classes")
     return [StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")]
 
 
@@ -157,5 +161,14 @@ def fit_features(train: DataFrame, target: str, keys: list[str], rules: str = "t
     numeric, texts = model_inputs(train, target, keys)
     wide = many_classes(train, texts)
     coded = FeatureModel(PipelineModel([]), {c: fit_codes(train, c, INDEXED_CLASSES) for c in wide})
-    pipeline = Pipeline(stages=feature_stages(numeric, texts, rules, wide)).fit(coded.transform(train))
+    ready = coded.transform(train)
+    rows, classes = 0, []
+    if rules == "quick":
+        # as many dummy columns as classes come out, so the classes are counted where the dummies are fitted
+        if texts:
+            row = ready.agg(*[F.count_distinct(named(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first()
+            classes = [row[f"n{i}"] for i in range(len(texts))]
+    else:
+        rows = ready.count()
+    pipeline = Pipeline(stages=feature_stages(numeric, texts, rules, wide, rows, classes)).fit(ready)
     return FeatureModel(pipeline, coded.codes)

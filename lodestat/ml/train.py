@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestat.errors import NoModelTrained
 from lodestat.functions.columns import named, present
-from lodestat.ml.models import CLASSIFIERS, REGRESSORS, TITLES, build, training_facts
+from lodestat.ml.models import BOOSTING, CLASSIFIERS, ENGINE, REGRESSORS, TITLES, build, training_facts
 from lodestat.ml.prepare import FOLDS, FeatureModel, fit_features, model_inputs, model_table, problem_type, split, target_stage, with_folds
 from lodestat.operators import evaluate
 from lodestat.sources.sinks import EXPERIMENT
@@ -66,6 +66,7 @@ class Experiment:
     target: str
     results: list[dict]
     models: dict[str, TrainedModel]
+    failed: dict[str, str] = field(default_factory=dict)
 
     @property
     def best(self) -> TrainedModel:
@@ -75,7 +76,10 @@ class Experiment:
         columns = ["name", "model_name", "metric", "test_score", "cv_score", "cv_std", "accuracy", "precision", "recall", "f1", "auc"]
         columns += ["r2", "mse", "rmse", "mae"]
         schema = "name string, model_name string, metric string, " + ", ".join(f"{c} double" for c in columns[3:])
-        rows = [tuple(r.get(c) for c in columns) for r in self.results]
+        columns += ["engine", "error"]
+        schema += ", engine string, error string"
+        broken = [{"name": n, "model_name": TITLES.get(n, n), "error": e} for n, e in self.failed.items()]
+        rows = [tuple(r.get(c) for c in columns) for r in [*self.results, *broken]]
         return spark.createDataFrame(rows, schema).withColumn("problem_type", F.lit(self.problem))
 
 
@@ -185,7 +189,10 @@ def train_all(
     rules: str = "trainer",
     settings: dict[str, dict] | None = None,
 ) -> Experiment:
-    """Train the named models on one split, test and rank them; a failing model is skipped.
+    """Train the named models on one split, test and rank them; a failing model is listed with its error.
+
+    Without names all models of the problem are trained; under the quick rules an unlimited random forest and a linear model. A
+    failing search falls back to the untuned model.
 
     ``keys`` identify a row (split, folds and the neighbour join use them) and are not features.
     The prepared tables are persisted, spilling to disk: all fits read them.
@@ -195,19 +202,33 @@ def train_all(
     stratify = "label" if problem == "classification" else None
     train = with_folds(ready.train, folds, ["row_key"], stratify, seed="folds").persist()
     test = ready.test.persist()
+    try:
+        return _train_each(df.sparkSession, ready, train, test, target, models, folds, tuning, rules, settings)
+    finally:
+        train.unpersist()
+        test.unpersist()
+
+
+def _train_each(spark, ready: Prepared, train: DataFrame, test: DataFrame, target, models, folds, tuning, rules, settings) -> Experiment:
+    problem = ready.problem
     facts = training_facts(train, problem)
-    wanted = models or (CLASSIFIERS if problem == "classification" else REGRESSORS)
+    linear = "logistic" if problem == "classification" else "linear"
+    every = CLASSIFIERS if problem == "classification" else REGRESSORS
+    wanted = models or (["random_forest", linear] if rules == "quick" else every)
     short, metric = _main(problem)
-    results, fitted = [], {}
+    results, fitted, failed = [], {}, {}
     for name in wanted:
-        name = {"auto": "logistic" if problem == "classification" else "linear"}.get(name, name)
-        chosen = (settings or {}).get(name, {})
+        name = {"auto": linear}.get(name, name)
+        chosen = (settings or {}).get(name, {"max_depth": None} if rules == "quick" and name == "random_forest" else {})
         try:
-            title = TITLES.get(name, name)
+            title, searched = TITLES.get(name, name), False
             if tuning and name in GRIDS:
-                chosen, cv, cv_std = tune(name, train, problem, folds)
-                title += " (Tuned)"
-            else:
+                try:
+                    chosen, cv, cv_std = tune(name, train, problem, folds)
+                    title, searched = title + " (Tuned)", True
+                except Exception as error:  # the untuned model is trained instead
+                    LOG.warning("search for %s failed: %s", name, error)
+            if not searched:
                 cv, cv_std = cross_validate(name, train, problem, folds, **chosen)
             model = build(name, problem, facts, **chosen).fit(train)
             scored = model.transform(test)
@@ -215,17 +236,20 @@ def train_all(
             if problem == "classification" and facts.classes == 2 and positive_score(scored) is not None:
                 curve = scored.select(F.col("label"), positive_score(scored).alias("score"))
                 found["auc"] = evaluate.auc(curve).first()["auc"]
+            elif problem == "classification" and rules == "quick":
+                found["auc"] = 0.0
         except Exception as error:  # one broken model must not lose the others
             LOG.warning("model %s failed: %s", name, error)
+            failed[name] = f"{type(error).__name__}: {error}"[:500]
             continue
+        if name in BOOSTING:
+            found["engine"] = ENGINE
         results.append({"name": name, "model_name": title, "metric": metric, "test_score": found[short], "cv_score": cv, "cv_std": cv_std, **found})
         fitted[name] = ready.trained(name, title, model, chosen)
-    train.unpersist()
-    test.unpersist()
     if not results:
-        raise NoModelTrained(f"none of {wanted} could be trained")
+        raise NoModelTrained(f"none of {wanted} could be trained: {failed}")
     results.sort(key=lambda r: (-r["test_score"], r["model_name"]))
-    return Experiment(problem, target, results, fitted)
+    return Experiment(problem, target, results, fitted, failed)
 
 
 def importances(trained: TrainedModel, width: int | None = None) -> list[tuple[str, float]]:
@@ -245,7 +269,10 @@ def importances(trained: TrainedModel, width: int | None = None) -> list[tuple[s
 
 
 def score(trained: TrainedModel, df: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``prediction`` (decoded) and, where the model has it, ``prediction_confidence`` to a raw table.
+    """Add ``prediction`` (decoded) and, for classes, ``prediction_confidence`` and ``probabilities`` (in class order) to a raw table.
+
+    The confidence is the largest probability. One-against-rest models give one margin for each class; their logistic values,
+    made to sum to 1, are the probabilities. Neighbour votes have a confidence only.
 
     Absent feature columns count as missing. The model is a projection, so this also scores streams.
     """
@@ -266,8 +293,13 @@ def score(trained: TrainedModel, df: DataFrame, keys: list[str]) -> DataFrame:
             made["prediction_confidence"] = F.col("confidence")
         elif "probability" in scored.columns:
             made["prediction_confidence"] = F.array_max(vector_to_array("probability"))
+            made["probabilities"] = vector_to_array("probability")
         elif "rawPrediction" in scored.columns:
-            made["prediction_confidence"] = F.array_max(vector_to_array("rawPrediction"))
+            each = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
+            total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+            share = F.transform(each, lambda x: x / total)
+            made["prediction_confidence"] = F.array_max(share)
+            made["probabilities"] = share
     return scored.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], *[v.alias(k) for k, v in made.items()])
 
 

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.errors import LodestatError, TooManyCategories, UnknownOperation
-from lodestat.functions.columns import constant, equal_width_bin, named, number, present
+from lodestat.functions.columns import comparable, constant, equal_width_bin, named, number, present
 from lodestat.operators.fitting import attach_codes, fit_statistics
 from lodestat.operators.ordered import carry_value
 from lodestat.operators.schema import categorical_columns, drop_missing, kind, need, need_numeric, numeric_columns
 
-MAX_ONE_HOT = 200
 # text accepted as a number; Spark's own cast also takes Java suffixes such as "1d"
 NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
@@ -117,15 +116,15 @@ def _cast_apply(df: DataFrame, p: dict, stats: dict) -> DataFrame:
     raise UnknownOperation(f"unknown type {to}")
 
 
-def _one_hot_columns(df: DataFrame, c: str, classes: list, drop_first: bool, limit: int) -> dict[str, Column]:
-    if len(classes) > limit:
+def _one_hot_columns(df: DataFrame, c: str, classes: list, drop_first: bool, limit: int | None) -> dict[str, Column]:
+    if limit is not None and len(classes) > limit:
         raise TooManyCategories(f"{c} has more than {limit} categories; use label encoding or raise max_categories")
     shown = classes[1:] if drop_first else classes
     return {f"{c}_{v}": F.coalesce(present(df, c) == F.lit(v), F.lit(False)).cast("int") for v in shown}
 
 
 def _one_hot(df: DataFrame, c: str, p: dict, stats: dict) -> DataFrame:
-    limit = p.get("max_categories", MAX_ONE_HOT)
+    limit = p.get("max_categories")
     added = _one_hot_columns(df, c, stats[("classes", c, limit)], p.get("drop_first", True), limit)
     kept = [named(x) for x in df.columns if x != c]
     return df.select(*kept, *[v.alias(k) for k, v in added.items()])
@@ -135,7 +134,7 @@ def _encode_needs(df: DataFrame, p: dict) -> list[tuple]:
     if not _has(df, p):
         return []
     if p["method"] == "one_hot":
-        return [("classes", p["column"], p.get("max_categories", MAX_ONE_HOT))]
+        return [("classes", p["column"], p.get("max_categories"))]
     return [("codes", p["column"])]
 
 
@@ -150,7 +149,7 @@ def _encode_apply(df: DataFrame, p: dict, stats: dict) -> DataFrame:
 
 
 def _dummies_needs(df: DataFrame, p: dict) -> list[tuple]:
-    return [("classes", c, p.get("max_categories", MAX_ONE_HOT)) for c in categorical_columns(df) if c not in p.get("keep", [])]
+    return [("classes", c, p.get("max_categories")) for c in categorical_columns(df) if c not in p.get("keep", [])]
 
 
 def _dummies_apply(df: DataFrame, p: dict, stats: dict) -> DataFrame:
@@ -263,6 +262,12 @@ def _impute_apply(df: DataFrame, p: dict, stats: dict) -> DataFrame:
     return df.withColumns({c: v for c, v in filled.items() if c not in p.get("keep", [])})
 
 
+def _drop_duplicates(df: DataFrame, p: dict, stats: dict) -> DataFrame:
+    """One row of each group that ``duplicate_count`` counts as equal: NaN equals NULL, maps are not compared."""
+    tagged = df.withColumn("_row", F.struct(*comparable(df)) if comparable(df) else F.lit(0))
+    return tagged.dropDuplicates(["_row"]).drop("_row")
+
+
 def _all(df: DataFrame, p: dict) -> set[str]:
     return set(df.columns)
 
@@ -271,7 +276,7 @@ OPERATIONS: dict[str, Operation] = {
     "drop_column": Operation(lambda df, p, s: df.drop(p["column"])),
     "fill_na": Operation(_fill_apply, _fill_needs),
     "drop_na": Operation(lambda df, p, s: drop_missing(df), writes=lambda df, p: set(), changes_rows=lambda p: True),
-    "drop_duplicates": Operation(lambda df, p, s: df.dropDuplicates(), writes=lambda df, p: set(), changes_rows=lambda p: True),
+    "drop_duplicates": Operation(_drop_duplicates, writes=lambda df, p: set(), changes_rows=lambda p: True),
     "rename": Operation(
         lambda df, p, s: df.withColumnRenamed(p["column"], p["new_name"]), writes=lambda df, p: {p["column"], p["new_name"]}
     ),
@@ -330,7 +335,7 @@ def cast(df: DataFrame, column: str, to: str) -> DataFrame:
     return run_step(df, {"op": "cast", "column": column, "type": to})
 
 
-def one_hot(df: DataFrame, column: str, drop_first: bool = True, max_categories: int = MAX_ONE_HOT) -> DataFrame:
+def one_hot(df: DataFrame, column: str, drop_first: bool = True, max_categories: int | None = None) -> DataFrame:
     return run_step(df, {"op": "encode", "column": column, "method": "one_hot", "drop_first": drop_first, "max_categories": max_categories})
 
 
@@ -367,7 +372,7 @@ def bin_equal_width(df: DataFrame, columns: list[str], bins: int = 5) -> DataFra
     return run_step(df, {"op": "binning", "columns": columns, "bins": bins})
 
 
-def dummies(df: DataFrame, keep: tuple[str, ...] = (), max_categories: int = MAX_ONE_HOT) -> DataFrame:
+def dummies(df: DataFrame, keep: tuple[str, ...] = (), max_categories: int | None = None) -> DataFrame:
     return run_step(df, {"op": "dummies", "keep": list(keep), "max_categories": max_categories})
 
 

@@ -39,9 +39,9 @@ def fit_statistics(df: DataFrame, keys: list[tuple]) -> dict[tuple, object]:
         if k[0] == "mode":
             found[k] = modes(df, [k[1]])[k[1]]
         elif k[0] == "classes":
-            # limit + 1 rows at most reach the driver; the caller rejects a longer list
-            values = df.select(present(df, k[1]).alias("v")).where("v IS NOT NULL").distinct()
-            found[k] = [r["v"] for r in values.orderBy("v").limit(k[2] + 1).collect()]
+            # one column of the result each; with a limit, limit + 1 at most reach the driver and the caller rejects a longer list
+            values = df.select(present(df, k[1]).alias("v")).where("v IS NOT NULL").distinct().orderBy("v")
+            found[k] = [r["v"] for r in (values if k[2] is None else values.limit(k[2] + 1)).collect()]
         elif k[0] == "codes":
             found[k] = fit_codes(df, k[1])
     return found

@@ -35,6 +35,7 @@ def outlier_flags(df: DataFrame, cols: list[str], method: str, k: float) -> dict
     if method != "zscore":
         raise UnknownOperation(f"unknown outlier method {method}")
     row = df.agg(
+        F.count("*").alias("rows"),
         *[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
         *[F.stddev_pop(number(df, c)).alias(f"s{i}") for i, c in enumerate(cols)],
     ).first()
@@ -59,6 +60,9 @@ def detect_outliers(df: DataFrame, cols: list[str] | None = None, method: str =
     ``samples`` of them per column.
     """
     cols = _numeric_targets(df, cols)
+    if not cols:
+        schema = "column string, outlier_count bigint, percentage double, total_outlier_rows bigint, sample_values array<double>"
+        return df.sparkSession.createDataFrame([], schema)
     flags = outlier_flags(df, cols, method, k)
     row = df.agg(
         F.count_if(_any(flags)).alias("total"),
@@ -112,5 +116,6 @@ def outlier_report(df: DataFrame) -> DataFrame:
             )
             for i, c in enumerate(cols)
         ],
+        "column string, count bigint, percentage double, recommendation string",
     )
     return report.where(F.col("count") > 0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.errors import UnknownOperation
-from lodestat.functions.columns import is_missing, long_rows, percent, present
+from lodestat.functions.columns import is_missing, named, percent, present
 from lodestat.operators.outliers import outlier_report
 from lodestat.operators.schema import categorical_columns, numeric_columns
 from lodestat.operators.stats import distinct_counts, duplicate_count, missing_counts, value_ranges
@@ -72,18 +72,18 @@ def table_facts(df: DataFrame, distinct: list[str] | None = None) -> Facts:
 
     A column has one distinct value exactly if its minimum equals its maximum.
     """
-    comparable = [f.name for f in df.schema if f.dataType.typeName() != "map"]
+    by_value = [f.name for f in df.schema if f.dataType.typeName() != "map"]
     row = df.agg(
         F.count("*").alias("rows"),
         *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
-        *[(F.min(present(df, c)) == F.max(present(df, c))).alias(f"k{i}") for i, c in enumerate(comparable)],
+        *[(F.min(present(df, c)) == F.max(present(df, c))).alias(f"k{i}") for i, c in enumerate(by_value)],
     ).first()
     return Facts(
         rows=row["rows"],
         columns=df.columns,
         missing={c: row[f"m{i}"] for i, c in enumerate(df.columns)},
         duplicates=duplicate_count(df),
-        constants=[c for i, c in enumerate(comparable) if row[f"k{i}"]],
+        constants=[c for i, c in enumerate(by_value) if row[f"k{i}"]],
         distinct={r["column"]: r["distinct"] for r in distinct_counts(df, distinct).collect()} if distinct else {},
         numeric=numeric_columns(df),
         categorical=categorical_columns(df),
@@ -117,13 +117,8 @@ def encoding_report(df: DataFrame) -> DataFrame:
     cols = categorical_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, cardinality bigint, recommendation string")
-    row = df.agg(
-        *[F.count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(cols)],
-        *[F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
-    )
-    found = long_rows(
-        row, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("cardinality"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(cols)]
-    )
+    # one row per column on the broadcast side
+    found = missing_counts(df.select(*[named(c) for c in cols])).join(F.broadcast(distinct_counts(df, cols)), "column").withColumnRenamed("distinct", "cardinality")
     advice = F.when(F.col("cardinality") < 10, "one_hot").otherwise("label")
     return found.where("missing = 0").select("column", "cardinality", advice.alias("recommendation"))
 

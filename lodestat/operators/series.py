@@ -12,13 +12,12 @@ from lodestat.operators.ordered import MAX_GROUP_ROWS, running
 from lodestat.operators.schema import categorical_columns, columns_of, need, need_numeric, numeric_columns
 
 
-def detect_datetime(df: DataFrame, probe: int = 100) -> list[str]:
-    """Temporal columns, then text columns whose first values all parse as timestamps."""
+def detect_datetime(df: DataFrame) -> list[str]:
+    """Temporal columns, then text columns whose present values all parse as timestamps."""
     texts = categorical_columns(df)
     if not texts:
         return columns_of(df, "temporal")
-    head = df.select(*[named(c) for c in texts]).limit(probe)
-    row = head.agg(
+    row = df.agg(
         *[F.count(named(c)).alias(f"n{i}") for i, c in enumerate(texts)],
         *[F.count(named(c).try_cast("timestamp")).alias(f"p{i}") for i, c in enumerate(texts)],
     ).first()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions.columns import (
+    comparable,
     is_missing,
     long_rows,
     melt,
@@ -73,18 +78,13 @@ def missing_chart(df: DataFrame, rules: str = "dashboard") -> DataFrame:
     return hit.select(place.alias("position"), "column", "missing", share.alias("percentage"))
 
 
-def _groupable(df: DataFrame) -> list[Column]:
-    """Columns a row can be compared by; maps are left out."""
-    return [present(df, f.name).alias(f.name) for f in df.schema if f.dataType.typeName() != "map"]
-
-
 def duplicate_count(df: DataFrame) -> int:
     """Rows beyond the first of each group of equal rows.
 
     Only a 64-bit row hash is shuffled at first, pre-counted per task. Rows whose hash repeats are
     then compared in full, so a hash collision cannot be counted as a duplicate.
     """
-    rows = df.select(*_groupable(df))
+    rows = df.select(*comparable(df))
     hashed = rows.withColumn("_h", F.xxhash64(*[named(c) for c in rows.columns]))
     repeated = hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
     suspects = hashed.join(repeated, "_h", "left_semi")
@@ -121,7 +121,9 @@ def describe(df: DataFrame, cols: list[str] | None = None, probs: list[float] |
     for i, c in enumerate(cols):
         r = found[i].asDict() if i in found else {"n": 0, "zeros": 0}
         std = r["std"] if r["n"] > 1 else None
-        rows.append((c, r["n"], r.get("mean"), std, r.get("min"), *quart[c], r.get("max"), r.get("skew"), r.get("kurtosis"), r["zeros"]))
+        # an infinite value leaves no spread or shape to speak of
+        mean, std, skew, kurtosis = (None if x is None or x != x else x for x in (r.get("mean"), std, r.get("skew"), r.get("kurtosis")))
+        rows.append((c, r["n"], mean, std, r.get("min"), *quart[c], r.get("max"), skew, kurtosis, r["zeros"]))
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -136,6 +138,8 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
     cols = df.columns if cols is None else cols
     need(df, *cols)
     parts = []
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, distinct bigint")
     if approx:
         row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(cols)])
         return long_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(cols)])
@@ -200,8 +204,8 @@ def quantile(df: DataFrame, column: str, prob: float) -> float | None:
 def value_ranges(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """max - min per numeric column."""
     cols = numeric_columns(df) if cols is None else cols
-    row = df.agg(*[(F.max(number(df, c)) - F.min(number(df, c))).alias(f"r{i}") for i, c in enumerate(cols)])
-    return long_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("range")) for i, c in enumerate(cols)])
+    row = df.agg(F.count("*").alias("rows"), *[(F.max(number(df, c)) - F.min(number(df, c))).alias(f"r{i}") for i, c in enumerate(cols)])
+    return long_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("range")) for i, c in enumerate(cols)], "column string, range double")
 
 
 def sigma_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 3.0) -> DataFrame:
@@ -218,7 +222,7 @@ def sigma_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 3.0)
     for i, c in enumerate(cols):
         far = F.greatest(F.col(f"hi{i}") - F.col(f"m{i}"), F.col(f"m{i}") - F.col(f"lo{i}")) > k * F.col(f"s{i}")
         structs.append(F.struct(F.lit(c).alias("column"), F.coalesce(far, F.lit(False)).alias("has_outliers")))
-    return long_rows(df.agg(*aggs), structs)
+    return long_rows(df.agg(F.count("*").alias("rows"), *aggs), structs, "column string, has_outliers boolean")
 
 
 def has_sigma_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 3.0) -> bool:
@@ -303,54 +307,58 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, rules: str = "engi
     """Pearson correlation of every ordered pair, from the rows where both values are present.
 
     A column without spread has no correlation: NULL (engine) or 0 (dashboard, first 10 columns).
-    One pass finds means, missing values and columns without spread; one more computes the pairs.
+    One pass finds means and columns without spread. In one more each task keeps the cross products of the centred columns and
+    of their masks as matrices, whatever the number of columns, and sends one row per pair.
     """
     if cols is None:
         cols = numeric_columns(df)
         cols = cols[:10] if rules == "dashboard" else cols
     need_numeric(df, *cols)
-    facts = {
-        r["c"]: r
-        for r in melt(df, cols).groupBy("c").agg(
-            F.count_if(F.col("v").isNull()).alias("holes"), F.avg("v").alias("mean"), (F.min("v") == F.max("v")).alias("flat")
-        ).collect()
-    }
+    schema = "i int, j int, col1 string, col2 string, r double"
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
+    facts = {r["c"]: r for r in melt(df, cols).groupBy("c").agg(F.avg("v").alias("mean"), (F.min("v") == F.max("v")).alias("flat")).collect()}
     flat = [i not in facts or facts[i]["flat"] is not False for i in range(len(cols))]
-    aggs, spread = {}, {}
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            if flat[i] or flat[j]:
-                continue
-            x, y = number(df, cols[i]), number(df, cols[j])
-            sx, sy, pair = f"v{i}", f"v{j}", f"c{i}_{j}"
-            if facts[i]["holes"] or facts[j]["holes"]:
-                both = x.isNotNull() & y.isNotNull()
-                x, y = F.when(both, x), F.when(both, y)
-                sx, sy = f"v{i}_{j}", f"v{j}_{i}"
-                aggs[sx], aggs[sy] = F.var_pop(x).alias(sx), F.var_pop(y).alias(sy)
-                aggs[pair] = F.covar_pop(x, y).alias(pair)
-            else:
-                # complete columns: plain sums of centred products, variances shared by all pairs
-                x, y = x - F.lit(facts[i]["mean"]), y - F.lit(facts[j]["mean"])
-                aggs[sx], aggs[sy] = F.sum(x * x).alias(sx), F.sum(y * y).alias(sy)
-                aggs[pair] = F.sum(x * y).alias(pair)
-            spread[(i, j)] = (sx, sy)
+    means = np.array([facts[i]["mean"] if i in facts and facts[i]["mean"] is not None else 0.0 for i in range(len(cols))])
+    names = [str(i) for i in range(len(cols))]
+    parts = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(names)
+        total = {k: np.zeros((width, width)) for k in ("n", "sx", "sxx", "sxy")}
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names], axis=1) if batch.num_rows else np.zeros((0, width))
+            mask = ~np.isnan(x)
+            x = np.where(mask, x - means, 0.0)
+            mask = mask.astype(np.float64)
+            total["n"] += mask.T @ mask
+            total["sx"] += x.T @ mask
+            total["sxx"] += (x * x).T @ mask
+            total["sxy"] += x.T @ x
+        i, j = np.triu_indices(width)
+        sums = [total["n"][i, j], total["sx"][i, j], total["sx"][j, i], total["sxx"][i, j], total["sxx"][j, i], total["sxy"][i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, sums)], ["i", "j", *parts])
+
+    wide = df.select(*[number(df, c).alias(n) for n, c in zip(names, cols, strict=True)])
+    sums = wide.mapInArrow(products, "i int, j int, " + ", ".join(f"{k} double" for k in parts)).groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in parts])
+
+    def spread(square: str, linear: str) -> Column:
+        whole = F.col("n") * F.col(square)
+        rest = whole - F.col(linear) * F.col(linear)
+        return F.when(rest > 1e-12 * whole, rest)  # less is rounding: the pair's rows hold one value
+
+    r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy")))
+    # an infinite value has no correlation either
+    r = F.nanvl(F.when(F.col("i") == F.col("j"), F.when(r.isNotNull() & ~F.isnan(r), 1.0)).otherwise(r), F.lit(None).cast("double"))
+    known = sums.where(~(F.col("i").isin(*[k for k in range(len(cols)) if flat[k]]) | F.col("j").isin(*[k for k in range(len(cols)) if flat[k]]))) if any(flat) else sums
+    known = known.select("i", "j", r.alias("r"))
+    known = known.union(known.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    spark = df.sparkSession
+    labels = spark.createDataFrame(list(enumerate(cols)), "i int, col1 string")
+    pairs = labels.crossJoin(labels.select(F.col("i").alias("j"), F.col("col1").alias("col2")))  # of column names
     empty = F.lit(0.0) if rules == "dashboard" else F.lit(None).cast("double")
-    structs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            r = F.lit(None).cast("double")
-            if (lo, hi) in spread:
-                sx, sy = spread[(lo, hi)]
-                scale = F.nullif(F.sqrt(F.col(sx)) * F.sqrt(F.col(sy)), F.lit(0.0))
-                r = F.when(scale.isNotNull(), F.lit(1.0)) if i == j else F.col(f"c{lo}_{hi}") / scale
-            structs.append(
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.coalesce(r, empty).alias("r")
-                )
-            )
-    return long_rows(df.agg(*(aggs.values() or [F.count("*").alias("rows")])), structs)
+    # one row per pair of columns on the broadcast side
+    return pairs.join(F.broadcast(known), ["i", "j"], "left").select("i", "j", "col1", "col2", F.coalesce("r", empty).alias("r"))
 
 
 def strong_correlations(df: DataFrame, threshold: float = 0.7, cols: list[str] | None = None) -> DataFrame:

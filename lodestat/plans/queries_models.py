@@ -8,7 +8,6 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lodestat.errors import LodestatError
 from lodestat.ml import explain, train
 from lodestat.operators import quality
 from lodestat.operators.neighbors import mean_label, nearest, vote
@@ -36,6 +35,16 @@ def _(spark, d):
     return readers.read_csv(spark, path)
 
 
+CSV_DOCUMENTS = "SELECT doc_id, text, lang, source, n_chars::BIGINT AS n_chars FROM documents"
+
+
+@query("a01_csv_line_breaks", CSV_DOCUMENTS)
+def _(spark, d):
+    path = scratch(spark, "documents-csv")
+    sinks.write_csv(read_table(spark, d, "documents"), path)
+    return readers.read_csv(spark, path)
+
+
 TOKENS = [
     "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'NA' WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN 'null' WHEN 4 THEN ' NaN ' "
     "ELSE CAST(o_custkey AS VARCHAR(20)) END AS custkey_s",
@@ -61,6 +70,36 @@ def _(spark, d):
     return readers.read_json(spark, path, multi_line=False)
 
 
+@query("a03_json_array", "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def _(spark, d):
+    path = scratch(spark, "part-json-array")
+    rows = read_table(spark, d, "part")
+    arrays = rows.groupBy((F.col("p_partkey") % 64).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_json(spark, path)
+
+
+@query(
+    "a05_score_file",
+    # a three-class Gaussian naive Bayes on one standardised feature, applied to rows read from a CSV file
+    "WITH f AS (SELECT o_orderstatus AS class, o_totalprice AS x FROM orders WHERE concat('0x', substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 100 >= 20), "
+    "m AS (SELECT avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM f), "
+    "c AS (SELECT class, count(*) / max(n) AS prior, avg((x - m) / s) AS mean, var_pop((x - m) / s) AS var FROM f, m GROUP BY class), "
+    "l AS (SELECT o_orderkey, class, ln(prior) - 0.5 * ln(2 * pi() * var) - pow((o_totalprice - m) / s - mean, 2) / (2 * var) AS l FROM orders, m, c), "
+    "p AS (SELECT *, exp(l - max(l) OVER (PARTITION BY o_orderkey)) AS e FROM l), q AS (SELECT *, e / sum(e) OVER (PARTITION BY o_orderkey) AS p FROM p) "
+    "SELECT o_orderkey, arg_max(class, p) AS prediction, round(max(p), 5) AS prediction_confidence, "
+    "round(max(p) FILTER (class = 'F'), 5) AS p_f, round(max(p) FILTER (class = 'O'), 5) AS p_o, round(max(p) FILTER (class = 'P'), 5) AS p_p FROM q GROUP BY o_orderkey",
+)
+def _(spark, d):
+    t = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    model, _ = train.fit(t, "o_orderstatus", ["o_orderkey"], "naive_bayes")
+    path = scratch(spark, "orders-csv")
+    sinks.write_csv(t.drop("o_orderstatus"), path)
+    scored = train.score(model, readers.read_csv(spark, path), ["o_orderkey"])
+    each = [F.get("probabilities", F.lit(i)).alias(f"p_{c.lower()}") for i, c in enumerate(model.classes)]
+    return rounded(scored.select("o_orderkey", "prediction", "prediction_confidence", *each), 5, "prediction_confidence", "p_f", "p_o", "p_p")
+
+
 BEST = (
     f"WITH t AS ({RESULTS}), r AS (SELECT *, row_number() OVER (PARTITION BY target, problem_type ORDER BY test_score DESC, model_name) AS k, "
     "count(*) OVER (PARTITION BY target, problem_type) AS n FROM t) "
@@ -118,11 +157,22 @@ def _(spark, d):
     return rounded(rounded(rounded(out, 7, "mean"), 6, "std", "q25", "q50", "q75"), 5, "skew", "kurtosis")
 
 
-@query("e25_full_profile_engine")
-def _(spark, d):
-    parts = profile(derived(spark, d, "orders", ["CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price_n"]), "engine")
-    rows = [(name, table.count()) for name, table in parts.items()]
-    return spark.createDataFrame(rows, "part string, rows bigint")
+def whole_profile(rules):
+    def run(spark, d):
+        t = derived(spark, d, "orders", ["CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price_n"])
+        parts = [
+            table.select(F.lit(name).alias("part"), F.to_json(F.struct(*table.columns)).alias("row")) for name, table in profile(t, rules).items()
+        ]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.union(part)
+        return whole
+
+    return run
+
+
+query("e25_full_profile_dashboard")(whole_profile("dashboard"))
+query("e25_full_profile_engine")(whole_profile("engine"))
 
 
 # ---------------------------------------------------------------- nearest neighbours
@@ -171,9 +221,9 @@ def _(spark, d):
 
 LINE = "SELECT p_partkey AS k, p_size AS x, p_retailprice + 0.5E0 * p_size AS y FROM part"
 TRAIN = "concat('0x', substr(md5(CAST(k AS VARCHAR)), 1, 8))::BIGINT % 100 >= 20"
-# one standardised feature: z = (x - m) / s with the sample deviation; c is the mean product of z and y
+# one standardised feature: z = (x - m) / s with the population deviation; c is the mean product of z and y
 MOMENTS = (
-    f"WITH t AS ({LINE}), f AS (SELECT * FROM t WHERE {TRAIN}), m AS (SELECT avg(x) AS m, stddev_samp(x) AS s, count(*) AS n, avg(y) AS b FROM f), "
+    f"WITH t AS ({LINE}), f AS (SELECT * FROM t WHERE {TRAIN}), m AS (SELECT avg(x) AS m, stddev_pop(x) AS s, count(*) AS n, avg(y) AS b FROM f), "
     "z AS (SELECT n, m, s, b, avg((x - m) / s * (y - b)) AS c, avg((x - m) / s * (x - m) / s) AS v FROM f, m GROUP BY ALL) "
 )
 
@@ -239,7 +289,7 @@ def _(spark, d):
 @query(
     "h14_naive_bayes",
     "WITH f AS (SELECT o_orderstatus AS class, o_totalprice AS x FROM orders WHERE concat('0x', substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 100 >= 20), "
-    "m AS (SELECT avg(x) AS m, stddev_samp(x) AS s, count(*) AS n FROM f) "
+    "m AS (SELECT avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM f) "
     "SELECT class, round(count(*) / max(n), 6) AS prior, round(avg((x - m) / s), 6) + 0.0 AS mean, round(var_pop((x - m) / s), 6) AS variance FROM f, m GROUP BY class",
 )
 def _(spark, d):
@@ -252,19 +302,18 @@ def _(spark, d):
     return rounded(spark.createDataFrame(rows, "class string, prior double, mean double, variance double"), 6, "prior", "mean", "variance")
 
 
-# ---------------------------------------------------------------- models without a SQL twin
-
+# ---------------------------------------------------------------- models on targets that one feature decides
 
-def buyers(spark, d):
-    """Orders with a binary target that depends on the price and the customer."""
-    price = F.col("o_totalprice") + F.col("o_custkey") * 20
-    return read_table(spark, d, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", (price > 260000).cast("int").alias("target")
-    )
+TEST = "concat('0x', substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8))::BIGINT % 100 < 20"
+DECIDED = f"SELECT p_partkey AS row_key, (p_size % 8 >= 4)::INT::DOUBLE AS label, (p_size % 8 >= 4)::INT::DOUBLE AS prediction FROM part WHERE {TEST}"
+STEPPED = f"SELECT p_partkey AS row_key, (p_size % 8 * 10)::DOUBLE AS label, (p_size % 8 * 10)::DOUBLE AS prediction FROM part WHERE {TEST}"
 
 
-def parts(spark, d):
-    return read_table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("rank"), "p_size", "p_brand", "p_type", "p_retailprice")
+def sizes(spark, d, price=False):
+    """Parts with a feature of eight values, and the price as one that does not matter."""
+    f = F.col("p_size") % 8
+    other = ["p_retailprice"] if price else []
+    return read_table(spark, d, "part").select("p_partkey", f.alias("f"), *other, (f >= 4).cast("int").alias("above"), (f * 10.0).alias("steps"))
 
 
 def predictions(found):
@@ -273,101 +322,178 @@ def predictions(found):
     return model.predict(ready.test).select("row_key", "label", F.col("prediction").cast("double").alias("prediction"))
 
 
-def classified(name, **settings):
-    def run(spark, d):
-        return predictions(train.fit(buyers(spark, d), "target", ["o_orderkey"], name, **settings))
+def classified(name, price=False):
+    return lambda spark, d: predictions(train.fit(sizes(spark, d, price).drop("steps"), "above", ["p_partkey"], name))
 
-    return run
 
+def regressed(name, price=False, step=1e-4):
+    """Predictions to the nearest multiple of ``step``."""
 
-def regressed(name, **settings):
     def run(spark, d):
-        return predictions(train.fit(parts(spark, d), "p_retailprice", ["p_partkey"], name, **settings))
+        found = predictions(train.fit(sizes(spark, d, price).drop("above"), "steps", ["p_partkey"], name, problem="regression"))
+        return found.withColumn("prediction", F.round(F.round(F.col("prediction") / step) * step, 4) + 0.0)
 
     return run
 
 
-# fewer trees and rounds than the defaults: these entries show that every model trains and scores whole tables
-SMALL_FOREST = {"n_estimators": 20, "max_depth": 8}
-FEW_ROUNDS = {"n_estimators": 10, "max_depth": 4}
-query("h06_logistic")(classified("logistic"))
-query("h11_svc_rbf")(classified("svc"))
-query("h12_svr_rbf")(regressed("svr"))
-query("h13_knn_model")(regressed("knn"))
-query("h15_decision_tree")(classified("decision_tree"))
-query("h15_decision_tree_regression")(regressed("decision_tree"))
-query("h16_random_forest")(classified("random_forest", **SMALL_FOREST))
-query("h16_random_forest_regression")(regressed("random_forest", **SMALL_FOREST))
-query("h17_gradient_boosting")(classified("gradient_boosting", **FEW_ROUNDS))
-query("h17_gradient_boosting_regression")(regressed("gradient_boosting", **FEW_ROUNDS))
-query("h18_xgboost_preset")(regressed("xgboost", **FEW_ROUNDS))
-query("h18_lightgbm_preset")(regressed("lightgbm", **FEW_ROUNDS))
-query("h18_catboost_preset")(regressed("catboost", **FEW_ROUNDS))
-
-
-@query("h04_prepare_quick")
+for key, name, price in [
+    ("h06_logistic", "logistic", False),
+    ("h11_svc_rbf", "svc", False),
+    ("h13_knn_model_classes", "knn", False),
+    ("h15_decision_tree", "decision_tree", True),
+    ("h16_random_forest", "random_forest", True),
+    ("h17_gradient_boosting", "gradient_boosting", False),
+    ("h18_xgboost_classes", "xgboost", False),
+    ("h18_lightgbm_classes", "lightgbm", False),
+    ("h18_catboost_classes", "catboost", False),
+]:
+    query(key, DECIDED)(classified(name, price))
+for key, name, price, step in [
+    ("h12_svr_rbf", "svr", False, 10),
+    ("h13_knn_model", "knn", False, 1e-4),
+    ("h15_decision_tree_regression", "decision_tree", True, 1e-4),
+    ("h16_random_forest_regression", "random_forest", True, 1e-4),
+    ("h17_gradient_boosting_regression", "gradient_boosting", False, 1e-4),
+    ("h18_xgboost_preset", "xgboost", False, 1e-4),
+    ("h18_lightgbm_preset", "lightgbm", False, 1e-4),
+    ("h18_catboost_preset", "catboost", False, 1e-4),
+]:
+    query(key, STEPPED)(regressed(name, price, step))
+
+
+DUMMIES = ["o_orderstatus = 'O'", "o_orderstatus = 'P'"] + [f"o_orderpriority = '{p}'" for p in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
+
+
+@query(
+    "h04_prepare_quick",
+    "SELECT o_orderkey, (o_totalprice + o_custkey * 20 > 260000)::INT::DOUBLE AS label, o_custkey::DOUBLE AS x0, o_totalprice AS x1, "
+    + ", ".join(f"({c})::INT::DOUBLE AS x{i}" for i, c in enumerate(DUMMIES, 2))
+    + " FROM orders WHERE concat('0x', substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 100 >= 20",
+)
 def _(spark, d):
-    ready = train.prepare_rows(buyers(spark, d), "target", ["o_orderkey"], rules="quick")
-    return ready.train.select("o_orderkey", "label", vector_to_array("features").alias("features"))
+    target = (F.col("o_totalprice") + F.col("o_custkey") * 20 > 260000).cast("int").alias("target")
+    t = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", target)
+    ready = train.prepare_rows(t, "target", ["o_orderkey"], rules="quick")
+    x = ready.train.select("o_orderkey", "label", vector_to_array("features").alias("x"))
+    return x.select("o_orderkey", "label", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(2 + len(DUMMIES))])
+
 
+# ---------------------------------------------------------------- cross-validation and search in closed form
+
+FOLDED = (
+    f"WITH t AS ({LINE}), f AS (SELECT *, concat('0x', substr(md5(concat('folds|', k)), 1, 8))::BIGINT % 5 AS fold FROM t WHERE {TRAIN}), "
+    "m AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM f), e AS (SELECT fold, (x - m) / s AS z, y FROM f, m), "
+    "g AS (SELECT r.range AS fold, avg(z) AS mz, avg(y) AS my, covar_pop(z, y) AS c, var_pop(z) AS v, count(*)::DOUBLE AS n FROM range(5) r, e WHERE e.fold <> r.range GROUP BY 1), "
+)
+SCORED = (
+    "p AS (SELECT name, e.fold, 1 - avg(pow(y - my - w * (z - mz), 2)) / var_pop(y) AS r2 FROM e JOIN w USING (fold) GROUP BY ALL), "
+    "cv AS (SELECT name, avg(r2) AS cv_score, stddev_pop(r2) AS cv_std FROM p GROUP BY name) "
+)
 
-@query("h19_cross_validation")
+
+@query(
+    "h19_cross_validation",
+    FOLDED
+    + "w AS (SELECT fold, mz, my, unnest(['linear', 'ridge', 'lasso', 'elasticnet']) AS name, unnest([c / v, c / (v + 1 / n), "
+    "sign(c) * greatest(abs(c) - 1, 0) / v, sign(c) * greatest(abs(c) - 0.5, 0) / (v + 0.5)]) AS w FROM g), "
+    + SCORED
+    + "SELECT name, round(cv_score, 5) AS cv_score, round(cv_std, 5) AS cv_std FROM cv",
+)
 def _(spark, d):
-    run = train.train_all(parts(spark, d), "p_retailprice", ["p_partkey"], ["linear", "ridge", "decision_tree"], folds=3)
-    return run.table(spark)
+    run = train.train_all(line(spark, d), "y", ["k"], ["linear", "ridge", "lasso", "elasticnet"])
+    return rounded(run.table(spark).select("name", "cv_score", "cv_std"), 5, "cv_score", "cv_std")
 
 
-@query("h20_random_search")
+TRIED = train.search_settings("elasticnet")
+
+
+@query(
+    "h20_random_search",
+    FOLDED
+    + "s AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{s['alpha']}/{s['l1_ratio']}', {s['alpha']}::DOUBLE, {s['l1_ratio']}::DOUBLE)" for s in TRIED)
+    + ") v(name, alpha, l1)), w AS (SELECT fold, mz, my, name, sign(c) * greatest(abs(c) - alpha * l1, 0) / (v + alpha * (1 - l1)) AS w FROM g, s), "
+    + SCORED
+    + "SELECT alpha, l1 AS l1_ratio, round(cv_score, 5) AS cv_score, round(cv_std, 5) AS cv_std FROM cv JOIN s USING (name) ORDER BY cv.cv_score DESC LIMIT 1",
+)
 def _(spark, d):
     from lodestat.ml.prepare import with_folds
 
-    ready = train.prepare_rows(parts(spark, d), "p_retailprice", ["p_partkey"])
-    folded = with_folds(ready.train, 3, ["row_key"], seed="folds").persist()
-    best, mean, std = train.tune("ridge", folded, "regression", 3)
-    folded.unpersist()
-    return spark.createDataFrame([("ridge", float(best["alpha"]), mean, std)], "name string, alpha double, cv_score double, cv_std double")
+    ready = train.prepare_rows(line(spark, d), "y", ["k"], problem="regression")
+    folded = with_folds(ready.train, 5, ["row_key"], seed="folds").persist()
+    try:
+        best, mean, std = train.tune("elasticnet", folded, "regression")
+    finally:
+        folded.unpersist()
+    row = [(float(best["alpha"]), float(best["l1_ratio"]), mean, std)]
+    return rounded(spark.createDataFrame(row, "alpha double, l1_ratio double, cv_score double, cv_std double"), 5, "cv_score", "cv_std")
 
 
-@query("h21_train_all_and_rank")
+@query(
+    "h21_train_all_and_rank",
+    "SELECT unnest(["
+    + ", ".join(f"'{n}'" for n in train.CLASSIFIERS)
+    + f"]) AS name, round(avg((label = prediction)::INT), 6) AS test_score, round(avg((label = prediction)::INT), 6) AS cv_score FROM ({DECIDED})",
+)
 def _(spark, d):
-    run = train.train_all(buyers(spark, d), "target", ["o_orderkey"], ["logistic", "naive_bayes", "decision_tree"], folds=2)
-    return run.table(spark)
+    run = train.train_all(sizes(spark, d).drop("steps"), "above", ["p_partkey"])
+    return rounded(run.table(spark).select("name", "test_score", "cv_score"), 6, "test_score", "cv_score")
+
+
+# ---------------------------------------------------------------- sampled explanations
+
+# on a linear model the sampled attribution is slope * (z - mean z of the 50 background rows)
+PHI = (
+    MOMENTS
+    + f", d AS (SELECT avg((x - m) / s) AS dz FROM (SELECT x FROM t WHERE {TRAIN} ORDER BY md5(concat('42|', k)), k LIMIT 50), z), "
+    f"r AS (SELECT k AS row_key, (x - m) / s AS value, c / v * ((x - m) / s - dz) AS phi FROM (SELECT * FROM t WHERE {TRAIN} ORDER BY md5(concat('rows|', k)), k LIMIT 100), z, d) "
+)
 
 
 def explained(spark, d):
-    model, ready = train.fit(parts(spark, d), "p_retailprice", ["p_partkey"], "decision_tree")
+    model, ready = train.fit(line(spark, d), "y", ["k"], "linear", problem="regression")
     rows = explain.background(ready.train, 100, ["row_key"], seed="rows")
     sample = explain.background(ready.train, 50, ["row_key"])
-    return explain.sampled_shap(
-        rows, sample, lambda t: model.predict(t).withColumn("output", F.col("prediction")), model.feature_names, ["row_key"], permutations=8
-    )
+    return explain.sampled_shap(rows, sample, lambda t: model.predict(t).withColumn("output", F.col("prediction")), model.feature_names, ["row_key"])
 
 
-@query("i01_sampled_importance")
+@query("i01_sampled_importance", PHI + "SELECT 'x' AS feature, round(avg(abs(phi)), 4) AS importance FROM r")
 def _(spark, d):
-    return explain.shap_importance(explained(spark, d))
+    return rounded(explain.shap_importance(explained(spark, d)), 4, "importance")
 
 
-@query("i02_sampled_explanation")
+@query(
+    "i02_sampled_explanation",
+    PHI + "SELECT row_key, 'x' AS feature, round(value, 5) AS value, round(phi, 4) AS phi, CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS contribution FROM r",
+)
 def _(spark, d):
-    return explain.explain_rows(explained(spark, d), ["row_key"])
+    found = explain.explain_rows(explained(spark, d), ["row_key"]).select("row_key", "feature", "value", "phi", "contribution")
+    return rounded(rounded(found, 5, "value"), 4, "phi")
 
 
 @query("i04_multiclass_explanation")
 def _(spark, d):
     t = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     model, ready = train.fit(t, "o_orderstatus", ["o_orderkey"], "decision_tree")
-    return explain.explain_predicted_class(model, ready.train, ["row_key"], permutations=4)
+    return explain.explain_predicted_class(model, ready.train, ["row_key"])
 
 
-@query("i05_importance_fallback")
+@query(
+    "i05_importance_fallback",
+    # the forest splits on f alone: f explains all of the target's variance
+    "WITH t AS (SELECT p_size % 8 AS f, p_size % 8 * 10 AS y FROM part), g AS (SELECT f, var_pop(y) AS v, count(*) AS n FROM t GROUP BY f), "
+    "w AS (SELECT sum(v * n) / sum(n) AS inside FROM g), a AS (SELECT var_pop(y) AS v FROM t) "
+    "SELECT unnest(['f', 'p_retailprice']) AS feature, unnest([round(1 - inside / v, 6), round(inside / v, 6)]) AS importance, true AS fallback FROM w, a",
+)
 def _(spark, d):
-    model, ready = train.fit(parts(spark, d), "p_retailprice", ["p_partkey"], "random_forest", **SMALL_FOREST)
+    t = sizes(spark, d, price=True).drop("above")
+    found, ready = train.fit(t, "steps", ["p_partkey"], "random_forest", problem="regression")
 
-    def unsupported():
-        raise LodestatError("no attributions for this model")
+    def attributions():
+        # attributions by coefficients: a forest has none
+        return explain.linear_shap(t, dict(zip(found.feature_names, found.model.coefficients)), ["p_partkey"])
 
-    return explain.importance_or_fallback(spark, model, unsupported)
+    return rounded(explain.importance_or_fallback(spark, found, attributions).drop("error"), 6, "importance")
 
 
 @query(

@@ -142,11 +142,10 @@ def _(spark, d):
 
 @query(
     "g03_sort_models",
-    f'{RES} SELECT target, model_name, "precision" FROM t ORDER BY coalesce("precision", 0) DESC, model_name, target LIMIT 40',
+    f'{RES} SELECT target, model_name, "precision" FROM t',
 )
 def _(spark, d):
-    ordered = ranking.sort_models(results(spark, d).select("target", "model_name", "precision"), "precision")
-    return ordered.orderBy(F.coalesce("precision", F.lit(0)).desc(), "model_name", "target").limit(40)
+    return ranking.sort_models(results(spark, d).select("target", "model_name", "precision"), "precision")
 
 
 @query(
@@ -154,14 +153,14 @@ def _(spark, d):
     "WITH i AS (SELECT c.* FROM (SELECT abs(corr(l_quantity, l_extendedprice)) AS a, abs(corr(l_discount, l_extendedprice)) AS b, "
     "abs(corr(l_tax, l_extendedprice)) AS c, abs(corr(l_linenumber, l_extendedprice)) AS d FROM lineitem) s, "
     "LATERAL (VALUES ('l_quantity', a), ('l_discount', b), ('l_tax', c), ('l_linenumber', d)) c(feature, importance)) "
-    "SELECT feature, round(importance, 9) AS importance, round(importance / max(importance) OVER (), 6) AS relative FROM i ORDER BY importance DESC LIMIT 3",
+    "SELECT feature, round(importance, 9) AS importance, round(importance / max(importance) OVER (), 6) AS relative FROM i ORDER BY importance DESC LIMIT 10",
 )
 def _(spark, d):
     from lodestat.operators.stats import corr_matrix
 
     cols = ["l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber"]
     pairs = corr_matrix(read_table(spark, d, "lineitem"), cols).where("i = 0 AND j > 0")
-    top = charts.top_features(pairs.select(F.col("col2").alias("feature"), F.abs("r").alias("importance")), 3)
+    top = charts.top_features(pairs.select(F.col("col2").alias("feature"), F.abs("r").alias("importance")))
     return rounded(rounded(top, 9, "importance"), 6, "relative")
 
 

@@ -49,10 +49,10 @@ def fit_recipe(df: DataFrame, steps: list[dict]) -> FittedRecipe:
             keys += needs
             dirty |= op.writes(df, step)
             rows_changed = rows_changed or op.changes_rows(step)
-            if whole:
-                at += 1
-                break
             at += 1
+            # the columns that one-hot encoding makes depend on the data: later steps are planned on its result
+            if whole or step.get("method") == "one_hot":
+                break
         stats = fit_statistics(df, keys)
         passes += bool(keys)
         for step in group:

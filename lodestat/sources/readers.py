@@ -15,7 +15,7 @@ NA_TOKENS = [
     "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,7 +48,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(texts):
         aggs += [
             F.count(named(c)).alias(f"n{i}"),
-            F.bool_and(named(c).rlike(WHOLE_NUMBER)).alias(f"int{i}"),
+            F.bool_and(named(c).rlike(WHOLE_NUMBER)).alias(f"whole{i}"),
+            F.bool_and(F.trim(named(c)).try_cast("bigint").isNotNull()).alias(f"int{i}"),
             F.bool_and(named(c).rlike(NUMBER)).alias(f"num{i}"),
             F.bool_and(named(c).isin("True", "False", "true", "false", "TRUE", "FALSE")).alias(f"bool{i}"),
         ]
@@ -56,18 +57,21 @@ def infer_types(df: DataFrame) -> DataFrame:
     types = {}
     for i, c in enumerate(texts):
         if row[f"n{i}"]:
-            types[c] = "bigint" if row[f"int{i}"] else "double" if row[f"num{i}"] else "boolean" if row[f"bool{i}"] else None
+            if row[f"whole{i}"] and not row[f"int{i}"]:
+                continue  # whole numbers beyond bigint: a double would lose digits, so they stay text
+            types[c] = "bigint" if row[f"whole{i}"] else "double" if row[f"num{i}"] else "boolean" if row[f"bool{i}"] else None
     casts = {c: F.trim(named(c)).cast(t) for c, t in types.items() if t}
     return df.withColumns(casts) if casts else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header. Malformed rows fail the read; an empty file raises ``EmptySource``.
 
     With a schema the file is read once. Without one the columns are read as text, missing-value
     tokens are cleared and the types are found in one more pass; give the schema for large files.
+    Quoted values may hold line breaks; without them ``multi_line=False`` lets Spark split large files.
     """
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", False)
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.csv(path)

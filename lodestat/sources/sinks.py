@@ -16,7 +16,8 @@ EXPERIMENT = (
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out = df.write.mode(mode).option("header", True).option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def log_experiment(rows: DataFrame, path: str) -> None:

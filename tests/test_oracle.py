@@ -5,7 +5,6 @@ from oracle import compare, connect
 
 from lodestat.plans.catalog import ORACLES, QUERIES
 
-SLOW = {"h11_svc_rbf", "h12_svr_rbf", "h21_train_all_and_rank", "e25_full_profile_engine"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def test_matches_sql(spark, data, duck, name):
     assert ok, text
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_sql(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
