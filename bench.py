@@ -36,6 +36,10 @@ HEADLINE = [
     "h34_auc",
     "h24_batch_score",
     "j01_classify_intent",
+    "h13_nearest_neighbors",
+    "h16_random_forest",
+    "e25_full_profile_dashboard",
+    "e25_full_profile_engine",
 ]
 
 

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestat import errors
-from lodestat.operators import charts, clean, evaluate, outliers, quality, schema, stats, text
+from lodestat.operators import charts, clean, evaluate, outliers, quality, schema, series, stats, text
+from lodestat.plans.profile import column_profile
 from lodestat.plans.recipe import Recipe, apply_recipe, fit_recipe
+from lodestat.sources import readers
 
 
 def one(df):
@@ -107,8 +109,9 @@ def test_encodings(spark):
     assert values(clean.label_encode(df, "n"), "n") == [0, 1, 2, 0]  # "10" < "9" < "nan"
     assert clean.one_hot(df, "n").columns == ["n_10"]
     assert values(clean.one_hot(df, "n"), "n_10") == [1, 0, 0, 1]
+    assert len(clean.one_hot(spark.range(300), "id").columns) == 299
     with pytest.raises(errors.TooManyCategories):
-        clean.one_hot(spark.range(300), "id")
+        clean.one_hot(spark.range(300), "id", max_categories=200)
 
 
 def test_odd_column_names(spark):
@@ -199,3 +202,56 @@ def test_unknown_names_raise(spark):
     with pytest.raises(errors.NotNumeric):
         clean.scale(df.select(F.lit("x").alias("s")), "s", "minmax")
     assert clean.drop_column(df, "absent").columns == ["id"]
+
+
+def test_steps_on_columns_that_one_hot_makes(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", None), ("c", 9.0)], "g string, x double")
+    start = {"op": "encode", "column": "g", "method": "one_hot"}
+    scaled = apply_recipe(df, [start, {"op": "scale", "column": "g_b", "method": "minmax"}])
+    assert values(scaled, "g_b") == [0.0, 1.0, 1.0, 0.0]
+    assert values(apply_recipe(df, [start, {"op": "fill_na", "column": "g_b", "method": "mean"}]), "g_b") == [0, 1, 1, 0]
+    clipped = apply_recipe(df, [start, {"op": "handle_outliers", "column": "g_b", "method": "clip"}])
+    assert clipped.columns == ["x", "g_b", "g_c"]
+
+
+def test_tables_without_numeric_columns(spark):
+    df = spark.createDataFrame([("x", "y"), (None, "z")], "a string, b string")
+    assert stats.describe(df).count() == outliers.detect_outliers(df).count() == stats.corr_matrix(df).count() == 0
+    assert outliers.detect_outliers(df).columns[-1] == "sample_values"
+    assert stats.value_ranges(df).count() == stats.sigma_outliers(df).count() == 0
+    assert {r["kind"] for r in quality.quality_report(df).collect()} == {"missing", "encoding"}
+    assert column_profile(df).count() == 2
+
+
+def test_duplicates_are_counted_and_dropped_alike(spark):
+    df = spark.sql("SELECT 1 AS k, CAST('NaN' AS DOUBLE) AS x, map('a', 1) AS m UNION ALL SELECT 1, NULL, map('a', 2) UNION ALL SELECT 2, 1.0, NULL")
+    assert stats.duplicate_count(df) == 1
+    dropped = clean.drop_duplicates(df)
+    assert dropped.count() == 2 and dropped.columns == ["k", "x", "m"]
+
+
+def test_infinite_values_leave_no_spread(spark):
+    found = one(stats.describe(spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "x double")))
+    assert found["std"] is found["skew"] is found["kurtosis"] is None and found["count"] == 3
+
+
+def test_correlations_of_many_columns_with_holes(spark):
+    columns = [F.when(F.rand(i) > 0.2, F.randn(i) + F.col("id") / (1000 * (i + 1))).alias(f"c{i}") for i in range(100)]
+    df = spark.range(10_000).select(*columns)
+    got = {(r["i"], r["j"]): r["r"] for r in stats.corr_matrix(df).collect()}
+    want = df.toPandas().corr().to_numpy()
+    assert len(got) == 10_000
+    assert max(abs(got[i, j] - want[i, j]) for i in range(100) for j in range(100)) < 1e-9
+
+
+def test_a_late_text_makes_no_date_column(spark):
+    rows = [(f"2024-01-{1 + i % 28:02d}",) for i in range(150)] + [("soon",)] * 50
+    assert series.detect_datetime(spark.createDataFrame(rows, "d string")) == []
+    assert series.detect_datetime(spark.createDataFrame(rows[:150] + [(None,)], "d string")) == ["d"]
+
+
+def test_whole_numbers_beyond_bigint_stay_text(spark):
+    df = spark.createDataFrame([("9007199254740993123", "99999999999999999999"), ("9007199254740993124", "1")], "a string, b string")
+    typed = readers.infer_types(df)
+    assert dict(typed.dtypes) == {"a": "bigint", "b": "string"}
+    assert values(typed, "a") == [9007199254740993123, 9007199254740993124]

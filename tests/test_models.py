@@ -171,3 +171,32 @@ def test_text_features_with_many_classes_take_the_join(spark, tmp_path, monkeypa
     assert got[0] == got[1] == got[2]
     unseen = spark.createDataFrame([(1, "never seen")], "id bigint, s string")
     assert train.score(wide, unseen, ["id"]).first()["prediction"] is not None
+
+
+def test_one_against_rest_gives_probabilities(spark):
+    rows = [(i, float(i % 3), "pqr"[i % 3]) for i in range(120)]
+    model, _ = train.fit(spark.createDataFrame(rows, "id bigint, x double, y string"), "y", ["id"], "gradient_boosting", n_estimators=5)
+    scored = train.score(model, spark.createDataFrame(rows, "id bigint, x double, y string"), ["id"]).collect()
+    assert all(r["prediction"] == r["y"] and 0 < r["prediction_confidence"] <= 1 for r in scored)
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 and len(r["probabilities"]) == 3 for r in scored)
+
+
+def test_a_failed_search_trains_the_untuned_model(linear_rows, monkeypatch):
+    def broken(*_, **__):
+        raise errors.LodestatError("no search")
+
+    monkeypatch.setattr(train, "tune", broken)
+    run = train.train_all(linear_rows[0], "y", ["id"], ["ridge"], folds=2, tuning=True)
+    assert run.results[0]["model_name"] == "Ridge Regression"
+
+
+def test_failed_models_are_listed(spark, linear_rows):
+    run = train.train_all(linear_rows[0], "y", ["id"], ["linear", "nonsense"], folds=2)
+    rows = {r["name"]: r for r in run.table(spark).collect()}
+    assert rows["nonsense"]["error"].startswith("UnknownOperation") and rows["linear"]["error"] is None
+
+
+def test_quick_rules_train_two_models(spark, linear_rows):
+    run = train.train_all(linear_rows[0], "y", ["id"], folds=2, rules="quick")
+    assert {r["name"] for r in run.results} == {"random_forest", "linear"}
+    assert models.build("boosting:unheard", "regression", models.TrainingFacts(10, 1, 0, 1.0)).getMaxBins() == 256
