@@ -261,32 +261,32 @@ def _(spark, d):
     return recipe.apply(dirty(spark, d)).select(*KEYS, "qty_n", "l_extendedprice", "flag_n")
 
 
+# numeric columns that a fix may clip; the fill of qty_n and the dropped rows come before the clips
+CLIPPED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "qty_n", "tax_n", "const_c"]
+
+
+def clipped_sum(c):
+    """Sum of a column, clipped to the fences of the rows left if the report finds outliers in it."""
+    fence = "(quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)))", "(quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)))"
+    low, high = (f.format(c=c) for f in fence)
+    flagged = f"(SELECT count(*) > 0 FROM t, (SELECT {low} AS lo, {high} AS hi FROM t) f WHERE {c} < lo OR {c} > hi)"
+    return (
+        f"round((SELECT sum(CASE WHEN {flagged} THEN least(greatest({c}, lo), hi) ELSE {c} END) FROM d, (SELECT {low} AS lo, {high} AS hi FROM d) f), 2)::DOUBLE AS {c}"
+    )
+
+
 @query(
     "c21_auto_clean",
-    f"{T}, d AS (SELECT * EXCLUDE (disc_n, l_shipdate) FROM t WHERE tax_n IS NOT NULL) "
-    "SELECT count(*) AS n, round(sum(coalesce(qty_n, 0)), 2) AS qty, round(sum(tax_n), 2) AS tax, count(*) FILTER (l_returnflag = 'N') AS flag_n, "
-    "count(*) FILTER (l_linestatus = 'O') AS status_o, count(*) FILTER (coalesce(flag_n, '0') = 'R') AS flag_r FROM d",
+    f"{T}, d AS (SELECT * REPLACE (coalesce(qty_n, 0) AS qty_n) FROM t WHERE tax_n IS NOT NULL AND disc_n IS NOT NULL AND flag_n IS NOT NULL) "
+    "SELECT count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS flag_n, count(*) FILTER (l_linestatus = 'O') AS status_o, "
+    "count(*) FILTER (flag_n = 'R') AS flag_r, " + ", ".join(clipped_sum(c) for c in CLIPPED) + " FROM d",
 )
 def _(spark, d):
     t = dirty(spark, d).drop("l_shipdate")
     report = quality.quality_report(t)
-    # dropping rows first would remove every row with any missing value, so the rows-only fix goes last
-    found = report.select("kind", "column", F.col("recommendation").alias("strategy")).where("kind != 'outlier' AND column != 'tax_n'")
-    fixed, _ = auto_clean(t, found)
-    fixed = clean.drop_na(fixed)
-    return rounded(
-        fixed.agg(
-            F.count("*").alias("n"),
-            F.sum("qty_n").alias("qty"),
-            F.sum("tax_n").alias("tax"),
-            F.sum("l_returnflag_N").alias("flag_n"),
-            F.sum("l_linestatus_O").alias("status_o"),
-            F.count_if(F.col("flag_n") == "R").alias("flag_r"),
-        ),
-        2,
-        "qty",
-        "tax",
-    )
+    fixed, _ = auto_clean(t, report.select("kind", "column", F.col("recommendation").alias("strategy")))
+    counts = [F.count("*").alias("n"), F.sum("l_returnflag_N").alias("flag_n"), F.sum("l_linestatus_O").alias("status_o"), F.count_if(F.col("flag_n") == "R").alias("flag_r")]
+    return rounded(fixed.agg(*counts, *[F.sum(F.col(c).cast("double")).alias(c) for c in CLIPPED]), 2, *CLIPPED)
 
 
 @query(

@@ -496,14 +496,23 @@ def _(spark, d):
     return rounded(explain.importance_or_fallback(spark, found, attributions).drop("error"), 6, "importance")
 
 
+MEASURED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "qty_n", "tax_n", "disc_n", "const_c"]
+FENCED = "SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM t"
+
+
 @query(
     "d08_merge_all_reports",
-    f"WITH t AS ({as_sql('lineitem', LINEITEM)}) SELECT 'missing' AS kind, 'qty_n' AS \"column\", 'median' AS strategy FROM t HAVING count(*) > count(qty_n) "
+    f"WITH t AS ({as_sql('lineitem', LINEITEM)}), r AS (SELECT 'missing' AS kind, 'qty_n' AS \"column\", 'impute' AS strategy FROM t HAVING count(*) > count(qty_n) "
     "UNION ALL SELECT 'missing', 'tax_n', 'drop_rows' FROM t HAVING count(*) > count(tax_n) UNION ALL SELECT 'missing', 'disc_n', 'drop_column' FROM t HAVING count(*) > 2 * count(disc_n) "
     "UNION ALL SELECT 'missing', 'flag_n', 'impute' FROM t HAVING count(*) > count(flag_n) UNION ALL SELECT 'encoding', 'l_returnflag', 'one_hot' FROM t HAVING count(DISTINCT l_returnflag) < 10 "
-    "UNION ALL SELECT 'encoding', 'l_linestatus', 'one_hot' FROM t HAVING count(DISTINCT l_linestatus) < 10",
+    "UNION ALL SELECT 'encoding', 'l_linestatus', 'one_hot' FROM t HAVING count(DISTINCT l_linestatus) < 10 "
+    + "".join(
+        f"UNION ALL SELECT 'outlier', '{c}', 'clip' FROM t, ({FENCED.format(c=c)}) HAVING count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) > 0 "
+        for c in MEASURED
+    )
+    + ") SELECT kind, \"column\", CASE WHEN \"column\" = 'qty_n' THEN 'median' ELSE strategy END AS strategy FROM r",
 )
 def _(spark, d):
-    report = quality.quality_report(derived(spark, d, "lineitem", LINEITEM)).where("kind != 'outlier'")
+    report = quality.quality_report(derived(spark, d, "lineitem", LINEITEM))
     given = spark.createDataFrame([("qty_n", "median", "skewed")], "column string, strategy string, reasoning string")
     return quality.merge_recommendations(report, given).select("kind", "column", "strategy")
