@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,18 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and the shuffle files of what led to it released.
+
+    Spark deletes them when the driver's garbage is collected, which a driver with little to do may put off until the disks of a
+    many-phase operator are full.
+    """
+    out = checkpointed(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable over the links, for every node that has one.
 

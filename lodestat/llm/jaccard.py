@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestat.llm.exchange import bucket_count, components, text_bytes
+from lodestat.llm.exchange import bucket_count, components, settled, text_bytes
 from lodestat.llm.words import chunks, longs, mix, packed, range_hashes, split
 from lodestat.session import checkpointed
 
 FLUSH_WORDS = 1_000_000
 BLOCK_ROWS = 4096
+BUCKET_BYTES = 64 << 20
+_SHORT = 5  # bytes of a token that are sent; its bucket tells further bits, and a false match only costs a comparison
 _GROWTH = 1.5
 _MEMBER, _TOKENS, _SHARED = 0, 1, 2
 
@@ -196,7 +198,7 @@ def _group(k: int, part: int, whole: int, buckets: int):
         order = np.lexsort((at, bucket))
         for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
             used, counts = np.unique(at[own], return_counts=True)
-            payload = b"".join(p.tobytes() for p in (np.int64([len(used)]), ids[used], counts.astype(np.uint32), token[own]))
+            payload = b"".join(p.tobytes() for p in (np.int64([len(used)]), ids[used], counts.astype(np.uint32), token[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SHORT]))
             yield _batch(_TOKENS, 1, bucket=[int(bucket[own[0]])], payload=[payload])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +220,9 @@ def _group(k: int, part: int, whole: int, buckets: int):
 def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(payload, np.int64, 1)[0])
     ids, counts = np.frombuffer(payload, np.int64, n, 8), np.frombuffer(payload, np.uint32, n, 8 + 8 * n)
-    return np.repeat(ids, counts), np.frombuffer(payload, np.uint64, -1, 8 + 12 * n)
+    wide = np.zeros((int(counts.sum()), 8), np.uint8)
+    wide[:, :_SHORT] = np.frombuffer(payload, np.uint8, -1, 8 + 12 * n).reshape(-1, _SHORT)
+    return np.repeat(ids, counts), wide.view("<u8").ravel()
 
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +313,35 @@ def _bounded_pairs(part: int, whole: int):
     return run
 
 
+def _named_in(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that the pairs name, and a few others.
+
+    A bitmap of hashed ids (16 bits for each id, 32 MB at most) goes to all tasks, so that texts which no pair needs are not
+    shuffled. Where it fills up, more texts are, with the same result.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(F.floor(slot / 64).alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = longs(batch.column("slot"))
+            held = (shared.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(held.astype(bool))).select(["id_", "text"])
+
+    tagged = docs.where("doc_id is not null").select(F.col("doc_id").alias("id_"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
+    return tagged.mapInArrow(run, "id_ long, text string")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     """The pairs (a, b) whose texts link."""
-    texts = docs.select(F.col("doc_id").alias("id_"), "text")
+    pairs = checkpointed(pairs)
+    texts = _named_in(pairs, docs)
     both = pairs.join(texts, pairs.a == texts.id_).select("a", "b", F.col("text").alias("text_a"))
     both = both.join(texts, both.b == texts.id_).select("a", "b", "text_a", F.col("text").alias("text_b"))
 
@@ -336,9 +366,8 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     component; rows that share a doc_id are one node. No rows give no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    n = bucket_count(text_bytes(rows))
-    found = rows.mapInArrow(_group(k, part, whole, n), _ROW).repartition(n, "bucket").mapInArrow(_share, _ROW)
-    found = checkpointed(found)
+    n = bucket_count(text_bytes(rows), BUCKET_BYTES)
+    found = settled(rows.mapInArrow(_group(k, part, whole, n), _ROW).repartition(n, "bucket").mapInArrow(_share, _ROW))
     members = found.where(F.col("kind") == _MEMBER).select("doc_id", "n", "group", "fp1", "fp2", "payload")
     shared = checkpointed(found.where(F.col("kind") == _SHARED).select(F.col("fp1").alias("list"), "group").distinct())
 
@@ -356,26 +385,44 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
 
     firsts = shared.groupBy("list").agg(F.min("group").alias("b"))
     star = shared.join(firsts, "list").where(F.col("group") != F.col("b")).select(F.col("group").alias("a"), "b").distinct()
-    edges = checkpointed(equal.union(_verify(fit(star, heads), rows, k, part, whole)))
+    edges = settled(equal.union(_verify(fit(star, heads), rows, k, part, whole)))
     roots = components(edges)
 
     rooted = shared.join(roots, shared.group == roots.node, "left").select("list", "group", F.coalesce("root", "group").alias("root"))
     divided = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    inside = members.where("n > 0").groupBy("doc_id", "group", "fp1", "fp2").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
-    met = rooted.join(divided, "list").join(inside, "group").select("list", "root", "doc_id", "n", "payload")
-    met = checkpointed(met)
-    blocks = met.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    met = met.join(blocks, "list").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    inside = members.where("n > 0").select("doc_id", "group")
+    lists = checkpointed(rooted.join(divided, "list").join(inside, "group").select("list", "root", "doc_id").distinct())
+    # Documents tied by lists get a common label: twice the smallest of their lists, each time followed once. Lists whose documents
+    # all carry one label are compared together, so each document is sent once; any other list, and any label with more documents
+    # than a block, is compared list by list.
+    label = lists.select("doc_id", F.col("doc_id").alias("label")).distinct()
+    for _ in range(2):
+        least = lists.join(label, "doc_id").groupBy("list").agg(F.min("label").alias("label"))
+        lower = lists.join(least, "list").groupBy("doc_id").agg(F.min("label").alias("label"))
+        lead = lower.select(F.col("doc_id").alias("lead"), F.col("label").alias("its"))
+        label = checkpointed(lower.join(lead, F.col("label") == F.col("lead")).select("doc_id", F.col("its").alias("label")))
+    labelled = lists.join(label, "doc_id")
+    whole_lists = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("list", F.col("low").alias("label"))
+    within = label.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= BLOCK_ROWS).select("label")
+    covered = checkpointed(whole_lists.join(within, "label"))
+    alone = labelled.join(covered.select("label").distinct(), "label", "left_semi").select(F.col("label").alias("list"), "doc_id", "root").distinct()
+    many = lists.join(covered.select("list"), "list", "left_anti").select("list", "doc_id", "root")
+    blocks = many.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    units = settled(alone.withColumn("blocks", F.lit(1)).union(many.join(blocks, "list").select("list", "doc_id", "root", "blocks")))
+    known = members.where("n > 0").join(units.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.groupBy("doc_id", "fp1", "fp2").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
+    met = units.join(known, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
     met = met.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
     opened = met.select("list", "low", "high", "side", "root", "doc_id", "n", "payload").mapInArrow(_bounded_pairs(part, whole), "a long, b long")
-    opened = opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    opened = settled(opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    del met, known
     grouped = members.where("doc_id <> group").select(F.col("doc_id").alias("a"), F.col("group").alias("b"))
     late = _verify(opened, rows, k, part, whole)
     late = late.join(grouped, "a", "left").select(F.coalesce(grouped.b, "a").alias("a"), late.b.alias("y"))
     late = late.join(grouped.select(F.col("a").alias("y"), F.col("b").alias("g")), "y", "left").select("a", F.coalesce("g", "y").alias("b"))
-    late = checkpointed(late)
+    late = settled(late)
     final = components(edges.union(late)) if late.limit(1).count() else roots
 
     out = members.join(final, members.group == final.node, "left")

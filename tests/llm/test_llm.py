@@ -221,9 +221,10 @@ def test_join_of_documents(spark, data, texts):
     assert got == brute.components(texts, 3, 90, 100)
 
 
-@pytest.mark.parametrize("k,part", [(3, 90), (5, 80), (2, 50)])
-def test_join_of_near_copies(spark, k, part, monkeypatch):
+@pytest.mark.parametrize("k,part,block", [(3, 90, 4096), (5, 80, 4096), (2, 50, 4096), (2, 50, 3)])
+def test_join_of_near_copies(spark, k, part, block, monkeypatch):
     monkeypatch.setattr(jaccard, "FLUSH_WORDS", 2000)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     random.seed(part)
     vocabulary = [f"v{j}" for j in range(40)]
     rows = []
