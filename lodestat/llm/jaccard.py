@@ -289,7 +289,9 @@ def _bounded_pairs(part: int, whole: int):
                 right.append(ids[b[held]])
         if not left:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+        a, b = np.concatenate(left), np.concatenate(right)
+        unit = [pa.array([table.column(c)[0].as_py()] * len(a), t) for c, t in (("list", pa.int64()), ("low", pa.int32()), ("high", pa.int32()))]
+        return pa.RecordBatch.from_arrays([*unit, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["list", "low", "high", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -358,6 +360,68 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def _links_in(k: int, part: int, whole: int):
+    """Links among the pairs of each unit. A unit's texts come first and then its pairs; pairs joined by links found so far are
+    left out, as they cannot change the components."""
+
+    def compare(ids: list[int], texts: list[str], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        sets: dict[int, list[np.ndarray]] = {}
+        table = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        for batch in chunks(iter([table])):
+            _, code, sizes = shingles(batch.column("text"), k)
+            for i, own in zip(batch.column("doc_id").to_pylist(), np.split(code, np.cumsum(sizes)[:-1]), strict=True):
+                sets.setdefault(i, []).append(own)  # several if rows share a doc_id
+        root = {i: i for i in sets}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        for a, b in pairs:
+            if find(a) != find(b) and any(
+                len(x) and len(y) and _linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), part, whole) for x in sets[a] for y in sets[b]
+            ):
+                root[find(a)] = find(b)
+                out.append((a, b))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, texts, pairs = None, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            found = compare(ids, texts, pairs) if pairs else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("list", "low", "high", "a", "b", "text"))
+            for unit_list, low, high, a, b, text in zip(*columns, strict=True):
+                if (unit_list, low, high) != name:
+                    yield flush()
+                    name, ids, texts, pairs = (unit_list, low, high), [], [], []
+                if b is None:
+                    ids.append(a)
+                    texts.append(text or "")
+                else:
+                    pairs.append((a, b))
+        yield flush()
+
+    return run
+
+
+def _verify_units(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """The links among pairs (list, low, high, a, b), each compared in its unit, to which every text is sent once."""
+    unit = ["list", "low", "high"]
+    texts = _named_in(pairs, docs)
+    sides = pairs.select(*unit, F.col("a").alias("id")).union(pairs.select(*unit, "b")).distinct()
+    given = sides.join(texts, sides.id == texts.id_).select(*unit, F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    rows = given.union(pairs.select(*unit, "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit, F.col("b").isNotNull(), "a", "b")
+    return rows.mapInArrow(_links_in(k, part, whole), "a long, b long")
+
+
 def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when whole * |A and B| >= part * |A or B|.
 
@@ -415,11 +479,13 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
     met = met.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    opened = met.select("list", "low", "high", "side", "root", "doc_id", "n", "payload").mapInArrow(_bounded_pairs(part, whole), "a long, b long")
-    opened = settled(opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    opened = met.select("list", "low", "high", "side", "root", "doc_id", "n", "payload").mapInArrow(
+        _bounded_pairs(part, whole), "list long, low int, high int, a long, b long"
+    )
+    opened = settled(opened.groupBy("a", "b").agg(F.min(F.struct("list", "low", "high")).alias("unit")).select("unit.*", "a", "b"))
     del met, known
     grouped = members.where("doc_id <> group").select(F.col("doc_id").alias("a"), F.col("group").alias("b"))
-    late = _verify(opened, rows, k, part, whole)
+    late = _verify_units(opened, rows, k, part, whole)
     late = late.join(grouped, "a", "left").select(F.coalesce(grouped.b, "a").alias("a"), late.b.alias("y"))
     late = late.join(grouped.select(F.col("a").alias("y"), F.col("b").alias("g")), "y", "left").select("a", F.coalesce("g", "y").alias("b"))
     late = settled(late)
