@@ -436,8 +436,11 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     shared = checkpointed(found.where(F.col("kind") == _SHARED).select(F.col("fp1").alias("list"), "group").distinct())
 
     heads = members.where("doc_id = group and n > 0").groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("n", "fp1", "fp2")))
-    equal = heads.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("b"))
-    equal = heads.join(equal, ["n", "fp1", "fp2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    # Equal sets, whatever their tasks, are tied to the one with the smallest doc_id; only this one is opened later.
+    sets = members.where("n > 0").select("n", "fp1", "fp2", "doc_id", "group")
+    firsts_of = checkpointed(sets.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("doc_id", "group")).alias("first")).select("n", "fp1", "fp2", "first.*"))
+    tied = firsts_of.select("n", "fp1", "fp2", F.col("group").alias("b"))
+    equal = sets.select("n", "fp1", "fp2", F.col("group").alias("a")).distinct().join(tied, ["n", "fp1", "fp2"]).where("a <> b").select("a", "b").distinct()
 
     def fit(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs whose sizes allow a link and whose sets are not known to be equal."""
@@ -454,7 +457,7 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
 
     rooted = shared.join(roots, shared.group == roots.node, "left").select("list", "group", F.coalesce("root", "group").alias("root"))
     divided = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    inside = members.where("n > 0").select("doc_id", "group")
+    inside = firsts_of.select("doc_id", "group")
     lists = checkpointed(rooted.join(divided, "list").join(inside, "group").select("list", "root", "doc_id").distinct())
     # Documents tied by lists get a common label: twice the smallest of their lists, each time followed once. Lists whose documents
     # all carry one label are compared together, so each document is sent once; any other list, and any label with more documents
@@ -473,7 +476,7 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     many = lists.join(covered.select("list"), "list", "left_anti").select("list", "doc_id", "root")
     blocks = many.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     units = settled(alone.withColumn("blocks", F.lit(1)).union(many.join(blocks, "list").select("list", "doc_id", "root", "blocks")))
-    known = members.where("n > 0").join(units.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = members.where("n > 0").join(firsts_of.join(units, "doc_id", "left_semi"), ["doc_id", "n", "fp1", "fp2"], "left_semi")
     known = known.groupBy("doc_id", "fp1", "fp2").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
     met = units.join(known, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

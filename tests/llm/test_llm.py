@@ -250,6 +250,23 @@ def test_join_edges(edge, nothing):
     assert jaccard.link(nothing).count() == 0
 
 
+def test_join_opens_one_of_equal_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FLUSH_WORDS", 200)
+    opened, verify = [], jaccard._verify_units
+
+    def counted(pairs, *rest):
+        opened.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify_units", counted)
+    shared = [f"s{j}" for j in range(20)]  # two families that share tokens and pass the bound on the overlap, but do not link
+    families = [" ".join(shared + [f"{name}0x{j}" for j in range(11)]) for name in "ab"]
+    rows = [(i, families[i % 2]) for i in range(1, 81)]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 2, 50, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows, 2, 50, 100)
+    assert opened == [1]
+
+
 def test_linked_sets_share_a_token():
     rng = np.random.default_rng(3)
     for part in (50, 80, 90):
