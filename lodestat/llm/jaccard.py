@@ -29,6 +29,7 @@ from lodestat.session import checkpointed
 
 FLUSH_WORDS = 1_000_000
 BLOCK_ROWS = 4096
+BLOCK_SHINGLES = 4 << 20  # 32 MB of sets
 BUCKET_BYTES = 64 << 20
 _SHORT = 5  # bytes of a token that are sent; its bucket tells further bits, and a false match only costs a comparison
 _GROWTH = 1.5
@@ -266,16 +267,16 @@ def _bounded_pairs(part: int, whole: int):
     Rows come ordered by block; those of one block are compared at once, however they fall into batches.
     """
 
-    def compare(table: pa.Table) -> pa.RecordBatch | None:
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, n, root, side = (table.column(c).to_numpy() for c in ("doc_id", "n", "root", "side"))
         raw = table.column("payload").to_pylist()
         least = min((len(b) for b in raw if b), default=1)
-        counts = np.full((len(ids), least), 60_000, np.uint16)  # without a sketch: no bound
+        counts = np.full((len(ids), least), 2**32 - 1, np.uint32)  # without a sketch: no bound
         for k, b in enumerate(raw):
             if b:
                 counts[k] = np.frombuffer(b, np.uint8).reshape(least, -1).sum(axis=1)
         two_sided = side.min() != side.max()
-        left, right, step = [], [], max(1, (8 << 20) // (least * len(ids)))
+        step = max(1, (8 << 20) // (least * len(ids)))
         for at in range(0, len(ids), step):
             mine = slice(at, at + step)
             may = (root[mine, None] != root[None]) & (ids[mine, None] < ids[None] if not two_sided else (side[mine, None] == 0) & (side[None] == 1))
@@ -285,13 +286,10 @@ def _bounded_pairs(part: int, whole: int):
                 a, b = i[cut : cut + max(1, (8 << 20) // least)] + at, j[cut : cut + max(1, (8 << 20) // least)]
                 most = np.minimum(np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64), np.minimum(n[a], n[b]))
                 held = _linked(most, n[a], n[b], part, whole)
-                left.append(ids[a[held]])
-                right.append(ids[b[held]])
-        if not left:
-            return None
-        a, b = np.concatenate(left), np.concatenate(right)
-        unit = [pa.array([table.column(c)[0].as_py()] * len(a), t) for c, t in (("list", pa.int64()), ("low", pa.int32()), ("high", pa.int32()))]
-        return pa.RecordBatch.from_arrays([*unit, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["list", "low", "high", "a", "b"])
+                a, b = ids[a[held]], ids[b[held]]
+                unit = [pa.array(np.full(len(a), table.column(c)[0].as_py()), t) for c, t in (("list", pa.int64()), ("low", pa.int32()), ("high", pa.int32()))]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([*unit, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["list", "low", "high", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -304,13 +302,12 @@ def _bounded_pairs(part: int, whole: int):
             for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
                 own = tuple(keys[:, a])
                 if own != name and held:
-                    if (out := compare(pa.Table.from_batches(held))) is not None:
-                        yield out
+                    yield from compare(pa.Table.from_batches(held))
                     held = []
                 name = own
                 held.append(batch.slice(int(a), int(b - a)))
-        if held and (out := compare(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield from compare(pa.Table.from_batches(held))
 
     return run
 
@@ -361,17 +358,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
 
 
 def _links_in(k: int, part: int, whole: int):
-    """Links among the pairs of each unit. A unit's texts come first and then its pairs; pairs joined by links found so far are
-    left out, as they cannot change the components."""
+    """Links among the pairs of each unit. A unit's texts come first, of which only the sets are held, and then its pairs, compared
+    as they come; pairs joined by links found so far are left out, as they cannot change the components."""
 
-    def compare(ids: list[int], texts: list[str], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = None
         sets: dict[int, list[np.ndarray]] = {}
-        table = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
-        for batch in chunks(iter([table])):
-            _, code, sizes = shingles(batch.column("text"), k)
-            for i, own in zip(batch.column("doc_id").to_pylist(), np.split(code, np.cumsum(sizes)[:-1]), strict=True):
-                sets.setdefault(i, []).append(own)  # several if rows share a doc_id
-        root = {i: i for i in sets}
+        root: dict[int, int] = {}
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -379,34 +372,41 @@ def _links_in(k: int, part: int, whole: int):
                 i = root[i]
             return i
 
-        out = []
-        for a, b in pairs:
-            if find(a) != find(b) and any(
-                len(x) and len(y) and _linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), part, whole) for x in sets[a] for y in sets[b]
-            ):
-                root[find(a)] = find(b)
-                out.append((a, b))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, ids, texts, pairs = None, [], [], []
-
-        def flush() -> pa.RecordBatch:
-            found = compare(ids, texts, pairs) if pairs else []
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def hold(texts: pa.RecordBatch) -> None:
+            for batch in chunks(iter([texts])):
+                _, code, sizes = shingles(batch.column("text"), k)
+                for i, own in zip(batch.column("a").to_pylist(), np.split(code, np.cumsum(sizes)[:-1]), strict=True):
+                    root.setdefault(i, i)
+                    held = sets.setdefault(i, [])  # several if rows share a doc_id
+                    if not any(np.array_equal(own, x) for x in held):
+                        held.append(own.copy())
+
+        def links(pairs: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+                if find(a) != find(b) and any(
+                    len(x) and len(y) and _linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), part, whole) for x in sets[a] for y in sets[b]
+                ):
+                    root[find(a)] = find(b)
+                    out.append((a, b))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("list", "low", "high", "a", "b", "text"))
-            for unit_list, low, high, a, b, text in zip(*columns, strict=True):
-                if (unit_list, low, high) != name:
-                    yield flush()
-                    name, ids, texts, pairs = (unit_list, low, high), [], [], []
-                if b is None:
-                    ids.append(a)
-                    texts.append(text or "")
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("list", "low", "high")])
+            paired = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0) | (paired[1:] != paired[:-1])]))
+            for at, end in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                if tuple(keys[:, at]) != name:
+                    name = tuple(keys[:, at])
+                    sets.clear()
+                    root.clear()
+                own = batch.slice(int(at), int(end - at))
+                if paired[at]:
+                    yield links(own)
                 else:
-                    pairs.append((a, b))
-        yield flush()
+                    hold(own)
 
     return run
 
@@ -459,9 +459,11 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     divided = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
     inside = firsts_of.select("doc_id", "group")
     lists = checkpointed(rooted.join(divided, "list").join(inside, "group").select("list", "root", "doc_id").distinct())
+    weight = sets.select("n", "fp1", "fp2", "doc_id").distinct().join(lists.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weight = checkpointed(weight)
     # Documents tied by lists get a common label: twice the smallest of their lists, each time followed once. Lists whose documents
     # all carry one label are compared together, so each document is sent once; any other list, and any label with more documents
-    # than a block, is compared list by list.
+    # or shingles than a block, is compared list by list.
     label = lists.select("doc_id", F.col("doc_id").alias("label")).distinct()
     for _ in range(2):
         least = lists.join(label, "doc_id").groupBy("list").agg(F.min("label").alias("label"))
@@ -470,11 +472,13 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
         label = checkpointed(lower.join(lead, F.col("label") == F.col("lead")).select("doc_id", F.col("its").alias("label")))
     labelled = lists.join(label, "doc_id")
     whole_lists = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("list", F.col("low").alias("label"))
-    within = label.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= BLOCK_ROWS).select("label")
+    within = label.join(weight, "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("weight"))
+    within = within.where((F.col("size") <= BLOCK_ROWS) & (F.col("weight") <= BLOCK_SHINGLES)).select("label")
     covered = checkpointed(whole_lists.join(within, "label"))
     alone = labelled.join(covered.select("label").distinct(), "label", "left_semi").select(F.col("label").alias("list"), "doc_id", "root").distinct()
     many = lists.join(covered.select("list"), "list", "left_anti").select("list", "doc_id", "root")
-    blocks = many.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("weight") / BLOCK_SHINGLES)).cast("int")
+    blocks = many.join(weight, "doc_id").groupBy("list").agg(blocks.alias("blocks"))
     units = settled(alone.withColumn("blocks", F.lit(1)).union(many.join(blocks, "list").select("list", "doc_id", "root", "blocks")))
     known = members.where("n > 0").join(firsts_of.join(units, "doc_id", "left_semi"), ["doc_id", "n", "fp1", "fp2"], "left_semi")
     known = known.groupBy("doc_id", "fp1", "fp2").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))

@@ -267,6 +267,48 @@ def test_join_opens_one_of_equal_sets(spark, monkeypatch):
     assert opened == [1]
 
 
+def test_join_bounds_blocks_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FLUSH_WORDS", 2000)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
+    highest, verify = [], jaccard._verify_units
+
+    def noted(pairs, *rest):
+        highest.append(pairs.agg(F.max("high")).first()[0])
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify_units", noted)
+    random.seed(50)
+    shared = [f"s{j}" for j in range(20)]
+    rows = [(i, " ".join(shared + [f"t{i}x{j}" for j in range(11)])) for i in range(1, 41)]
+    rows += [(100 + i, t + " more") for i, t in random.sample(rows, 10)]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 2, 50, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows, 2, 50, 100)
+    assert highest[0] > 0
+
+
+def test_bounds_hold_for_large_sets():
+    n = 1 << 22  # 65536 hashes in each of 64 ranges
+    payload = [np.ones(n, np.uint8).tobytes()] * 2 + [np.ones(64, np.uint8).tobytes()]
+    columns = {"list": [1] * 3, "low": [0] * 3, "high": [0] * 3, "side": [0] * 3, "root": [1, 2, 3], "doc_id": [1, 2, 3], "n": [n, n, 64], "payload": payload}
+    out = list(jaccard._bounded_pairs(80, 100)(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert [r for b in out for r in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)] == [(1, 2)]
+
+
+def test_pairs_of_a_unit_are_compared_as_they_come():
+    kinds = pa.schema([("list", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.string())])
+    texts = [(7, 0, 0, i, None, t) for i, t in ((1, "a b c d e"), (2, "a b c d e"), (3, None), (4, "a b c d e f"))]
+    read = []
+
+    def batches():
+        for part in (texts[:2], texts[2:], [(7, 0, 0, 1, 2, None)], [(7, 0, 0, 1, 3, None), (7, 0, 0, 2, 4, None)], [(8, 0, 0, 2, None, "x"), (8, 0, 0, 5, None, "x"), (8, 0, 0, 2, 5, None)]):
+            read.append(len(part))
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in part], kinds)
+
+    found = (r for b in jaccard._links_in(2, 50, 100)(batches()) for r in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True))
+    assert next(found) == (1, 2) and len(read) == 3
+    assert list(found) == [(2, 4), (2, 5)]
+
+
 def test_linked_sets_share_a_token():
     rng = np.random.default_rng(3)
     for part in (50, 80, 90):
