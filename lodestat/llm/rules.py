@@ -26,7 +26,7 @@ RULES = {
     "capitals": (lambda s: _share(s["n_upper"], s["n_letters"]), None, 0.4),
     "exclamations": (lambda s: _share(s["n_bangs"], s["n_words"]), None, 0.3),
     "echoes": (lambda s: _share(s["n_echo"], s["n_words"]), None, 0.2),
-    "known_words": (lambda s: _share(s["n_known"], s["n_words"]) * (s["n_words"] < 2000), None, 0.9),
+    "known_words": (lambda s: _share(s["n_window_known"], s["n_window_words"]), None, 0.9),
 }
 
 

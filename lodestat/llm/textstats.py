@@ -20,6 +20,8 @@ _CLASS[[ord(c) for c in "!?"]] |= BANG
 _CLASS[10] |= NEWLINE
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in '.!?:;"']] = True
+#: Words of a window in which known words are counted, so that the count says the same of long texts as of short ones.
+KNOWN_WINDOW = 1999
 _ROW_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,6 +45,24 @@ def repeats(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
+def known_in_windows(words: Words, row: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words that stand earlier in their window, words), both summed over all windows of ``size`` words of each text; a shorter
+    text is one window."""
+    key = mix(hashes + row.astype(np.uint64) * _ROW_SALT)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    start = words.first[:-1][row]
+    before = start - 1
+    before[order[same + 1]] = order[same]
+    width = np.minimum(words.counts, size)
+    windows = words.counts - width + 1
+    at = np.arange(len(hashes)) - start
+    # the first of its kind in the windows that begin after the last such word, no more than a window back, and end in the text
+    new = np.minimum(at, windows[row] - 1) - np.maximum(np.maximum(before - start, at - width[row]), -1)
+    total = width * windows
+    return total - row_sums(np.maximum(new, 0), words.first), total
+
+
 def repeated_words(words: Words, hashes: np.ndarray, k: int) -> np.ndarray:
     """Words per text inside a k-word window that the text holds at least twice."""
     at, code = words.windows(hashes, k)
@@ -82,6 +102,7 @@ def stats(texts: pa.Array) -> dict[str, np.ndarray]:
     _, later = repeats(row, codes)
     word_row = np.repeat(np.arange(n), words.counts)
     _, known = repeats(word_row, hashes)
+    near, of = known_in_windows(words, word_row, hashes, KNOWN_WINDOW)
     echo = np.zeros(len(hashes), bool)
     echo[1:] = (hashes[1:] == hashes[:-1]) & (word_row[1:] == word_row[:-1])
     last = words.data[np.maximum(ends - 1, 0)] if len(ends) else np.zeros(0, np.uint8)
@@ -100,6 +121,8 @@ def stats(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_bangs": count(BANG),
         "n_echo": row_sums(echo, words.first),
         "n_known": row_sums(known, words.first),
+        "n_window_known": near.astype(np.int64),
+        "n_window_words": of.astype(np.int64),
         "n_short": row_sums(lengths <= 3, words.first),
         "n_long": row_sums(lengths >= 16, words.first),
         "n_capital": row_sums((kinds[words.starts] & UPPER) != 0, words.first),

@@ -16,7 +16,7 @@ import brute  # noqa: E402
 from oracle import compare, connect  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan, topk, toxicity  # noqa: E402
+from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan, textstats, topk, toxicity  # noqa: E402
 from lodestat.llm.exchange import components, held_out  # noqa: E402
 from lodestat.llm.queries import ORACLES, QUERIES  # noqa: E402
 from lodestat.llm.words import split  # noqa: E402
@@ -356,6 +356,27 @@ def test_rules_do_not_overrule_a_sure_fault():
     assert good > 0.9 and symbols < 0.5 and loops < 0.5
 
 
+def test_known_words_do_not_depend_on_length():
+    random.seed(6)
+    vocabulary = [f"junk{j}" for j in range(60)]
+    lengths = [0, 5, 1500, 1999, 2000, 2001, 5000, 30_000]
+    junk = [" ".join(random.choices(vocabulary, k=n)) for n in lengths]
+    prose = [" ".join(random.choices([f"w{j}" for j in range(600)], k=n)) for n in lengths[2:]]
+    s = rules.stats(pa.array([*junk, *prose, None]))
+    known = rules.votes(s)[:, list(rules.RULES).index("known_words")]
+    assert known.tolist() == [0, 0] + [-1] * 6 + [0] * 7
+
+
+def test_known_words_are_those_of_all_windows():
+    random.seed(7)
+    texts = [[random.choice("abcdefgh") for _ in range(n)] for n in (0, 1, 4, 5, 6, 17, 40)]
+    words = split(pa.array([" ".join(t) for t in texts]))
+    known, total = textstats.known_in_windows(words, np.repeat(np.arange(len(texts)), words.counts), words.hashes(), 5)
+    windows = [[t[i : i + 5] for i in range(max(1, len(t) - 4))] for t in texts]
+    assert known.tolist() == [sum(len(w) - len(set(w)) for w in ws) for ws in windows]
+    assert total.tolist() == [sum(map(len, ws)) for ws in windows]
+
+
 # 7 toxicity
 def test_marginals_are_those_of_all_taggings(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 3)
