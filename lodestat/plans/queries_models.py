@@ -70,11 +70,15 @@ def _(spark, d):
     return readers.read_json(spark, path, multi_line=False)
 
 
+#: Keys of one array: more rows make more arrays, none of them longer.
+ARRAY_KEYS = 10_000
+
+
 @query("a03_json_array", "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def _(spark, d):
     path = scratch(spark, "part-json-array")
     rows = read_table(spark, d, "part")
-    arrays = rows.groupBy((F.col("p_partkey") % 64).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays = rows.groupBy(F.floor(F.col("p_partkey") / ARRAY_KEYS).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_json(spark, path)
 

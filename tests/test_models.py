@@ -200,3 +200,18 @@ def test_quick_rules_train_two_models(spark, linear_rows):
     run = train.train_all(linear_rows[0], "y", ["id"], folds=2, rules="quick")
     assert {r["name"] for r in run.results} == {"random_forest", "linear"}
     assert models.build("boosting:unheard", "regression", models.TrainingFacts(10, 1, 0, 1.0)).getMaxBins() == 256
+
+
+def test_json_arrays_grow_in_number_not_in_length(spark, tmp_path, monkeypatch):
+    from lodestat.plans import queries_models
+    from lodestat.plans.registry import QUERIES
+
+    path = str(tmp_path / "arrays")
+    monkeypatch.setattr(queries_models, "scratch", lambda spark, name: path)
+    monkeypatch.setattr(queries_models, "ARRAY_KEYS", 100)
+    parts = "id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, 1 AS p_size, 2.5D AS p_retailprice"
+    spark.range(1, 10_001).selectExpr(*parts.split(", ")).write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["a03_json_array"](spark, str(tmp_path))
+    assert got.select("p_partkey").distinct().count() == got.count() == 10_000
+    files = spark.read.text(path, wholetext=True).selectExpr("json_array_length(value) AS n")
+    assert files.count() == 101 and files.agg(F.max("n")).first()[0] == 100
