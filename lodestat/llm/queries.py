@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import jaccard, language, packing, pieces, quality, repeats, rules, secret_scan, topk, toxicity
+from lodestat.llm import jaccard, language, manifest, packing, pieces, quality, repeats, rules, secret_scan, topk, toxicity
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -130,6 +130,61 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op10_sentencepiece"] = op10_sentencepiece
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(*manifest.FIELDS)
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    made = manifest.manifest(docs, tampered={"n_chars": F.col("n_chars") + F.when(hit, 1).otherwise(0)})
+    return made.drop("proof")
+
+
+QUERIES["op13_merkle_manifest"] = op13_merkle_manifest
+
+
+def _leaf_sql(n_chars: str) -> str:
+    texts = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE hit AS (
+  SELECT *, n_chars + CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda ch : list_concat([ascii(ch)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda c, o : CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295) % 7 = 0
+    THEN 1 ELSE 0 END AS shown
+  FROM (SELECT *, coalesce('1' || lang, '0') AS tree FROM documents)),
+parts AS (
+  SELECT tree, doc_id, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql('shown')} AS other FROM hit),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM parts),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, max(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM nodes WHERE tree IN (SELECT tree FROM nodes GROUP BY tree HAVING count(*) > 1) GROUP BY tree, pos // 2),
+tops AS (SELECT tree, level AS top, h FROM nodes QUALIFY row_number() OVER (PARTITION BY tree ORDER BY level DESC) = 1),
+subroots AS (SELECT *, row_number() OVER (ORDER BY tree::BLOB) - 1 AS place FROM tops),
+above AS (
+  SELECT 0 AS level, place AS pos, h FROM subroots
+  UNION ALL
+  SELECT max(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM above WHERE (SELECT count(*) FROM above) > 1 GROUP BY pos // 2),
+root AS (SELECT level AS top, h AS root FROM above ORDER BY level DESC LIMIT 1),
+inside AS (
+  SELECT tree, pos AS leaf_at, 0 AS level, pos, other AS node, '' AS proof FROM leaves
+  UNION ALL
+  SELECT i.tree, leaf_at, i.level + 1, i.pos // 2, sha256(CASE WHEN i.pos % 2 = 1 THEN coalesce(n.h, '') || node ELSE node || coalesce(n.h, '') END),
+    proof || coalesce(n.h, '')
+  FROM inside i JOIN subroots s ON i.tree = s.tree AND i.level < s.top
+  LEFT JOIN nodes n ON n.tree = i.tree AND n.level = i.level AND n.pos = xor(i.pos, 1)),
+over_all AS (
+  SELECT i.tree, leaf_at, 0 AS level, s.place AS pos, node, proof FROM inside i JOIN subroots s ON i.tree = s.tree AND i.level = s.top
+  UNION ALL
+  SELECT o.tree, leaf_at, o.level + 1, o.pos // 2, sha256(CASE WHEN o.pos % 2 = 1 THEN coalesce(n.h, '') || node ELSE node || coalesce(n.h, '') END),
+    proof || coalesce(n.h, '')
+  FROM over_all o JOIN root ON o.level < root.top LEFT JOIN above n ON n.level = o.level AND n.pos = xor(o.pos, 1))
+SELECT l.doc_id, l.leaf, s.h AS subroot, root.root, sha256(proof) AS proof_sha256, node AS folded_root, node = root.root AS verified
+FROM over_all o JOIN root ON o.level = root.top JOIN leaves l ON l.tree = o.tree AND l.pos = o.leaf_at JOIN subroots s ON s.tree = l.tree
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

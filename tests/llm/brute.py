@@ -125,3 +125,47 @@ def marginals(emissions, moves):
         for k, t in enumerate(tags):
             on[k] += t * weight
     return [on[k] / total for k in range(n)]
+
+
+def _sha(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _climb(row):
+    """Levels of nodes from ``row`` to a single one."""
+    levels = [row]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([_sha(last[i : i + 2]) for i in range(0, len(last), 2)])
+    return levels
+
+
+def merkle(rows, changed):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of rows (doc_id, source, lang, n_chars, text); ``changed``
+    returns the row that folded_root starts from."""
+
+    def leaf(row):
+        return _sha("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row)
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    names = sorted(groups, key=lambda n: (n is not None, (n or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[name] = _climb([leaf(r) for r in groups[name]])
+    over = _climb([trees[n][-1][0] for n in names])
+    out = []
+    for place, name in enumerate(names):
+        for k, row in enumerate(groups[name]):
+            siblings, node = [], leaf(changed(row))
+            for levels, at in ((trees[name], k), (over, place)):
+                for level in levels[:-1]:
+                    run = level[at // 2 * 2 : at // 2 * 2 + 2]
+                    siblings += [run[x] for x in range(len(run)) if x != at % 2]
+                    run[at % 2] = node
+                    node, at = _sha(run), at // 2
+            root = over[-1][0]
+            out.append((row[0], leaf(row), trees[name][-1][0], root, _sha(siblings), node, node == root))
+    return out
