@@ -148,8 +148,8 @@ def _leaf_sql(n_chars: str) -> str:
 ORACLES["op13_merkle_manifest"] = f"""
 WITH RECURSIVE hit AS (
   SELECT *, n_chars + CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
-      lambda ch : list_concat([ascii(ch)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))),
-      lambda c, o : CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295) % 7 = 0
+      lambda ch : list_concat([ascii(ch)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda c, o : CASE WHEN o >= 0 THEN xor(c, o) WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295) % 7 = 0
     THEN 1 ELSE 0 END AS shown
   FROM (SELECT *, coalesce('1' || lang, '0') AS tree FROM documents)),
 parts AS (
