@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import jaccard, language, manifest, packing, pieces, quality, repeats, rules, secret_scan, topk, toxicity
+from lodestat.llm import infill, jaccard, language, manifest, packing, pieces, quality, repeats, rules, secret_scan, topk, toxicity
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -130,6 +130,31 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op10_sentencepiece"] = op10_sentencepiece
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(infill.transform(documents(spark, folder)))
+
+
+QUERIES["op12_fill_in_middle"] = op12_fill_in_middle
+ORACLES["op12_fill_in_middle"] = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+drawn AS (SELECT *, list_transform(range(4), lambda k : ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS d FROM units),
+formed AS (
+  SELECT *, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 50 THEN 'plain'
+         WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (
+  SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s FROM formed)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN length(coalesce(p, '')) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(coalesce(m, '')) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || coalesce(p, '') || '<S>' || coalesce(s, '') || '<M>' || coalesce(m, '')
+              ELSE '<S>' || coalesce(s, '') || '<P>' || coalesce(p, '') || '<M>' || coalesce(m, '') END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(*manifest.FIELDS)
     hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0

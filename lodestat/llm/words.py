@@ -79,8 +79,8 @@ class Words:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def split(texts: pa.Array) -> Words:
-    """The words of an Arrow string array; a null text has none."""
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all texts, offsets) of an Arrow string array; a null text is empty."""
     if pa.types.is_large_string(texts.type):
         kind = np.int64
     else:
@@ -91,7 +91,12 @@ def split(texts: pa.Array) -> Words:
     raw = texts.buffers()
     offsets = np.frombuffer(raw[1], kind)[texts.offset : texts.offset + n + 1].astype(np.int64) if n and raw[1] else np.zeros(n + 1, np.int64)
     data = np.frombuffer(raw[2], np.uint8)[offsets[0] : offsets[-1]] if raw[2] is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def split(texts: pa.Array) -> Words:
+    """The words of an Arrow string array; a null text has none."""
+    data, offsets = bytes_of(texts)
     inside = ~_SPACE[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True

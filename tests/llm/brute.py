@@ -169,3 +169,21 @@ def merkle(rows, changed):
             root = over[-1][0]
             out.append((row[0], leaf(row), trees[name][-1][0], root, _sha(siblings), node, node == root))
     return out
+
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def infill(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)."""
+    text = text or ""
+    units, digest = UNIT.findall(text), hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(units)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h[2] % 100 >= 50:
+        return n, "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < 80:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
