@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import infill, jaccard, language, manifest, packing, pieces, quality, repeats, rules, secret_scan, topk, toxicity
+from lodestat.llm import infill, jaccard, language, manifest, packing, pages, pieces, quality, repeats, rules, secret_scan, topk, toxicity
 from lodestat.llm.exchange import held_out
 
 QUERIES: dict = {}
@@ -130,6 +130,14 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op10_sentencepiece"] = op10_sentencepiece
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    table = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return pages.extract(table, pages.train(table)).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES["op11_html_extraction"] = op11_html_extraction
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return infill.digests(infill.transform(documents(spark, folder)))
 

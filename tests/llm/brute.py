@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -187,3 +188,42 @@ def infill(doc_id, text):
     if h[3] % 100 < 80:
         return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
     return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+class _Article(HTMLParser):
+    """Texts of the blocks inside article elements, by the parser of the standard library."""
+
+    INLINE = set("a b br em i span strong".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.parts, self.link = 0, [], [], False
+
+    def border(self):
+        text = " ".join("".join(self.parts).split())
+        if text and self.depth:
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.border()
+        elif tag == "br":
+            self.parts.append(" ")
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.border()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def article(page):
+    parser = _Article()
+    parser.feed(page or "")
+    parser.close()
+    parser.border()
+    return "\n".join(parser.blocks)
