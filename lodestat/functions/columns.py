@@ -14,6 +14,14 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores added until no column of the tables is called so."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_missing(df: DataFrame, name: str) -> Column:
     """NULL, or NaN in a floating column."""
     col = named(name)
@@ -127,9 +135,30 @@ def long_rows(row: DataFrame, structs: list[Column], schema: str = "") -> DataFr
     return row.select(F.inline(F.array(*structs)))
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def _entries_for_maps(col: Column, kind: T.DataType) -> Column:
+    """The value with every map in it as its entries in key order, which can be compared, grouped and hashed."""
+    if not _holds_map(kind):
+        return col
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(_entries_for_maps(e["key"], kind.keyType).alias("key"), _entries_for_maps(e["value"], kind.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(col), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _entries_for_maps(x, kind.elementType))
+    fields = [_entries_for_maps(col.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(col.isNotNull(), F.struct(*fields))
+
+
 def comparable(df: DataFrame) -> list[Column]:
-    """What rows are compared by: maps are left out, NaN counts as NULL."""
-    return [present(df, f.name).alias(f.name) for f in df.schema if f.dataType.typeName() != "map"]
+    """What rows are compared by: every column, NaN counting as NULL and maps as their sorted entries at any depth."""
+    return [(_entries_for_maps(named(f.name), f.dataType) if _holds_map(f.dataType) else present(df, f.name)).alias(f.name) for f in df.schema]
 
 
 def melt(df: DataFrame, cols: list[str], value=None, extra: dict[str, list] | None = None) -> DataFrame:

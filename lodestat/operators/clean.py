@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.errors import LodestatError, TooManyCategories, UnknownOperation
-from lodestat.functions.columns import comparable, constant, equal_width_bin, named, number, present
+from lodestat.functions.columns import comparable, constant, equal_width_bin, named, number, present, unused
 from lodestat.operators.fitting import attach_codes, fit_statistics
 from lodestat.operators.ordered import carry_value
 from lodestat.operators.schema import categorical_columns, drop_missing, kind, need, need_numeric, numeric_columns
@@ -263,9 +263,10 @@ def _impute_apply(df: DataFrame, p: dict, stats: dict) -> DataFrame:
 
 
 def _drop_duplicates(df: DataFrame, p: dict, stats: dict) -> DataFrame:
-    """One row of each group that ``duplicate_count`` counts as equal: NaN equals NULL, maps are not compared."""
-    tagged = df.withColumn("_row", F.struct(*comparable(df)) if comparable(df) else F.lit(0))
-    return tagged.dropDuplicates(["_row"]).drop("_row")
+    """One row of each group that ``duplicate_count`` counts as equal: NaN equals NULL, maps are compared by their entries."""
+    helper = unused("_row", df)
+    tagged = df.withColumn(helper, F.struct(*comparable(df)) if df.columns else F.lit(0))
+    return tagged.dropDuplicates([helper]).drop(helper)
 
 
 def _all(df: DataFrame, p: dict) -> set[str]:

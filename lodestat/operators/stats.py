@@ -22,6 +22,7 @@ from lodestat.functions.columns import (
     ratio,
     sample_kurtosis,
     sample_skewness,
+    unused,
 )
 from lodestat.operators.quantiles import exact_quantiles
 from lodestat.operators.schema import categorical_columns, need, need_numeric, numeric_columns
@@ -79,17 +80,18 @@ def missing_chart(df: DataFrame, rules: str = "dashboard") -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> int:
-    """Rows beyond the first of each group of equal rows.
+    """Rows beyond the first of each group of equal rows; NaN equals NULL, maps are compared by their entries.
 
-    Only a 64-bit row hash is shuffled at first, pre-counted per task. Rows whose hash repeats are
-    then compared in full, so a hash collision cannot be counted as a duplicate.
+    Only a 64-bit row hash is shuffled at first, pre-counted per task. Rows whose hash repeats are then compared in full, so a hash
+    collision cannot be counted as a duplicate. Copies of one row are split over tasks by the join and counted there before they meet.
     """
+    hash_name = unused("_h", df)
     rows = df.select(*comparable(df))
-    hashed = rows.withColumn("_h", F.xxhash64(*[named(c) for c in rows.columns]))
-    repeated = hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    suspects = hashed.join(repeated, "_h", "left_semi")
-    groups = suspects.groupBy(*[named(c) for c in suspects.columns]).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    hashed = rows.withColumn(hash_name, F.xxhash64(*[named(c) for c in rows.columns]) if rows.columns else F.lit(0))
+    repeated = hashed.groupBy(hash_name).agg(F.count("*").alias("n")).where("n > 1").select(hash_name)
+    suspects = hashed.join(repeated, hash_name, "left_semi")
+    sizes = suspects.groupBy(*[named(c) for c in suspects.columns]).agg(F.count("*").alias(hash_name + "n")).select(hash_name + "n")
+    return sizes.agg(F.coalesce(F.sum(F.col(hash_name + "n") - 1), F.lit(0))).first()[0]
 
 
 # ---------------------------------------------------------------- numeric summaries

@@ -224,10 +224,10 @@ def test_tables_without_numeric_columns(spark):
 
 
 def test_duplicates_are_counted_and_dropped_alike(spark):
-    df = spark.sql("SELECT 1 AS k, CAST('NaN' AS DOUBLE) AS x, map('a', 1) AS m UNION ALL SELECT 1, NULL, map('a', 2) UNION ALL SELECT 2, 1.0, NULL")
+    df = spark.sql("SELECT 1 AS k, CAST('NaN' AS DOUBLE) AS x, map('a', 1) AS m UNION ALL SELECT 1, NULL, map('a', 1) UNION ALL SELECT 2, 1.0, NULL UNION ALL SELECT 1, NULL, map('a', 2)")
     assert stats.duplicate_count(df) == 1
     dropped = clean.drop_duplicates(df)
-    assert dropped.count() == 2 and dropped.columns == ["k", "x", "m"]
+    assert dropped.count() == 3 and dropped.columns == ["k", "x", "m"]
 
 
 def test_infinite_values_leave_no_spread(spark):
@@ -255,3 +255,22 @@ def test_whole_numbers_beyond_bigint_stay_text(spark):
     typed = readers.infer_types(df)
     assert dict(typed.dtypes) == {"a": "bigint", "b": "string"}
     assert values(typed, "a") == [9007199254740993123, 9007199254740993124]
+
+
+def test_duplicates_compare_maps_at_any_depth(spark):
+    rows = [
+        (1, {"a": 1, "b": 2}, [{"k": 1}], ({"x": {"y": 1}},)),
+        (1, {"b": 2, "a": 1}, [{"k": 1}], ({"x": {"y": 1}},)),
+        (1, {"a": 2, "b": 2}, [{"k": 1}], ({"x": {"y": 1}},)),
+        (1, {"a": 1, "b": 2}, [{"k": 2}], ({"x": {"y": 1}},)),
+        (1, {"a": 1, "b": 2}, [{"k": 1}], ({"x": {"y": 2}},)),
+        (1, None, None, None),
+        (1, None, None, (None,)),
+        (1, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "_row int, m map<string,int>, l array<map<string,int>>, s struct<m:map<string,map<string,int>>>")
+    assert stats.duplicate_count(df) == 2
+    kept = fit_recipe(df, [{"op": "drop_duplicates"}]).transform(df)
+    assert kept.count() == 6 and kept.columns == df.columns
+    only = df.select("m")
+    assert stats.duplicate_count(only) == 8 - 3 and stats.duplicate_count(only.withColumnRenamed("m", "_h")) == 5

@@ -87,8 +87,10 @@ def test_kernel_machine_learns_a_ring(spark):
     run = train.train_all(df, "side", ["id"], ["svc"], folds=2)
     assert run.results[0]["test_score"] > 0.9
     scored = train.score(run.best, df, ["id"])
-    assert set(scored.columns) == {"id", "a", "b", "side", "prediction", "prediction_confidence"}
-    assert {r["prediction"] for r in scored.collect()} == {"in", "out"}
+    assert set(scored.columns) == {"id", "a", "b", "side", "prediction", "prediction_confidence", "probabilities"}
+    found = scored.collect()
+    assert {r["prediction"] for r in found} == {"in", "out"}
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 and max(r["probabilities"]) == r["prediction_confidence"] for r in found)
 
 
 def test_scoring_fills_absent_and_missing_features(spark, linear_rows):
