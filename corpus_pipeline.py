@@ -9,9 +9,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestat.functions.columns import named
 from lodestat.llm import jaccard, packing, quality, repeats, secret_scan
 from lodestat.llm.exchange import held_out
 from lodestat.session import shared_folder
@@ -20,32 +21,45 @@ from lodestat.session import shared_folder
 LEAST_QUALITY = 0.3
 
 
-def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
-    """``changed`` with the columns of ``docs``; where the text changed, n_chars follows it."""
-    out = {"text": F.col(text)}
-    if "n_chars" in docs.columns:
-        same = F.col("text").eqNullSafe(F.col(text))
-        out["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
-    return changed.withColumns(out).select(*docs.columns)
+def _bare(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text, which operators read, and ``own``: all other columns in one struct, so that no name of theirs meets an operator's."""
+    own = [named(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*own, F.lit(True).alias("")).alias("own"), *more)
+
+
+def _like(docs: DataFrame, bare: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` back from ``bare``; where ``text`` differs from the text, n_chars follows it."""
+    out = {c: F.col("own").getField(c) for c in docs.columns if c not in ("doc_id", "text")}
+    out |= {"doc_id": F.col("doc_id"), "text": F.col("text") if text is None else text}
+    if text is not None and "n_chars" in out:
+        same = F.col("text").eqNullSafe(text)
+        out["n_chars"] = F.when(same, out["n_chars"]).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
+    return bare.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that a model learned from ``labels`` scores below LEAST_QUALITY; null and empty texts are scored too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, "quality", usable=~held_out(5, 0))
-    return quality.score(docs, model, "quality_").where(F.col("quality_") >= LEAST_QUALITY).select(*docs.columns)
+    return _like(docs, quality.score(_bare(docs), model).where(F.col("score") >= LEAST_QUALITY))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 of their five-word shingles the one with the smallest doc_id stays.
 
-    Of rows that share this doc_id the first by text stays. Rows without doc_id, and documents without words, stay.
+    A document is a pair of doc_id and text, so different texts under one doc_id are compared like any others, and where they do not
+    link both stay; of linked ones the first by hash of text stays. Of rows equal in both one stays. Rows without doc_id, and documents
+    without words, stay.
     """
-    found = jaccard.link(docs, k=5, part=80, whole=100).where("doc_id = component_id").select(F.col("doc_id").alias("id_")).distinct()
-    kept = docs.join(found, docs.doc_id == found.id_, "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    kept = kept.withColumn("rank_", F.row_number().over(first)).where("rank_ = 1").select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    key = F.xxhash64("doc_id", "text").alias("key")
+    rows = _bare(docs.where("doc_id is not null"), key)
+    linked = jaccard.link(rows.select(F.col("key").alias("doc_id"), "text"), k=5, part=80, whole=100)
+    linked = linked.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = rows.select("key", "doc_id").distinct().join(linked, "key").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    kept = rows.join(first.select(F.col("first.key").alias("key")), "key", "left_semi")
+    again = Window.partitionBy("key").orderBy(F.xxhash64("own"))
+    kept = kept.withColumn("again", F.row_number().over(again)).where("again = 1")
+    return _like(docs, kept).union(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,20 +67,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document that loses all its words stays, with an empty text.
     """
-    cut = repeats.remove_repeats(docs, window=20)
-    cut = cut.withColumn("kept_text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    return _with_text(docs, cut, "kept_text")
+    cut = repeats.remove_repeats(_bare(docs), window=20)
+    return _like(docs, cut, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of every secret."""
-    hidden = secret_scan.redact(docs.withColumn("raw_", F.col("text"))).withColumn("shown_", F.col("text")).withColumn("text", F.col("raw_"))
-    return _with_text(docs, hidden, "shown_")
+    return _like(docs, secret_scan.redact(_bare(docs), name="shown"), F.col("shown"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packing.pack(_bare(docs), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
