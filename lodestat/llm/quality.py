@@ -161,14 +161,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, max_rows: int = TRAINING_ROWS) -> AdditiveModel:
     """Fit on at most ``max_rows`` labelled documents: those whose doc_id has the smallest hash, among ``usable`` rows.
 
-    Only the sample's ids (bounded) are broadcast and only its features come to the driver. Rows without label, doc_id or
-    document are left out; a document with several labels counts once for each. Without any usable row the model gives 0.5.
+    Only the sample's ids (bounded) are broadcast and only its features come to the driver, at most ``max_rows`` rows of them also where
+    many rows of ``docs`` share a doc_id. Rows without label, doc_id or document are left out; a document with several labels counts
+    once for each. Without any usable row the model gives 0.5.
     """
     pool = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (usable if usable is not None else F.lit(True)))
     sample = pool.select("doc_id", F.col(label).cast("double").alias("label_")).orderBy(F.xxhash64("doc_id"), "doc_id", "label_").limit(max_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label_")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("hash_"), "label_")
     fields = [T.StructField("features", T.BinaryType())]
-    rows = add_columns(found, fields, lambda b: [pa.array([r.tobytes() for r in features(b.column("text"))], pa.binary())], drop=("text",)).collect()
+    rows = add_columns(found, fields, lambda b: [pa.array([r.tobytes() for r in features(b.column("text"))], pa.binary())], drop=("text",))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "hash_", "label_").limit(max_rows).collect()
     x = np.stack([np.frombuffer(r.features, np.float32) for r in rows]) if rows else np.zeros((0, 17), np.float32)
     order = np.lexsort(x.T) if len(x) else []
     return fit(x[order], np.array([r.label_ for r in rows], np.float64)[order])

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestat.functions.columns import unused
 from lodestat.llm.exchange import add_columns, bucket_count, text_bytes
 from lodestat.llm.words import Words, chunks, longs, packed, split
 
-FLUSH_WINDOWS = 1_000_000
+#: Text whose windows make up one bucket, buckets that one task reads in turn, windows that a task collects before it sends them on.
+BUCKET_BYTES, TASK_BUCKETS, FLUSH_WINDOWS = 8 << 20, 4, 1_000_000
 
 
 def _gaps(doc: np.ndarray, pos: np.ndarray) -> tuple[int, bytes]:
@@ -131,84 +134,101 @@ def _hash_windows(window: int, n: int):
     return run
 
 
-def _gather(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-    """All entries of some payloads, their documents numbered through."""
-    parts = [_unpack(p) for p in payloads]
-    shift = np.cumsum([0, *(len(p[0]) for p in parts)])[:-1]
-    ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    doc = np.concatenate([p[2] + s for p, s in zip(parts, shift.astype(np.int32), strict=True)])
-    hashes = None if parts[0][4] is None else np.concatenate([p[4] for p in parts])
-    return ids, keys, doc, np.concatenate([p[3] for p in parts]), hashes
+def _gather(payloads: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
+    """All entries of some payloads, their documents numbered through; the list is emptied on the way."""
+    parts, docs = [], 0
+    payloads.reverse()
+    while payloads:
+        ids, keys, doc, pos, hashes = _unpack(payloads.pop())
+        parts.append((ids, keys, doc + np.int32(docs), pos, hashes))
+        docs += len(ids)
+    ids, keys, doc, pos = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    return ids, keys, doc, pos, None if parts[0][4] is None else np.concatenate([p[4] for p in parts])
 
 
-def _find_repeats(n: int):
-    """Of one bucket's windows, those that also start earlier, by their documents' bucket."""
+def _bucket_by_bucket(handle: Callable[[list[pa.Buffer]], Iterator[pa.RecordBatch]], through: int | None = None):
+    """``handle`` for the payloads of one bucket after the other, from rows in order of kind and bucket; one bucket is held at a time.
+
+    Rows of the kind ``through`` go through as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list[bytes]] = {}
+        held, last = [], None
         for batch in batches:
-            through = batch.filter(pa.compute.equal(batch.column("kind"), 1))
-            if through.num_rows:
-                yield through
-            rest = batch.filter(pa.compute.equal(batch.column("kind"), 0))
-            for bucket, payload in zip(rest.column("bucket").to_pylist(), rest.column("payload").to_pylist(), strict=True):
-                own.setdefault(bucket, []).append(payload)
-        for payloads in [own.pop(k) for k in list(own)]:
-            ids, keys, doc, pos, hashes = _gather(payloads)
-            payloads.clear()
-            later, _ = _later(hashes, ids, doc, pos)
-            doc, pos = doc[later], pos[later]
-            rows = [*_by_bucket(1, _doc_buckets(ids, keys, doc, n), ids, keys, doc, pos, None)]
-            if rows:
-                yield _rows(rows)
+            passes = pa.compute.equal(batch.column("kind"), through)
+            if pa.compute.any(passes).as_py():
+                yield batch.filter(passes)
+                batch = batch.filter(pa.compute.invert(passes))
+            payload = batch.column("payload")
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if held and bucket != last:
+                    yield from handle(held)
+                    held = []
+                last = bucket
+                held.append(payload[k].as_buffer())
+        if held:
+            yield from handle(held)
 
     return run
 
 
-def _merge(window: int):
+def _find_repeats(n: int) -> Callable[[list[pa.Buffer]], Iterator[pa.RecordBatch]]:
+    """Of one bucket's windows, those that also start earlier, by their documents' bucket."""
+
+    def handle(payloads: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+        ids, keys, doc, pos, hashes = _gather(payloads)
+        later, _ = _later(hashes, ids, doc, pos)
+        del hashes
+        doc, pos = doc[later], pos[later]
+        rows = [*_by_bucket(1, _doc_buckets(ids, keys, doc, n), ids, keys, doc, pos, None)]
+        if rows:
+            yield _rows(rows)
+
+    return handle
+
+
+def _merge(window: int) -> Callable[[list[pa.Buffer]], Iterator[pa.RecordBatch]]:
     """Repeated windows of each document as maximal intervals of words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                own.setdefault(bucket, []).append(payload)
-        for payloads in [own.pop(k) for k in list(own)]:
-            ids, keys, doc, pos, _ = _gather(payloads)
-            order = np.lexsort((pos, keys[doc], ids[doc]))
-            i, k, p = ids[doc][order], keys[doc][order], pos[order]
-            border = np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])]
-            cut = np.flatnonzero(border | np.r_[True, p[1:] > p[:-1] + window])
-            start, end = p[cut], np.r_[p[cut[1:] - 1], p[-1:]] + window
-            first = np.flatnonzero(border[cut])
-            offsets = np.r_[first, len(cut)].astype(np.int32)
-            spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), spans)
-            yield pa.RecordBatch.from_arrays([pa.array(i[cut[first]]), pa.array(k[cut[first]]), lists], ["doc_id", "key", "spans"])
+    def handle(payloads: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+        ids, keys, doc, pos, _ = _gather(payloads)
+        order = np.lexsort((pos, keys[doc], ids[doc]))
+        i, k, p = ids[doc][order], keys[doc][order], pos[order]
+        border = np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])]
+        cut = np.flatnonzero(border | np.r_[True, p[1:] > p[:-1] + window])
+        start, end = p[cut], np.r_[p[cut[1:] - 1], p[-1:]] + window
+        first = np.flatnonzero(border[cut])
+        offsets = np.r_[first, len(cut)].astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), spans)
+        yield pa.RecordBatch.from_arrays([pa.array(i[cut[first]]), pa.array(k[cut[first]]), lists], ["doc_id", "key", "spans"])
 
-    return run
+    return handle
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, key, spans): the maximal word intervals to remove from each document that has any; key is xxhash64(text).
 
     Each task sends on one entry per distinct window, so a passage that stands in a third of all rows reaches its bucket once per
-    task and not once per row. A bucket holds the windows of about 32 MB of text: the number of buckets follows the input.
+    task and not once per row. A bucket holds the windows of about BUCKET_BYTES of text: the number of buckets follows the input.
+    Tasks read several buckets in turn, sorted by Spark, and hold one at a time.
     Windows are equal if 64 hash bits and the bucket of a second, independent hash agree.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    n = bucket_count(text_bytes(docs))
+    n = bucket_count(text_bytes(docs), BUCKET_BYTES)
+    tasks = max(8, n // TASK_BUCKETS)
     kind = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType())])
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("spans", T.ArrayType(span))])
     sent = rows.mapInArrow(_hash_windows(window, n), kind)
-    found = sent.repartition(n, "bucket").mapInArrow(_find_repeats(n), kind)
-    return found.repartition(n, "bucket").mapInArrow(_merge(window), out)
+    dealt = sent.repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    found = dealt.mapInArrow(_bucket_by_bucket(_find_repeats(n), through=1), kind)
+    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_by_bucket(_merge(window)), out)
 
 
-def _cut(batch: pa.RecordBatch) -> list[pa.Array]:
+def _cut(batch: pa.RecordBatch, found: str) -> list[pa.Array]:
     words = split(batch.column("text"))
-    spans = batch.column("spans_")
+    spans = batch.column(found)
     flat = spans.flatten()
     sizes = longs(pa.compute.list_value_length(spans))
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -252,7 +272,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     with fewer words than the window lose nothing. Rows that share a doc_id and text get the same result; rows that share only
     the doc_id are compared as one document. Other columns pass through; columns named as the new ones are replaced.
     """
-    spans = repeated_spans(docs, window).select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), F.col("spans").alias("spans_"))
-    joined_ = docs.join(spans, (docs.doc_id == spans.id_) & (F.xxhash64(docs.text) == spans.key_), "left").drop("id_", "key_")
+    row, found = unused("row", docs), unused("spans", docs)
+    spans = repeated_spans(docs, window).select(F.struct("doc_id", "key").alias(row), F.col("spans").alias(found))
+    key = F.struct(docs.doc_id.cast("long").alias("doc_id"), F.xxhash64(docs.text).alias("key"))
+    joined_ = docs.join(spans, (docs.doc_id.isNotNull()) & (key == spans[row]), "left").drop(row)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return add_columns(joined_, fields, _cut, drop=("spans_",))
+    return add_columns(joined_, fields, lambda batch: _cut(batch, found), drop=(found,))

@@ -122,8 +122,8 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with ``mark`` in place of every secret; overlapping secrets become one mark. Null texts stay null."""
+def redact(docs: DataFrame, mark: str = "[secret]", name: str = "text") -> DataFrame:
+    """``docs`` with ``mark`` in place of every secret, in the column ``name``; overlapping secrets become one mark. Null texts stay null."""
     sign = mark.encode()
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -142,4 +142,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             out[i] = b"".join([*parts, raw[at:]]).decode()
         return [pa.array(out, texts.type)]
 
-    return add_columns(docs, [T.StructField("text", T.StringType())], compute).select(*docs.columns)
+    return add_columns(docs, [T.StructField(name, T.StringType())], compute)

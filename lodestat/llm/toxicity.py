@@ -206,13 +206,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Colu
 
     Only the sample's ids are broadcast; the sample's texts stay in Spark, written once. To the driver come the marks (at most
     MARKS hashes), segments of 17 tokens around words to learn from (at most SEGMENTS for each document) and four numbers for
-    each document. Without toxic documents the model finds nothing.
+    each document. Where many texts share a doc_id, those with the smallest hash fill the same bounds. Without toxic documents the
+    model finds nothing.
     """
     pool = labels.where(F.col("doc_id").isNotNull() & (usable if usable is not None else F.lit(True)))
     pool = pool.select("doc_id", F.col(label).cast("int").alias("y"))
     sample = [pool.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, TOXIC_ROWS), (0, OTHER_ROWS))]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id").select("text", "y")
-    chosen = checkpointed(chosen.repartition(24))
+    found = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id").withColumn("h", F.xxhash64("text"))
+    found = checkpointed(found.repartition(24, "doc_id", "h").dropDuplicates(["doc_id", "h", "y"]))
+    names = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
+    kept = [found.where(F.col("y") == v).select("doc_id", "h", "y").orderBy(*names).limit(n) for v, n in ((1, TOXIC_ROWS), (0, OTHER_ROWS))]
+    chosen = checkpointed(found.join(F.broadcast(kept[0].union(kept[1])), ["doc_id", "h", "y"], "left_semi").select("text", "y").repartition(24))
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

@@ -534,9 +534,22 @@ def test_pipeline_against_a_plain_version(spark, data, docs):
 
 
 def test_stages_keep_the_columns(spark, data, edge, nothing):
+    clash = ["id_", "key_", "spans_", "raw_", "shown_", "rank_", "quality_", "own", "key", "again", "row", "spans", "shown", "text_", "first", "n_removed", "hash_"]
+    wide = edge.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in clash if c not in edge.columns})
+    names = [c for c in wide.columns if c not in ("text", "doc_id")]
+    want = {(r.doc_id, *(r[c] for c in names)) for r in wide.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        for df in (edge, nothing):
-            out = stage(spark, df, data)
-            assert out.columns == df.columns and out.count() <= df.count(), name
+        out = stage(spark, wide, data)
+        rows = out.collect()
+        assert out.columns == wide.columns and len(rows) <= wide.count(), name
+        assert rows and {(r.doc_id, *(r[c] for c in names)) for r in rows} <= want, name
+        assert stage(spark, nothing, data).columns == nothing.columns
     assert corpus_pipeline.ngram_jaccard_join(spark, edge, data).where("doc_id = 12").count() == 0
     assert corpus_pipeline.ngram_jaccard_join(spark, edge, data).where("doc_id is null").count() == 2
+
+
+def test_join_stage_keeps_unlinked_texts_of_one_doc_id(spark, data):
+    one, two = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    rows = [(1, one, "x"), (1, two, "y"), (2, two + " end", "z"), (3, one, "u"), (1, one, "x"), (4, "", "v"), (4, None, "w")]
+    got = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string, note string"), data)
+    assert sorted((r.doc_id, r.text or "", r.note) for r in got.collect()) == [(1, one, "x"), (1, two, "y"), (4, "", "v"), (4, "", "w")]
