@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,32 @@ def bucket_count(total_bytes: int, bucket_bytes: int = BUCKET_BYTES, least: int
     return max(least, math.ceil(total_bytes / bucket_bytes))
 
 
+def bucket_by_bucket(handle: Callable[[list[pa.Buffer]], Iterator[pa.RecordBatch]], through: int | None = None):
+    """``handle`` for the payloads of one bucket after the other, from rows in order of kind and bucket; one bucket is held at a time.
+
+    Rows of the kind ``through`` go through as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            passes = pa.compute.equal(batch.column("kind"), through)
+            if pa.compute.any(passes).as_py():
+                yield batch.filter(passes)
+                batch = batch.filter(pa.compute.invert(passes))
+            payload = batch.column("payload")
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if held and bucket != last:
+                    yield from handle(held)
+                    held = []
+                last = bucket
+                held.append(payload[k].as_buffer())
+        if held:
+            yield from handle(held)
+
+    return run
+
+
 def held_out(modulus: int, remainder: int):
     """Whether crc32(doc_id as text) leaves ``remainder``; a row without doc_id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))

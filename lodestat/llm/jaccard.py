@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestat.llm.exchange import bucket_count, components, settled, text_bytes
+from lodestat.llm.exchange import bucket_by_bucket, bucket_count, components, settled, text_bytes
 from lodestat.llm.words import chunks, longs, mix, packed, range_hashes, split
 from lodestat.session import checkpointed
 
 FLUSH_WORDS = 1_000_000
 BLOCK_ROWS = 4096
 BLOCK_SHINGLES = 4 << 20  # 32 MB of sets
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES, TASK_BUCKETS = 16 << 20, 2  # text whose tokens make up one bucket; buckets that one task reads in turn
 _SHORT = 5  # bytes of a token that are sent; its bucket tells further bits, and a false match only costs a comparison
 _GROWTH = 1.5
 _MEMBER, _TOKENS, _SHARED = 0, 1, 2
@@ -226,39 +226,32 @@ def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), wide.view("<u8").ravel()
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that several groups hold: a row (list, group) for each; tokens held by the same groups give one list."""
-    own: dict[int, list[bytes]] = {}
-    for batch in batches:
-        members = batch.filter(pa.compute.equal(batch.column("kind"), _MEMBER))
-        if members.num_rows:
-            yield members
-        rest = batch.filter(pa.compute.equal(batch.column("kind"), _TOKENS))
-        for bucket, payload in zip(rest.column("bucket").to_pylist(), rest.column("payload").to_pylist(), strict=True):
-            own.setdefault(bucket, []).append(payload)
-    for payloads in [own.pop(b) for b in list(own)]:
-        parts = [_read(p) for p in payloads]
-        group, token = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        del parts, payloads
-        order = np.argsort(token)
-        ranked = token[order]
-        same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
-        held = same[1:] | same[:-1]
-        order, ranked = order[held], ranked[held]
-        order = order[np.lexsort((group[order], ranked))]
-        g, t = group[order], token[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]) if len(t) else np.zeros(0, bool)
-        g, t = g[new], t[new]
-        cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        counts = np.diff(np.concatenate([cut, [len(t)]]))
-        name = _sum_by(mix(g.astype(np.uint64)), cut)
-        _, keep = np.unique(name, return_index=True)
-        take = np.zeros(len(cut), bool)
-        take[keep] = True
-        take &= counts > 1
-        rows = np.repeat(take, counts)
-        if rows.any():
-            yield _batch(_SHARED, int(rows.sum()), fp1=np.repeat(name, counts)[rows].view(np.int64), group=g[rows])
+def _share(payloads: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket, the tokens that several groups hold: a row (list, group) for each; tokens held by the same groups give one list."""
+    parts = []
+    while payloads:
+        parts.append(_read(payloads.pop()))
+    group, token = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
+    order = np.argsort(token)
+    ranked = token[order]
+    same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+    held = same[1:] | same[:-1]
+    order, ranked = order[held], ranked[held]
+    order = order[np.lexsort((group[order], ranked))]
+    g, t = group[order], token[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]) if len(t) else np.zeros(0, bool)
+    g, t = g[new], t[new]
+    cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate([cut, [len(t)]]))
+    name = _sum_by(mix(g.astype(np.uint64)), cut)
+    _, keep = np.unique(name, return_index=True)
+    take = np.zeros(len(cut), bool)
+    take[keep] = True
+    take &= counts > 1
+    rows = np.repeat(take, counts)
+    if rows.any():
+        yield _batch(_SHARED, int(rows.sum()), fp1=np.repeat(name, counts)[rows].view(np.int64), group=g[rows])
 
 
 def _bounded_pairs(part: int, whole: int):
@@ -431,7 +424,8 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n = bucket_count(text_bytes(rows), BUCKET_BYTES)
-    found = settled(rows.mapInArrow(_group(k, part, whole, n), _ROW).repartition(n, "bucket").mapInArrow(_share, _ROW))
+    sent = rows.mapInArrow(_group(k, part, whole, n), _ROW).repartition(max(8, n // TASK_BUCKETS), "bucket").sortWithinPartitions("kind", "bucket")
+    found = settled(sent.mapInArrow(bucket_by_bucket(_share, through=_MEMBER), _ROW))
     members = found.where(F.col("kind") == _MEMBER).select("doc_id", "n", "group", "fp1", "fp2", "payload")
     shared = checkpointed(found.where(F.col("kind") == _SHARED).select(F.col("fp1").alias("list"), "group").distinct())
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions.columns import unused
-from lodestat.llm.exchange import add_columns, bucket_count, text_bytes
+from lodestat.llm.exchange import add_columns, bucket_by_bucket, bucket_count, text_bytes
 from lodestat.llm.words import Words, chunks, longs, packed, split
 
 #: Text whose windows make up one bucket, buckets that one task reads in turn, windows that a task collects before it sends them on.
@@ -146,32 +146,6 @@ def _gather(payloads: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
     return ids, keys, doc, pos, None if parts[0][4] is None else np.concatenate([p[4] for p in parts])
 
 
-def _bucket_by_bucket(handle: Callable[[list[pa.Buffer]], Iterator[pa.RecordBatch]], through: int | None = None):
-    """``handle`` for the payloads of one bucket after the other, from rows in order of kind and bucket; one bucket is held at a time.
-
-    Rows of the kind ``through`` go through as they are.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            passes = pa.compute.equal(batch.column("kind"), through)
-            if pa.compute.any(passes).as_py():
-                yield batch.filter(passes)
-                batch = batch.filter(pa.compute.invert(passes))
-            payload = batch.column("payload")
-            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
-                if held and bucket != last:
-                    yield from handle(held)
-                    held = []
-                last = bucket
-                held.append(payload[k].as_buffer())
-        if held:
-            yield from handle(held)
-
-    return run
-
-
 def _find_repeats(n: int) -> Callable[[list[pa.Buffer]], Iterator[pa.RecordBatch]]:
     """Of one bucket's windows, those that also start earlier, by their documents' bucket."""
 
@@ -222,8 +196,8 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("spans", T.ArrayType(span))])
     sent = rows.mapInArrow(_hash_windows(window, n), kind)
     dealt = sent.repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    found = dealt.mapInArrow(_bucket_by_bucket(_find_repeats(n), through=1), kind)
-    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_by_bucket(_merge(window)), out)
+    found = dealt.mapInArrow(bucket_by_bucket(_find_repeats(n), through=1), kind)
+    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(bucket_by_bucket(_merge(window)), out)
 
 
 def _cut(batch: pa.RecordBatch, found: str) -> list[pa.Array]:
