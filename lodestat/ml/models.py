@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -24,13 +23,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.errors import UnknownOperation
+from lodestat.ml.boosting import Booster, Boosting
+from lodestat.ml.trees import Growth
 from lodestat.operators.neighbors import mean_label, nearest, vote
 
 SEED = 42
@@ -48,13 +49,12 @@ TITLES = {
     "naive_bayes": "Gaussian Naive Bayes", "decision_tree": "Decision Tree", "random_forest": "Random Forest", "xgboost": "XGBoost",
     "lightgbm": "LightGBM", "catboost": "CatBoost", "gradient_boosting": "Gradient Boosting",
 }
-# the boosting libraries are not Spark-native: each name is a preset of MLlib's gradient-boosted trees, which results name as ENGINE
-ENGINE = "MLlib gradient-boosted trees"
-BOOSTING = {
-    "gradient_boosting": {},
-    "xgboost": {"maxBins": 256},
-    "lightgbm": {"maxBins": 255, "subsamplingRate": 0.9},
-    "catboost": {"maxBins": 254, "featureSubsetStrategy": "onethird"},
+# what trains a model whose title names a library that is not Spark-native
+ENGINES = {
+    "gradient_boosting": "MLlib gradient-boosted trees",
+    "xgboost": "second-order boosting of depth-wise histogram trees (lodestat.ml.boosting)",
+    "lightgbm": "second-order boosting of leaf-wise histogram trees (lodestat.ml.boosting)",
+    "catboost": "ordered boosting of oblivious histogram trees (lodestat.ml.boosting)",
 }
 
 
@@ -135,19 +135,19 @@ def ridge_strength(alpha: float, facts: TrainingFacts) -> float:
     return alpha / facts.rows * facts.label_std
 
 
-def build(name: str, problem: str, facts: TrainingFacts, key: str = "row_key", **given) -> Estimator | Knn:
+def build(name: str, problem: str, facts: TrainingFacts, key: str = "row_key", **given) -> Estimator | Knn | Booster:
     """An unfitted estimator for ``name``; ``given`` overrides single settings (as in tuning)."""
     if name == "auto":
         name = "logistic" if problem == "classification" else "linear"
     if name.startswith("boosting:"):  # the boosting tool takes any unknown library name for XGBoost
-        name = name.removeprefix("boosting:") if name.removeprefix("boosting:") in BOOSTING else "xgboost"
+        name = name.removeprefix("boosting:") if name.removeprefix("boosting:") in ENGINES else "xgboost"
     if name not in TITLES:
         raise UnknownOperation(f"unknown model {name}")
     maker = _classifier if problem == "classification" else _regressor
     return maker(name, facts, key, dict(given))
 
 
-def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn:
+def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn | Booster:
     binary = facts.classes <= 2
     if name == "logistic":
         return LogisticRegression(maxIter=p.get("max_iter", 1000), regParam=1 / (p.get("C", 1.0) * facts.rows), standardization=False)
@@ -165,18 +165,20 @@ def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator
         )
         return Pipeline(stages=[*kernel, machine, platt])
     if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=_depth(p, 10), minInstancesPerNode=max(1, p.get("min_samples_split", 10) // 2), seed=SEED)
+        return _single_tree("classification", facts, key, p)
     if name == "random_forest":
         return RandomForestClassifier(
             numTrees=p.get("n_estimators", 100), maxDepth=_depth(p, 15), minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=SEED
         )
-    if name in BOOSTING:
-        gbt = GBTClassifier(**_boosting(name, p))
+    if name == "gradient_boosting":
+        gbt = GBTClassifier(**_boosting(p))
         return gbt if binary else OneVsRest(classifier=gbt, parallelism=4)
+    if name in ENGINES:
+        return _histogram_boosting(name, "classification", facts, key, p)
     raise UnknownOperation(f"{name} is not a classifier")
 
 
-def _regressor(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn:
+def _regressor(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn | Booster:
     alpha = p.get("alpha", 1.0)
     if name == "linear":
         return LinearRegression(regParam=0.0, solver="normal")
@@ -197,13 +199,15 @@ def _regressor(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator
         )
         return Pipeline(stages=[*kernel, line])
     if name == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=_depth(p, 10), minInstancesPerNode=max(1, p.get("min_samples_split", 10) // 2), seed=SEED)
+        return _single_tree("regression", facts, key, p)
     if name == "random_forest":
         return RandomForestRegressor(
             numTrees=p.get("n_estimators", 100), maxDepth=_depth(p, 15), minInstancesPerNode=2, featureSubsetStrategy="all", seed=SEED
         )
-    if name in BOOSTING:
-        return GBTRegressor(**_boosting(name, p))
+    if name == "gradient_boosting":
+        return GBTRegressor(**_boosting(p))
+    if name in ENGINES:
+        return _histogram_boosting(name, "regression", facts, key, p)
     raise UnknownOperation(f"{name} is not a regressor")
 
 
@@ -212,14 +216,28 @@ def _depth(p: dict, default: int) -> int:
     return 30 if depth is None else depth  # 30 is MLlib's deepest tree
 
 
-def _boosting(name: str, p: dict) -> dict:
-    return {
-        "maxIter": p.get("n_estimators", 100),
-        "maxDepth": _depth(p, 6),
-        "stepSize": p.get("learning_rate", 0.1),
-        "seed": SEED,
-        **BOOSTING[name],
-    }
+def _boosting(p: dict) -> dict:
+    return {"maxIter": p.get("n_estimators", 100), "maxDepth": _depth(p, 6), "stepSize": p.get("learning_rate", 0.1), "seed": SEED}
+
+
+def _single_tree(problem: str, facts: TrainingFacts, key: str, p: dict) -> Booster:
+    """Gini or variance tree; ``max_depth`` None grows until nodes are pure or smaller than ``min_samples_split``."""
+    growth = Growth(p.get("max_depth", 10), ridge=0.0, least_split=p.get("min_samples_split", 10))
+    return Booster(problem, facts.classes, Boosting("single", growth=growth), key)
+
+
+def _histogram_boosting(name: str, problem: str, facts: TrainingFacts, key: str, p: dict) -> Booster:
+    depth = p.get("max_depth", 6)
+    # The libraries' default regularisation and least node sizes.
+    growth = {
+        "xgboost": Growth(depth, ridge=p.get("reg_lambda", 1.0), least_gain=p.get("gamma", 0.0), least_weight=p.get("min_child_weight", 1.0)),
+        "lightgbm": Growth(depth, p.get("num_leaves", 31), p.get("reg_lambda", 0.0), 0.0, p.get("min_child_weight", 1e-3), p.get("min_child_samples", 20)),
+        "catboost": Growth(depth or 16, ridge=p.get("l2_leaf_reg", 3.0), least_rows=0, oblivious=True),
+    }[name]
+    style = "ordered" if name == "catboost" else "newton"
+    sampled = {"top_rate": p["top_rate"], "other_rate": p.get("other_rate", 0.1)} if "top_rate" in p else {}
+    settings = Boosting(style, p.get("n_estimators", 100), p.get("learning_rate", 0.1), growth, seed=SEED, **sampled)
+    return Booster(problem, facts.classes, settings, key)
 
 
 def _rbf(facts: TrainingFacts, p: dict) -> list:

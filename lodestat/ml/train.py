@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestat.errors import NoModelTrained
 from lodestat.functions.columns import named, present
-from lodestat.ml.models import BOOSTING, CLASSIFIERS, ENGINE, REGRESSORS, TITLES, build, training_facts
+from lodestat.ml.models import CLASSIFIERS, ENGINES, REGRESSORS, TITLES, build, training_facts
 from lodestat.ml.prepare import FOLDS, FeatureModel, fit_features, model_inputs, model_table, problem_type, split, target_stage, with_folds
 from lodestat.operators import evaluate
 from lodestat.sources.sinks import EXPERIMENT
@@ -242,8 +242,8 @@ def _train_each(spark, ready: Prepared, train: DataFrame, test: DataFrame, targe
             LOG.warning("model %s failed: %s", name, error)
             failed[name] = f"{type(error).__name__}: {error}"[:500]
             continue
-        if name in BOOSTING:
-            found["engine"] = ENGINE
+        if name in ENGINES:
+            found["engine"] = ENGINES[name]
         results.append({"name": name, "model_name": title, "metric": metric, "test_score": found[short], "cv_score": cv, "cv_std": cv_std, **found})
         fitted[name] = ready.trained(name, title, model, chosen)
     if not results:

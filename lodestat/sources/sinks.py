@@ -47,7 +47,7 @@ def load_model(path: str) -> PipelineModel:
 def save_trained(trained, path: str) -> None:
     """Write a trained model: feature pipeline, estimator and a small settings table.
 
-    A neighbour model is stored as its training rows.
+    A neighbour model is stored as its training rows, histogram trees as text in the settings table.
     """
     spark = SparkSession.active()
     save_model(trained.features.pipeline, f"{path}/features")
@@ -60,6 +60,8 @@ def save_trained(trained, path: str) -> None:
     if knn:
         trained.model.train.write.mode("overwrite").parquet(f"{path}/rows")
         extra = {"k": trained.model.k, "weights": trained.model.weights}
+    elif hasattr(trained.model, "to_json"):
+        extra = {"trees": trained.model.to_json()}
     else:
         extra = {}
         save_model(PipelineModel(stages=[trained.model]), f"{path}/model")
@@ -76,6 +78,7 @@ def save_trained(trained, path: str) -> None:
 
 
 def load_trained(path: str):
+    from lodestat.ml.boosting import BoostedModel
     from lodestat.ml.models import KnnModel
     from lodestat.ml.prepare import FeatureModel
     from lodestat.ml.train import TrainedModel
@@ -84,6 +87,8 @@ def load_trained(path: str):
     about = json.loads(spark.read.text(f"{path}/about").first()["value"])
     if "k" in about:
         model = KnnModel(spark.read.parquet(f"{path}/rows"), about["problem"], about["k"], about["weights"], "row_key")
+    elif "trees" in about:
+        model = BoostedModel.from_json(about["trees"])
     else:
         model = load_model(f"{path}/model").stages[0]
     codes = about["codes"]

@@ -201,7 +201,7 @@ def test_failed_models_are_listed(spark, linear_rows):
 def test_quick_rules_train_two_models(spark, linear_rows):
     run = train.train_all(linear_rows[0], "y", ["id"], folds=2, rules="quick")
     assert {r["name"] for r in run.results} == {"random_forest", "linear"}
-    assert models.build("boosting:unheard", "regression", models.TrainingFacts(10, 1, 0, 1.0)).getMaxBins() == 256
+    assert models.build("boosting:unheard", "regression", models.TrainingFacts(10, 1, 0, 1.0)).settings.growth.least_weight == 1.0
 
 
 def test_json_arrays_grow_in_number_not_in_length(spark, tmp_path, monkeypatch):
