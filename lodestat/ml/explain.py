@@ -1,4 +1,4 @@
-"""Feature attributions: exact for linear models, permutation sampling for any other model."""
+"""Feature attributions: exact for linear models and trees, kernel regression or permutation sampling for any other model."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestat.errors import LodestatError
 from lodestat.functions.columns import constant, named, number, ratio
+from lodestat.ml import shap
 from lodestat.operators.charts import hash_sample
 from lodestat.operators.schema import need_numeric
 
@@ -124,6 +125,27 @@ def explain_predicted_class(trained, train: DataFrame, keys: list[str], n: int =
     return explain_rows(phis, keys, k).join(chosen.withColumnRenamed("_class", "predicted_class"), keys)
 
 
+def attributions(trained, rows: DataFrame, train: DataFrame, keys: list[str], donors: int = 50, samples: int = 100) -> DataFrame:
+    """(keys, feature, value, phi, base_value): of trees exactly, over all ``rows``; of any other model by kernel regression.
+
+    Classes are explained by the output of the class predicted for each row: margins or shares of trees, else its probability (models
+    without probabilities: the class number). Kernel regression scores rows x samples x donors rows, so pass a sample of rows there.
+    """
+    try:
+        shap.trees_of(trained.model)
+    except LodestatError:
+        chosen = trained.predict(rows).select(*[named(x) for x in keys], F.col("prediction").cast("int").alias("_class"))
+
+        def output(table: DataFrame) -> DataFrame:
+            scored = trained.predict(table)
+            if trained.problem == "regression" or "probability" not in scored.columns:
+                return scored.withColumn("output", F.col("prediction"))
+            return scored.drop("prediction").join(chosen, keys).withColumn("output", F.get(vector_to_array("probability"), F.col("_class")))
+
+        return shap.kernel_shap(rows, background(train, donors, keys), output, trained.feature_names, keys, samples)
+    return shap.tree_shap(rows, trained.model, trained.feature_names, keys, "largest").drop("output")
+
+
 def importance_or_fallback(spark, trained, attributions: Callable[[], DataFrame]) -> DataFrame:
     """Importance from attributions, or the model's own importances if computing them fails."""
     from lodestat.ml.train import importances

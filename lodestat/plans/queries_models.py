@@ -8,7 +8,7 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lodestat.ml import explain, train
+from lodestat.ml import explain, shap, train
 from lodestat.operators import quality
 from lodestat.operators.neighbors import mean_label, nearest, vote
 from lodestat.plans.inputs import LINEITEM, RESULTS, as_sql, derived, results
@@ -499,11 +499,37 @@ def _(spark, d):
     return rounded(rounded(found, 5, "value"), 4, "phi")
 
 
-@query("i04_multiclass_explanation")
+STUMP = "p_partkey, p_size % 8 AS f, p_retailprice, CASE WHEN p_size % 8 < 4 THEN 'a' WHEN p_partkey % 3 = 0 THEN 'c' ELSE 'b' END AS y"
+
+
+@query(
+    "i04_multiclass_explanation",
+    # a tree of one split on f: the class predicted in a leaf is explained by f alone, by its share there less its share in all training rows
+    f"WITH t AS (SELECT {STUMP}, NOT ({TEST}) AS used FROM part), s AS (SELECT y, f < 4 AS low, count(*) AS n FROM t WHERE used GROUP BY ALL), "
+    "w AS (SELECT y, low, n / sum(n) OVER (PARTITION BY low) AS share, sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS base FROM s), "
+    "c AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY low ORDER BY share DESC) = 1) "
+    "SELECT p_partkey AS row_key, c.y AS predicted_class, unnest(['f', 'p_retailprice']) AS feature, unnest([round(share - base, 6), 0.0])::DOUBLE AS phi, "
+    "round(base, 6)::DOUBLE AS base_value FROM t JOIN c ON (t.f < 4) = c.low WHERE NOT used",
+)
+def _(spark, d):
+    t = read_table(spark, d, "part").selectExpr("p_partkey", "p_size % 8 AS f", "p_retailprice", STUMP.split(", ", 3)[3])
+    model, ready = train.fit(t, "y", ["p_partkey"], "decision_tree", max_depth=1)
+    found = shap.tree_shap(ready.test, model.model, model.feature_names, ["row_key"], "largest")
+    name = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("output")).alias("predicted_class")
+    return rounded(found.select("row_key", name, "feature", "phi", "base_value"), 6, "phi", "base_value")
+
+
+@query(
+    "i02_tree_explanation",
+    # one feature: it explains all that parts a prediction from the mean prediction of the training rows
+    boosted_sql(1.0).replace(" FROM t JOIN g USING (f), m WHERE NOT used", ", f, used FROM t JOIN g USING (f), m").replace("round(y - (y - base)", "(y - (y - base)").replace("100), 4)", "100))").replace("WITH t", "WITH p AS (WITH t")
+    + "), b AS (SELECT avg(prediction) AS base FROM p WHERE used) SELECT row_key, 'f' AS feature, round(prediction - base, 4)::DOUBLE AS phi, round(base, 4)::DOUBLE AS base_value FROM p, b WHERE NOT used",
+)
 def _(spark, d):
-    t = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    model, ready = train.fit(t, "o_orderstatus", ["o_orderkey"], "decision_tree")
-    return explain.explain_predicted_class(model, ready.train, ["row_key"])
+    t = read_table(spark, d, "part").selectExpr("p_partkey", *[f"CAST({c} AS {k}) AS {n}" for c, k, n in FOUR_COLUMNS])
+    model, ready = train.fit(t, "y", ["p_partkey"], "xgboost", problem="regression")
+    found = explain.attributions(model, ready.test, ready.train, ["row_key"]).select("row_key", "feature", "phi", "base_value")
+    return rounded(found, 4, "phi", "base_value")
 
 
 @query(
