@@ -47,42 +47,93 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Prior of good text and, for each rule, the chance of its votes given good and given bad text."""
+    """Shares of the classes, and the chance of each rule's votes given the class. Class 0 is good text, class 1 text with a fault that no
+    other class knows, the others are the faults that the votes show."""
 
-    prior: float
-    chance: np.ndarray  # (rules, class, vote + 1)
+    share: np.ndarray  # (classes,)
+    chance: np.ndarray  # (rules, classes, vote + 1)
+
+    def classes(self, v: np.ndarray) -> np.ndarray:
+        """(texts, classes): probability of each class."""
+        rules, kinds = np.arange(v.shape[1])[None, :, None], np.arange(len(self.share))[None, None, :]
+        logs = np.log(self.chance)[rules, kinds, v[:, :, None] + 1].sum(axis=1) + np.log(self.share)
+        logs -= logs.max(axis=1, keepdims=True)
+        p = np.exp(logs)
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        logs = np.log(self.chance)[np.arange(v.shape[1])[None, :, None], np.arange(2)[None, None, :], v[:, :, None] + 1].sum(axis=1)
-        logs[:, 1] += np.log(self.prior)
-        logs[:, 0] += np.log1p(-self.prior)
-        return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
-
-
-#: Chances of (bad, no, good) votes before any text is seen, for rules that vote both ways and for rules that never vote good.
-#: Bad text gets many good votes too, as each rule knows one fault only.
-TWO_SIDED = {"bad": (0.25, 0.15, 0.6), "good": (0.005, 0.095, 0.9)}
-ONE_SIDED = {"bad": (0.25, 0.749, 0.001), "good": (0.003, 0.996, 0.001)}
-WEIGHT = {"bad": 1.0, "good": 10.0}  # of these chances, in texts per text: false alarms are held rare
-
-
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """EM over distinct vote patterns, from the chances above; as pseudo-votes they keep a rule on its own side."""
-    before = np.array([[kind["bad"], kind["good"]] for kind in (ONE_SIDED if good is None else TWO_SIDED for _, good, _ in RULES.values())])
-    weight = np.array([WEIGHT["bad"], WEIGHT["good"]])
-    total = counts.sum()
-    model = LabelModel(0.9, before)
-    q = np.full(len(patterns), -1.0)
+        return self.classes(v)[:, 0]
+
+    @property
+    def given_bad(self) -> np.ndarray:
+        """(rules, vote + 1): chances of the votes given bad text of any class."""
+        return self.chance[:, 1:].transpose(0, 2, 1) @ (self.share[1:] / self.share[1:].sum())
+
+
+#: Chances of (bad, no, good) votes before any text is seen, for rules that vote both ways and for rules that never vote good: in good
+#: text, in text with a fault that the rule knows, and in text whose fault is not known (of these rules about a quarter see it).
+TWO_SIDED = {"good": (0.005, 0.095, 0.9), "seen": (0.5, 0.1, 0.4), "unknown": (0.25, 0.15, 0.6)}
+ONE_SIDED = {"good": (0.003, 0.996, 0.001), "seen": (0.5, 0.499, 0.001), "unknown": (0.25, 0.749, 0.001)}
+#: These chances count as so many texts of each class, whatever the size of the corpus.
+PRIOR_TEXTS = 50
+#: Faults sought at most, and bounds on the shares of good text and of text with an unknown fault.
+FAULTS, LEAST_GOOD, LEAST_UNKNOWN = 8, 0.05, 0.01
+
+
+def faults(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(faults, rules): sets of rules that find the same fault: their bad votes fall together at least twice as often as by chance.
+
+    Sets grow from the pair that falls together most often beyond chance; a rule joins that does so with every rule of the set. A rule
+    whose bad votes come at random falls in no set.
+    """
+    bad = (patterns == -1).astype(float)
+    total = max(counts.sum(), 1.0)
+    together = (bad * counts[:, None]).T @ bad
+    alone = np.diag(together)
+    expected = np.outer(alone, alone) / total
+    tied = (together > 2 * expected) & (together >= expected + 3 * np.sqrt(expected) + 5)
+    np.fill_diagonal(tied, False)
+    excess, out = np.where(tied, together - expected, 0.0), []
+    while excess.max(initial=0) > 0 and len(out) < FAULTS:
+        a, b = np.unravel_index(np.argmax(excess), excess.shape)
+        inside = [int(a), int(b)]
+        for r in np.argsort(-together[a], kind="stable"):
+            if r not in inside and all(tied[r, x] for x in inside):
+                inside.append(int(r))
+        out.append(np.isin(np.arange(len(alone)), inside))
+        excess[np.ix_(inside, inside)] = 0
+    return np.array(out, bool).reshape(len(out), len(alone))
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
+    """Expectation-maximisation over distinct vote patterns: good text, each fault that rules agree on, and unknown faults.
+
+    In each class rules vote independently with chances of their own, so a rule's accuracy is judged by the votes that fall together
+    with its own. The chances above count as PRIOR_TEXTS texts; only those of the unknown faults stay as they are, as no vote tells them.
+    """
+    sided = [ONE_SIDED if good is None else TWO_SIDED for _, good, _ in RULES.values()]
+    before = [[kind["good"], kind["unknown"]] for kind in sided]
+    found = faults(patterns, counts)
+    for one in found:
+        for row, kind, seen in zip(before, sided, one, strict=True):
+            row.append(kind["seen"] if seen else kind["good"])
+    before = np.array(before)
+    k, total = before.shape[1], counts.sum()
+    share = np.r_[0.85, np.full(k - 1, 0.15 / (k - 1))]
+    model = LabelModel(share, before)
+    last = np.full((len(patterns), k), -1.0)
     for _ in range(rounds if total else 0):
-        new = model.posterior(patterns)
-        if np.abs(new - q).max() < 1e-9:
+        q = model.classes(patterns)
+        if np.abs(q - last).max() < 1e-9:
             break
-        q = new
-        chance = np.stack([np.stack([(w[:, None] * (patterns == v)).sum(axis=0) for v in (-1, 0, 1)], axis=1) for w in ((1 - q) * counts, q * counts)], axis=1)
-        held = np.array([((1 - q) * counts).sum(), (q * counts).sum()])
-        chance += (weight * (held + 1))[None, :, None] * before
+        last = q
+        held = q * counts[:, None]
+        chance = np.stack([np.einsum("pc,pr->rc", held, (patterns == v).astype(float)) for v in (-1, 0, 1)], axis=2) + PRIOR_TEXTS * before
         chance /= chance.sum(axis=2, keepdims=True)
-        model = LabelModel(float(np.clip((q * counts).sum() / total, 0.05, 0.95)), chance)
+        chance[:, 1] = before[:, 1]
+        share = (held.sum(axis=0) + 1) / (total + k)
+        share = np.maximum(share, np.r_[LEAST_GOOD, LEAST_UNKNOWN, np.zeros(k - 2)])
+        model = LabelModel(share / share.sum(), chance)
     return model
 
 
@@ -93,9 +144,10 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), threshold: floa
     kept is false if the base test failed (fewer than 20 words, or over 30 % of the words in repeated 8-word windows), else
     whether the posterior reaches ``threshold``. Null and empty texts have zero words and fail the base test; each row is judged
     by itself, so repeated rows get the same verdict. The votes of all rows are counted by pattern: at most 3^10 rows whatever
-    the size of the table, so the model is fitted on every text.
+    the size of the table, so the model is fitted on every text. A carried column named as a result is replaced by it.
     """
     names = [*BASE, "pattern"]
+    carry = tuple(c for c in carry if c.lower() not in {*names, "quality", "base_failed", "kept"})
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         s = stats(batch.column("text"))

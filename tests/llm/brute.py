@@ -227,3 +227,29 @@ def article(page):
     parser.close()
     parser.border()
     return "\n".join(parser.blocks)
+
+
+def em(texts, faults, rules, rounds=500):
+    """(shares, chances[rule][class][vote + 1]) of the label model, by loops over every text."""
+    kinds = [rules.ONE_SIDED if good is None else rules.TWO_SIDED for _, good, _ in rules.RULES.values()]
+    before = [[k["good"], k["unknown"], *(k["seen"] if f[r] else k["good"] for f in faults)] for r, k in enumerate(kinds)]
+    classes, n = 2 + len(faults), len(texts)
+    share, chance = [0.85] + [0.15 / (classes - 1)] * (classes - 1), [[list(c) for c in row] for row in before]
+    seen = Counter(map(tuple, texts))
+    for _ in range(rounds):
+        held = [[[rules.PRIOR_TEXTS * x for x in c] for c in row] for row in before]
+        size = [1.0] * classes
+        for votes, copies in seen.items():
+            weight = list(share)
+            for r, v in enumerate(votes):
+                weight = [w * chance[r][c][v + 1] for c, w in enumerate(weight)]
+            for c in range(classes):
+                part = copies * weight[c] / sum(weight)
+                size[c] += part
+                for r, v in enumerate(votes):
+                    held[r][c][v + 1] += part
+        chance = [[[x / sum(cell) for x in cell] if c != 1 else list(before[r][1]) for c, cell in enumerate(row)] for r, row in enumerate(held)]
+        share = [x / (n + classes) for x in size]
+        share[0], share[1] = max(share[0], rules.LEAST_GOOD), max(share[1], rules.LEAST_UNKNOWN)
+        share = [x / sum(share) for x in share]
+    return share, chance

@@ -356,6 +356,52 @@ def test_rules_do_not_overrule_a_sure_fault():
     assert good > 0.9 and symbols < 0.5 and loops < 0.5
 
 
+def simulated(n, rates, seed=1):
+    """Votes of ten rules on good text and three faults of three rules each; the last rule votes bad at random."""
+    rng = np.random.default_rng(seed)
+    kind = rng.choice(4, n, p=[0.7, 0.1, 0.1, 0.1])
+    bad = rng.random((n, 10)) < rates[kind]
+    votes = np.where(bad, -1, 0)
+    for k, (_, good, _) in enumerate(rules.RULES.values()):
+        if good is not None:
+            votes[:, k] = np.where(bad[:, k], -1, np.where(rng.random(n) < 0.9, 1, 0))
+    return kind, *np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_accuracies_of_simulated_rules_are_recovered(n):
+    rates = np.full((4, 10), 0.02)
+    for fault in (1, 2, 3):
+        rates[fault, 3 * fault - 3 : 3 * fault] = (0.85, 0.75, 0.65)
+    rates[:, 9] = 0.3
+    kind, patterns, inverse, counts = simulated(n, rates)
+    model = rules.fit(patterns, counts.astype(float))
+    assert len(model.share) == 5 and abs(model.share[0] - 0.7) < 0.02
+    assert np.abs(model.chance[:, 0, 0] - rates[0]).max() < 0.02
+    assert np.abs(model.given_bad[:, 0] - rates[1:].mean(axis=0)).max() < 0.02
+    good = model.posterior(patterns)[inverse.ravel()]
+    # text with no other fault than the random rule's bad vote is not rejected; two agreeing votes outweigh one
+    only = (patterns == -1).sum(axis=1) == 1
+    coin, one, two = only & (patterns[:, 9] == -1), only & (patterns[:, 4] == -1), ((patterns == -1).sum(axis=1) == 2) & (patterns[:, 3:5] == -1).all(axis=1)
+    assert model.posterior(patterns[coin]).min() > 0.9
+    assert model.posterior(patterns[two]).max() < 0.1 < model.posterior(patterns[one]).max()
+    assert ((good >= 0.7) == (kind == 0)).mean() > 0.92
+
+
+def test_em_equals_a_plain_version():
+    kind, patterns, inverse, counts = simulated(3000, np.vstack([np.full(10, 0.03), *[np.where(np.arange(10) // 3 == f, 0.7, 0.05) for f in range(3)]]))
+    model = rules.fit(patterns, counts.astype(float))
+    share, chance = brute.em([list(map(int, patterns[i])) for i in inverse.ravel()], rules.faults(patterns, counts.astype(float)).tolist(), rules)
+    assert np.allclose(share, model.share, atol=1e-6) and np.allclose(chance, model.chance, atol=1e-6)
+
+
+def test_without_agreement_every_rule_is_taken_as_noise():
+    patterns = np.array([[1, 1, 1] + [0] * 7, [1, 1, 1, -1] + [0] * 6])
+    model = rules.fit(patterns, np.array([14_000.0, 6_000.0]))
+    assert abs(model.chance[3, 0, 0] - 0.3) < 0.02 and model.posterior(patterns).min() > 0.9
+    assert rules.fit(np.zeros((0, 10), int), np.zeros(0)).posterior(patterns).shape == (2,)
+
+
 def test_known_words_do_not_depend_on_length():
     random.seed(6)
     vocabulary = [f"junk{j}" for j in range(60)]
