@@ -51,8 +51,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     link both stay; of linked ones the first by hash of text stays. Of rows equal in both one stays. Rows without doc_id, and documents
     without words, stay.
     """
-    key = F.xxhash64("doc_id", "text").alias("key")
-    rows = _bare(docs.where("doc_id is not null"), key)
+    # A document's number is its doc_id; only where texts differ under one doc_id it is a hash of both.
+    named_ = docs.where("doc_id is not null")
+    several = named_.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = several.where("low <> high").select(F.struct("doc_id").alias("several"))
+    rows = _bare(named_).join(several, F.col("doc_id") == F.col("several.doc_id"), "left")
+    rows = rows.withColumn("key", F.when(F.col("several").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))).drop("several")
     linked = jaccard.link(rows.select(F.col("key").alias("doc_id"), "text"), k=5, part=80, whole=100)
     linked = linked.select(F.col("doc_id").alias("key"), "component_id").distinct()
     first = rows.select("key", "doc_id").distinct().join(linked, "key").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
