@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestat.llm.words import chunks
+from lodestat.llm.words import CHUNK_BYTES, chunks
 from lodestat.session import checkpointed
 
 BUCKET_BYTES = 24 << 20
 
 
 def add_columns(
-    df: DataFrame, new: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = (), by: str = "text"
+    df: DataFrame, new: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = (), by: str = "text", limit: int = CHUNK_BYTES
 ) -> DataFrame:
     """``df`` with the columns ``compute`` returns for each small batch; a column of the same name is replaced.
 
-    Batches are cut by the size of the column ``by``.
+    Batches are cut at ``limit`` bytes of the column ``by``.
     """
     taken = {f.name.lower() for f in new} | {d.lower() for d in drop}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
@@ -31,7 +31,7 @@ def add_columns(
     heads = [*names, *(f.name for f in new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, by):
+        for batch in chunks(batches, by, limit):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *compute(batch)], heads)
 
     return df.mapInArrow(run, T.StructType([*kept, *new]))

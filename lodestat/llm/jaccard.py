@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.llm.exchange import bucket_by_bucket, bucket_count, components, settled, text_bytes
-from lodestat.llm.words import chunks, longs, mix, packed, range_hashes, split
+from lodestat.llm.words import SLICE_BYTES, chunks, longs, mix, packed, range_hashes, split
 from lodestat.session import checkpointed
 
 FLUSH_WORDS = 1_000_000
@@ -204,7 +204,7 @@ def _group(k: int, part: int, whole: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=SLICE_BYTES):
             batch = batch.filter(batch.column("doc_id").is_valid())
             row, code, sizes = shingles(batch.column("text"), k)
             parts.append((longs(batch.column("doc_id")), row, code, sizes))
@@ -499,7 +499,7 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
 
 def _without_id(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=SLICE_BYTES):
             n = shingles(batch.column("text"), k)[2]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "component_id"])
 

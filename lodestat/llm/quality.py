@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.llm.exchange import add_columns
+from lodestat.llm.words import SLICE_BYTES
 from lodestat.llm.textstats import stats
 
 #: Bound on the labelled rows a model is fitted on; those with the smallest hash of doc_id are taken.
@@ -182,4 +183,4 @@ def score(docs: DataFrame, model: AdditiveModel, name: str = "score") -> DataFra
     The model is a few kilobytes of tables in the task's closure. Every other column passes through; one of the same name is
     replaced.
     """
-    return add_columns(docs, [T.StructField(name, T.DoubleType())], lambda b: [pa.array(model.score(features(b.column("text"))))])
+    return add_columns(docs, [T.StructField(name, T.DoubleType())], lambda b: [pa.array(model.score(features(b.column("text"))))], limit=SLICE_BYTES)

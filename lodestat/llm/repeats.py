@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lodestat.functions.columns import unused
 from lodestat.llm.exchange import add_columns, bucket_by_bucket, bucket_count, text_bytes
-from lodestat.llm.words import Words, chunks, longs, packed, split
+from lodestat.llm.words import SLICE_BYTES, Words, chunks, longs, packed, split
 
 #: Text whose windows make up one bucket, buckets that one task reads in turn, windows that a task collects before it sends them on.
 BUCKET_BYTES, TASK_BUCKETS, FLUSH_WINDOWS = 8 << 20, 4, 1_000_000
@@ -113,7 +113,7 @@ def _hash_windows(window: int, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=SLICE_BYTES):
             batch = batch.filter(batch.column("doc_id").is_valid())
             words = split(batch.column("text"))
             hashes = words.hashes()

@@ -134,14 +134,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     A component x counts as floor(64 * x). Ties go to the smaller vec_id; a query with fewer than k partners gets all of them.
     Vectors that are null or hold a null or non-finite component take no part, nor do rows without vec_id. Vectors of different
-    length are not compared; empty ones score 0 with each other. Exactly repeated rows count once; rows that share a vec_id but
-    not the vector are queries and candidates of their own. Scores beyond a long's range are held to it.
+    length are not compared; empty ones score 0 with each other. Exactly repeated rows are one query, and as many candidates as there are
+    rows; rows that share a vec_id but not the vector are queries and candidates of their own. Other columns take no part. Scores beyond a long's range are held to it.
 
     Each group of tasks gets one block of queries and one of candidates, so a task's memory does not grow with the table. The
     broadcast sample has at most SAMPLE_ROWS vectors.
     """
-    rows = vectors.where(usable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), scaled().alias("v"), is_query.alias("q")).distinct()
-    rows = checkpointed(rows.withColumn("h", F.xxhash64("vec_id", "v")))
+    rows = vectors.where(usable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), scaled().alias("v"), is_query.alias("q"))
+    # of n equal rows one asks, and no list of k can hold more than k of them
+    rows = rows.groupBy("vec_id", "v").agg(F.max("q").alias("q"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")))).withColumn("q", F.col("q") & (F.col("copy") == 1))
+    rows = checkpointed(rows.select("vec_id", "v", "q", F.xxhash64("vec_id", "v", "copy").alias("h")))
     total, queries = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     grids = _grids(rows)
     groups = max(1, math.ceil(queries / QUERY_ROWS))

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-CHUNK_BYTES = 1 << 19
+#: Text that is handled at once; half of it where a task holds much else.
+CHUNK_BYTES, SLICE_BYTES = 1 << 20, 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

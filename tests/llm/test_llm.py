@@ -183,6 +183,12 @@ def test_top_k_edges(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_top_k_keeps_repeated_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0]), (1, [1.5])], "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("n", F.lit(2))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0, 3).collect())
+    assert got == [(0, 1, 1, 64 * 128), (0, 2, 1, 64 * 128), (0, 3, 1, 64 * 96)]
+
+
 def test_top_k_ties_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
     monkeypatch.setattr(topk, "CANDIDATE_ROWS", 11)
