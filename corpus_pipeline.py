@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from lodestat.functions.columns import named
 from lodestat.llm import jaccard, packing, quality, repeats, secret_scan
 from lodestat.llm.exchange import held_out
-from lodestat.session import shared_folder
+from lodestat.session import checkpointed, shared_folder
 
 #: A document of score 0.3 or more is kept: rejecting a good one costs more than keeping a doubtful one.
 LEAST_QUALITY = 0.3
+#: So many doc_ids with several texts are broadcast, more are joined by a shuffle.
+FEW_DOC_IDS = 100_000
 
 
 def _bare(docs: DataFrame, *more: Column) -> DataFrame:
@@ -54,8 +56,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     # A document's number is its doc_id; only where texts differ under one doc_id it is a hash of both.
     named_ = docs.where("doc_id is not null")
     several = named_.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    several = several.where("low <> high").select(F.struct("doc_id").alias("several"))
-    rows = _bare(named_).join(several, F.col("doc_id") == F.col("several.doc_id"), "left")
+    several = checkpointed(several.where("low <> high").select(F.struct("doc_id").alias("several")))
+    few = several.count() <= FEW_DOC_IDS
+    rows = _bare(named_).join(F.broadcast(several) if few else several, F.col("doc_id") == F.col("several.doc_id"), "left")
     rows = rows.withColumn("key", F.when(F.col("several").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))).drop("several")
     linked = jaccard.link(rows.select(F.col("key").alias("doc_id"), "text"), k=5, part=80, whole=100)
     linked = linked.select(F.col("doc_id").alias("key"), "component_id").distinct()
