@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestat.ml import explain, prepare
+from lodestat.ml import suggest as advice
 from lodestat.ml.suggest import suggest
 from lodestat.operators import charts, evaluate, ranking, text
 from lodestat.plans.inputs import COMMANDS, MULTICLASS, PREDICTIONS, REGRESSION, RESULTS, as_sql, derived, results
@@ -170,18 +171,14 @@ def _(spark, d):
 
 
 ADVICE = [
-    ("problem_type = 'classification' AND test_score < 0.7", "Model accuracy is low (< 70%). Consider collecting more data or engineering new features."),
-    ("problem_type = 'classification' AND \"precision\" < 0.6", "Precision is low. The model has a high false-positive rate."),
-    ("problem_type = 'classification' AND \"recall\" < 0.6", "Recall is low. The model is missing many positive instances."),
-]
-IMBALANCED = ("problem_type = 'classification' AND rarest_share < 0.1", "Significant class imbalance detected. Consider techniques like SMOTE oversampling or class weighting.")
-LOW_R2 = ("problem_type = 'regression' AND test_score < 0.5", "R² score is low (< 0.5). The model explains less than 50% of the variance.")
-FAR = ("problem_type = 'regression' AND has_outliers", "Outliers detected in feature columns. Consider robust scaling or clipping outliers.")
-TRAINER = [("true", "Try removing noisy features to improve generalization."), ("true", "Collect more diverse training samples if possible.")]
-QUICK = [
-    ("true", "Try training on a larger subset of data if available."),
-    ("true", "Feature selection (removing noisy columns) might improve performance."),
+    ("problem_type = 'classification' AND test_score < 0.7", advice.LOW_ACCURACY),
+    ("problem_type = 'classification' AND \"precision\" < 0.6", advice.LOW_PRECISION),
+    ("problem_type = 'classification' AND \"recall\" < 0.6", advice.LOW_RECALL),
 ]
+IMBALANCED = ("problem_type = 'classification' AND rarest_share < 0.1", advice.IMBALANCE)
+LOW_R2 = ("problem_type = 'regression' AND test_score < 0.5", advice.LOW_R2)
+FAR = ("problem_type = 'regression' AND has_outliers", advice.OUTLIERS)
+TRAINER, QUICK = ([("true", text) for text in advice.GENERAL[k]] for k in ("trainer", "quick"))
 
 
 def suggest_sql(rules):
