@@ -27,9 +27,9 @@ from lodestat.llm.exchange import bucket_by_bucket, bucket_count, components, se
 from lodestat.llm.words import SLICE_BYTES, chunks, longs, mix, packed, range_hashes, split
 from lodestat.session import checkpointed
 
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 500_000
 BLOCK_ROWS = 4096
-BLOCK_SHINGLES = 4 << 20  # 32 MB of sets
+BLOCK_SHINGLES = 2 << 20  # 16 MB of sets
 BUCKET_BYTES, TASK_BUCKETS = 16 << 20, 2  # text whose tokens make up one bucket; buckets that one task reads in turn
 _SHORT = 5  # bytes of a token that are sent; its bucket tells further bits, and a false match only costs a comparison
 _GROWTH = 1.5
