@@ -16,7 +16,7 @@ from lodestat.llm.exchange import add_columns, bucket_by_bucket, bucket_count, t
 from lodestat.llm.words import SLICE_BYTES, Words, chunks, longs, packed, split
 
 #: Text whose windows make up one bucket, buckets that one task reads in turn, windows that a task collects before it sends them on.
-BUCKET_BYTES, TASK_BUCKETS, FLUSH_WINDOWS = 8 << 20, 4, 1_000_000
+BUCKET_BYTES, TASK_BUCKETS, FLUSH_WINDOWS = 16 << 20, 2, 1_000_000
 
 
 def _gaps(doc: np.ndarray, pos: np.ndarray) -> tuple[int, bytes]:
