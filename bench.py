@@ -38,6 +38,8 @@ HEADLINE = [
     "j01_classify_intent",
     "h13_nearest_neighbors",
     "h16_random_forest",
+    "h18_xgboost_preset",
+    "i02_tree_explanation",
     "e25_full_profile_dashboard",
     "e25_full_profile_engine",
 ]
