@@ -52,7 +52,7 @@ def bucket_count(total_bytes: int, bucket_bytes: int = BUCKET_BYTES, least: int
 
 
 def bucket_by_bucket(handle: Callable[[list[pa.Buffer]], Iterator[pa.RecordBatch]], through: int | None = None):
-    """``handle`` for the payloads of one bucket after the other, from rows in order of kind and bucket; one bucket is held at a time.
+    """``handle`` for the payloads of one bucket after the other, from rows in order of bucket; one bucket is held at a time.
 
     Rows of the kind ``through`` go through as they are.
     """

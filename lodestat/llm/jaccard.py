@@ -30,7 +30,7 @@ from lodestat.session import checkpointed
 FLUSH_WORDS = 500_000
 BLOCK_ROWS = 4096
 BLOCK_SHINGLES = 2 << 20  # 16 MB of sets
-BUCKET_BYTES, TASK_BUCKETS = 16 << 20, 2  # text whose tokens make up one bucket; buckets that one task reads in turn
+BUCKET_BYTES = 16 << 20  # text whose tokens make up one bucket, which is a partition of its own
 _SHORT = 5  # bytes of a token that are sent; its bucket tells further bits, and a false match only costs a comparison
 _GROWTH = 1.5
 _MEMBER, _TOKENS, _SHARED = 0, 1, 2
@@ -424,7 +424,7 @@ def link(docs: DataFrame, k: int = 3, part: int = 90, whole: int = 100) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n = bucket_count(text_bytes(rows), BUCKET_BYTES)
-    sent = rows.mapInArrow(_group(k, part, whole, n), _ROW).repartition(max(8, n // TASK_BUCKETS), "bucket").sortWithinPartitions("kind", "bucket")
+    sent = rows.mapInArrow(_group(k, part, whole, n), _ROW).repartitionById(n, F.col("bucket").cast("int"))
     found = settled(sent.mapInArrow(bucket_by_bucket(_share, through=_MEMBER), _ROW))
     members = found.where(F.col("kind") == _MEMBER).select("doc_id", "n", "group", "fp1", "fp2", "payload")
     shared = checkpointed(found.where(F.col("kind") == _SHARED).select(F.col("fp1").alias("list"), "group").distinct())

@@ -15,8 +15,8 @@ from lodestat.functions.columns import unused
 from lodestat.llm.exchange import add_columns, bucket_by_bucket, bucket_count, text_bytes
 from lodestat.llm.words import SLICE_BYTES, Words, chunks, longs, packed, split
 
-#: Text whose windows make up one bucket, buckets that one task reads in turn, windows that a task collects before it sends them on.
-BUCKET_BYTES, TASK_BUCKETS, FLUSH_WINDOWS = 16 << 20, 2, 1_000_000
+#: Text whose windows make up one bucket, windows that a task collects before it sends them on.
+BUCKET_BYTES, FLUSH_WINDOWS = 12 << 20, 1_000_000
 
 
 def _gaps(doc: np.ndarray, pos: np.ndarray) -> tuple[int, bytes]:
@@ -185,19 +185,17 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
 
     Each task sends on one entry per distinct window, so a passage that stands in a third of all rows reaches its bucket once per
     task and not once per row. A bucket holds the windows of about BUCKET_BYTES of text: the number of buckets follows the input.
-    Tasks read several buckets in turn, sorted by Spark, and hold one at a time.
+    Every bucket is a partition of its own.
     Windows are equal if 64 hash bits and the bucket of a second, independent hash agree.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     n = bucket_count(text_bytes(docs), BUCKET_BYTES)
-    tasks = max(8, n // TASK_BUCKETS)
     kind = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType())])
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("spans", T.ArrayType(span))])
     sent = rows.mapInArrow(_hash_windows(window, n), kind)
-    dealt = sent.repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    found = dealt.mapInArrow(bucket_by_bucket(_find_repeats(n), through=1), kind)
-    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(bucket_by_bucket(_merge(window)), out)
+    found = sent.repartitionById(n, F.col("bucket").cast("int")).mapInArrow(bucket_by_bucket(_find_repeats(n), through=1), kind)
+    return found.repartitionById(n, F.col("bucket").cast("int")).mapInArrow(bucket_by_bucket(_merge(window)), out)
 
 
 def _cut(batch: pa.RecordBatch, found: str) -> list[pa.Array]:
