@@ -1,13 +1,14 @@
 """Properties that hold for any data, and agreement of the large-table paths with the simple ones."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestat.ml.explain import linear_shap
-from lodestat.operators import charts, clean, evaluate, ordered, stats
+from lodestat.operators import charts, clean, evaluate, neighbors, ordered, stats
 from lodestat.operators.fitting import attach_codes, fit_codes
 from lodestat.operators.neighbors import nearest
 from lodestat.operators.quantiles import exact_quantiles
@@ -147,3 +148,65 @@ def test_neighbors_against_brute_force_with_hot_copies(spark):
     for i in range(len(asked)):
         order = sorted(range(len(points)), key=lambda j: (dist[i, j], j))[:4]
         assert got[got.test_key == i]["train_key"].tolist() == order
+
+
+def _blocks_compared(spark, monkeypatch, test, train, k, **sizes):
+    """The result of ``nearest``, the blocks and the pairs of rows that its tasks compared."""
+    blocks, pairs, inner = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), neighbors._block_neighbors(k)
+
+    def counted(k):
+        def run(test, train):
+            blocks.add(1)
+            pairs.add(len(test) * len(train))
+            return inner(test, train)
+
+        return run
+
+    monkeypatch.setattr(neighbors, "_block_neighbors", counted)
+    got = nearest(test, train, k, **sizes).toPandas().sort_values(["test_key", "rank"])
+    return got, blocks.value, pairs.value
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    train = spark.range(4000).selectExpr("id AS train_key", "array(double(id % 8)) AS x", "double(id % 3) AS label")
+    test = spark.range(1000).selectExpr("id AS test_key", "array(double(id % 8) + 0.25) AS x")
+    got, _, pairs = _blocks_compared(spark, monkeypatch, test, train, 5)
+    assert pairs <= 8 * 8 * 5
+    assert len(got) == 5000 and (got["distance"] == 0.25).all()
+    assert (got["train_key"] == got["test_key"] % 8 + 8 * (got["rank"] - 1)).all()
+    assert (got["label"] == got["train_key"] % 3).all()
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points, asked = rng.normal(size=(3000, 8)), rng.normal(size=(800, 8))
+    train = spark.createDataFrame([(i, p.tolist(), 0.0) for i, p in enumerate(points)], "train_key bigint, x array<double>, label double")
+    test = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(asked)], "test_key bigint, x array<double>")
+    got, blocks, _ = _blocks_compared(spark, monkeypatch, test, train, 3, pivots=16, block_rows=20)
+    assert blocks <= 2 * 16**2
+    dist = np.sqrt(((asked[:, None] - points[None]) ** 2).sum(-1))
+    assert got["train_key"].tolist() == np.argsort(dist, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_neighbors_of_repeated_keys_far_from_the_origin(spark):
+    rng = np.random.default_rng(6)
+    points = 1e6 + rng.normal(size=(500, 3))
+    train = spark.createDataFrame([(i // 2, p.tolist(), float(i)) for i, p in enumerate(points)], "train_key bigint, x array<double>, label double")
+    train = train.union(spark.createDataFrame([(1000, [float("nan"), 1.0, 2.0], 0.0)], train.schema))
+    test = spark.createDataFrame([(i // 2, p.tolist()) for i, p in enumerate(points[:20])], "test_key bigint, x array<double>")
+    got = nearest(test, train, 3, pivots=4, block_rows=40).toPandas().sort_values(["test_key", "rank"])
+    dist = np.sqrt(((points[:20, None] - points[None]) ** 2).sum(-1))
+    for key in range(10):
+        # both rows of a key are searched, and the nearest rows of both are ranked together
+        near = sorted((dist[i, j], j // 2, j) for i in (2 * key, 2 * key + 1) for j in range(500))[:3]
+        assert got[got.test_key == key]["distance"].tolist() == [d for d, _, _ in near]
+
+
+def test_groups_of_keys_keep_large_tables_exact(spark):
+    rng = np.random.default_rng(7)
+    points, asked = rng.normal(size=20_000), rng.normal(size=50)
+    train = spark.createDataFrame(pd.DataFrame({"train_key": np.arange(20_000), "x": [[v] for v in points], "label": points}), "train_key bigint, x array<double>, label double")
+    test = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(asked)], "test_key bigint, x array<double>")
+    got = nearest(test, train, 5).toPandas().sort_values(["test_key", "rank"])
+    want = np.argsort(np.abs(asked[:, None] - points[None]), axis=1, kind="stable")[:, :5]
+    assert got["train_key"].tolist() == want.ravel().tolist()
