@@ -1,7 +1,8 @@
 """Second-order gradient boosting and single trees on Spark: rows stay binned in blocks, histograms are summed by the executors.
 
 Every level of a tree is one job: tasks bring their rows' margins up to date, find the rows' nodes and send one row per (node, feature,
-bin) with sums, which Spark adds up. The driver sees these sums, at most nodes x features x bins, and picks splits. Where all rows fit
+bin) with sums, which Spark adds up. The driver sees these sums, at most nodes x features x bins, and picks splits. Rows whose features
+fall into the same bins stand in the same leaf of every tree, so they are kept as one row with a count. Where all of these fit
 one block, the task that holds it grows the round's trees by the same code, so that a round is one job.
 """
 
@@ -162,24 +163,47 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _blocks(rows: DataFrame, width: int, cuts: list[np.ndarray], count: int) -> DataFrame:
-    """(bins, y, key, margin): up to BLOCK_ROWS rows each, in order of their key."""
+def _blocks(rows: DataFrame, cuts: list[np.ndarray], task: _Task) -> tuple[DataFrame, int]:
+    """(bins, y, key, n, margin): up to BLOCK_ROWS rows each, in order of their key; and the number of rows in all blocks.
 
-    def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not table.num_rows:
-            return
-        x = _matrix(table["x"].combine_chunks(), width)
-        y, key = (table[c].to_numpy() for c in ("label", "row_key"))
-        bins, _ = to_bins(x, cuts)
-        for a in range(0, len(y), BLOCK_ROWS):
-            cut = slice(a, a + BLOCK_ROWS)
-            cells = [bins[cut].tobytes(), y[cut].astype(np.float64).tobytes(), key[cut].astype(np.int64).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["bins", "y", "key"])
+    Rows of the same bins, model and label (squared loss: its mean, as gradients are linear in it) are one row that counts n times.
+    One-side sampling draws single rows, so there every row stays.
+    """
+    width = task.width
 
+    def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins, _ = to_bins(_matrix(batch.column("x"), width), cuts)
+            cells = pa.Array.from_buffers(pa.binary(width * bins.itemsize), len(bins), [None, pa.py_buffer(bins.tobytes())]).cast(pa.binary())
+            key = batch.column("row_key").fill_null(np.iinfo(np.int64).min)
+            own = task.own_model(_Block(None, None, key.to_numpy(), None)) if task.settings.style == "ordered" else np.zeros(len(bins), np.int64)
+            yield pa.RecordBatch.from_arrays([cells, batch.column("label"), key, pa.array(own.astype(np.int64))], ["bins", "label", "row_key", "own"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pylist([], _BINNED)])
+        for a in range(0, table.num_rows, BLOCK_ROWS):
+            part = table.slice(a, BLOCK_ROWS)
+            cells = [b"".join(part["bins"].to_pylist()), *(part[c].to_numpy().astype(k).tobytes() for c, k in (("label", np.float64), ("row_key", np.int64), ("n", np.float64)))]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["bins", "y", "key", "n"])
+
+    binned = rows.mapInArrow(bin_rows, "bins binary, label double, row_key bigint, own bigint")
+    count = task.rows
+    if task.settings.top_rate is None:
+        same = ["bins", "own"] if task.loss == "squared" else ["bins", "own", "label"]
+        label = [F.avg("label").alias("label")] if task.loss == "squared" else []
+        # rows of one model have keys of that model, so the smallest key stands for all
+        binned = checkpointed(binned.groupBy(*same).agg(*label, F.min("row_key").alias("row_key"), F.count("*").alias("n")))
+        count = binned.count()
+    else:
+        binned = binned.withColumn("n", F.lit(1).cast("bigint"))
     parts = max(1, math.ceil(count / BLOCK_ROWS))
-    dealt = rows.repartition(parts, "row_key").sortWithinPartitions("row_key", "label")
-    return checkpointed(dealt.mapInArrow(lambda b: bin_rows(list(b)), "bins binary, y binary, key binary").withColumn("margin", F.lit(b"")))
+    dealt = binned.select("bins", "label", "row_key", "n").repartition(parts, "row_key").sortWithinPartitions("row_key", "label")
+    return checkpointed(dealt.mapInArrow(gather, "bins binary, y binary, key binary, n binary").withColumn("margin", F.lit(b""))), count
+
+
+_BINNED = pa.schema([("bins", pa.binary()), ("label", pa.float64()), ("row_key", pa.int64()), ("n", pa.int64())])
 
 
 @dataclass
@@ -188,6 +212,7 @@ class _Block:
     y: np.ndarray
     key: np.ndarray
     margin: np.ndarray
+    n: np.ndarray | float = 1.0  # how often each row counts
 
 
 @dataclass(frozen=True)
@@ -230,11 +255,12 @@ class _Task:
         leaf, number = tree.apply_bins(block.bins, self.missing), self.luck(block, 0)
         every = block.margin.reshape(len(leaf), outputs, self.models)
         sums = np.zeros((nodes, outputs, self.models, 2))
+        often = np.broadcast_to(block.n, len(leaf))
         for m, limit in enumerate(self.prefixes()):
             inside = number < limit
             for c, part in enumerate(gradients(every[inside, :, m], block.y[inside], self.loss)):
                 for k in range(outputs):
-                    sums[:, k, m, c] = np.bincount(leaf[inside], part[:, k], nodes)
+                    sums[:, k, m, c] = np.bincount(leaf[inside], part[:, k] * often[inside], nodes)
         return sums.reshape(-1, 2)
 
     def trees(self, grower: Grower, leaf_sums) -> list[Tree]:
@@ -252,7 +278,7 @@ class _Task:
         kind = np.uint8 if self.missing < 256 else np.uint16
         y = np.frombuffer(row["y"])
         margin = np.frombuffer(row["margin"]).reshape(len(y), -1).copy() if row["margin"] else np.tile(np.array(self.base), (len(y), 1))
-        return _Block(np.frombuffer(row["bins"], kind).reshape(len(y), self.width), y, np.frombuffer(row["key"], np.int64), margin)
+        return _Block(np.frombuffer(row["bins"], kind).reshape(len(y), self.width), y, np.frombuffer(row["key"], np.int64), margin, np.frombuffer(row["n"]))
 
     def advance(self, block: _Block, rounds: list[list[Tree]]) -> None:
         """Add the trees that are newer than the block's margins."""
@@ -261,11 +287,12 @@ class _Task:
                 block.margin[:, slice(None) if tree.value.shape[1] > 1 else slice(k, k + 1)] += tree.value[tree.apply_bins(block.bins, self.missing)]
 
     def channels(self, block: _Block, number: int, threshold: float) -> list[np.ndarray]:
-        """For each tree of the round: (rows, outputs + 2) with gradients, hessian and 1, zero for rows that sampling leaves out."""
+        """For each tree of the round: (rows, outputs + 2) with gradients, hessian and 1, each as often as the row counts; zero for rows that sampling leaves out."""
+        often = np.broadcast_to(block.n, len(block.y))[:, None]
         if self.settings.style == "ordered":
             every = block.margin.reshape(len(block.y), -1, self.models)
             g, h = gradients(every[np.arange(len(every)), :, self.own_model(block)], block.y, self.loss)
-            return [np.column_stack([g, h.mean(axis=1), np.ones(len(g))])]
+            return [np.column_stack([g, h.mean(axis=1), np.ones(len(g))]) * often]
         g, h = gradients(block.margin, block.y, self.loss)
         weight = np.ones(len(g))
         if self.settings.top_rate is not None:
@@ -275,8 +302,8 @@ class _Task:
             weight = np.where(size >= threshold, 1.0, np.where(luck < self.settings.other_rate / rest, rest / self.settings.other_rate, 0.0))
         used = (weight > 0).astype(np.float64)
         if self.settings.style == "single":
-            return [np.column_stack([g, h[:, :1], used])]
-        return [np.column_stack([g[:, k] * weight, h[:, k] * weight, used]) for k in range(g.shape[1])]
+            return [np.column_stack([g, h[:, :1], used]) * often]
+        return [np.column_stack([g[:, k] * weight, h[:, k] * weight, used]) * often for k in range(g.shape[1])]
 
 
 def _standing(nodes: dict, bins: np.ndarray, missing: int) -> np.ndarray:
@@ -333,9 +360,9 @@ def _bare(nodes: list[dict]) -> list[dict]:
 class _Run:
     """One training run over checkpointed blocks."""
 
-    def __init__(self, blocks: DataFrame, task: _Task, cuts: list[np.ndarray], trees: int):
+    def __init__(self, blocks: DataFrame, stored: int, task: _Task, cuts: list[np.ndarray], trees: int):
         self.blocks, self.task, self.cuts, self.trees = blocks, task, cuts, trees
-        self.single = task.rows <= BLOCK_ROWS
+        self.single = stored <= BLOCK_ROWS
         self.pending: list[list[Tree]] = []
         self.scanned = 0  # rows added to histograms, over all jobs
 
@@ -433,10 +460,10 @@ class _Run:
         if len(self.pending) >= KEEP_ROUNDS:
 
             def handle(block: _Block, row: dict) -> pa.RecordBatch:
-                cells = [row["bins"], row["y"], row["key"], block.margin.tobytes()]
-                return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["bins", "y", "key", "margin"])
+                cells = [row["bins"], row["y"], row["key"], row["n"], block.margin.tobytes()]
+                return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["bins", "y", "key", "n", "margin"])
 
-            self.blocks = checkpointed(self._map("bins binary, y binary, key binary, margin binary", handle))
+            self.blocks = checkpointed(self._map("bins binary, y binary, key binary, n binary, margin binary", handle))
             self.pending = []
 
 
@@ -468,7 +495,7 @@ class Booster:
         cuts = feature_cuts(rows, about.w, self.settings.bins)
         missing = to_bins(np.zeros((0, about.w)), cuts)[1]
         task = _Task(self.settings, loss, tuple(np.repeat(base, models).tolist()), about.w, missing, about.n, models)
-        run = _Run(_blocks(rows, about.w, cuts, about.n), task, cuts, len(base) if self.settings.style == "newton" else 1)
+        run = _Run(*_blocks(rows, cuts, task), task, cuts, len(base) if self.settings.style == "newton" else 1)
         rounds, wanted = [], 1 if self.settings.style == "single" else self.settings.rounds
         while len(rounds) < wanted:
             made = run.rounds(len(rounds), min(KEEP_ROUNDS, wanted - len(rounds)))

@@ -1,5 +1,7 @@
 """Histogram trees and boosting against plain versions that loop over rows."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -244,3 +246,28 @@ def test_sketches_keep_ranks_within_their_error():
     assert few.cuts().tolist() == [1.5, 3.5] and Sketch().cuts().tolist() == []
     bins, missing = trees.to_bins(np.array([[1.0], [1.5], [1.6], [9.0], [np.nan]]), [few.cuts()])
     assert bins[:, 0].tolist() == [0, 0, 1, 2, missing] and missing == 4
+
+
+@pytest.mark.parametrize("style", ["newton", "ordered", "single"])
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_rows_of_the_same_bins_are_kept_once(frame, monkeypatch, style, classes):
+    x, y = data(600, classes=classes)
+    x = np.round(x[:, :2])  # a few dozen different rows
+    growth = Growth(3, ridge=3.0, least_rows=0, oblivious=True) if style == "ordered" else Growth(3, ridge=1.0, least_split=10)
+    settings = Boosting(style, 4, 0.3, growth)
+    problem = "classification" if classes else "regression"
+    stored = []
+
+    class Seen(boosting._Run):
+        def __init__(self, blocks, *more):
+            stored.append(sum(len(r.y) // 8 for r in blocks.select("y").collect()))
+            super().__init__(blocks, *more)
+
+    monkeypatch.setattr(boosting, "_Run", Seen)
+    few = Booster(problem, classes, settings).fit(frame(x, y))
+    assert stored[0] < 600
+    # sampling that takes every row keeps all rows apart
+    apart = Booster(problem, classes, replace(settings, top_rate=1 - 1e-9)).fit(frame(x, y))
+    assert stored[1] == 600 and np.allclose(apart.margins(x), few.margins(x), atol=1e-9)
+    for one, other in zip(few.rounds, apart.rounds, strict=True):
+        assert [t.cover.tolist() for t in one] == [t.cover.tolist() for t in other]
