@@ -35,6 +35,8 @@ from lodestat.ml.trees import Growth
 from lodestat.operators.neighbors import mean_label, nearest, vote
 
 SEED = 42
+#: Training rows of one partition: a few hundred numbers a row, as the kernel machines and forests keep, stay below 100 MB in a task.
+PARTITION_ROWS = 1 << 15
 CLASSIFIERS = [
     "logistic", "svc", "knn", "naive_bayes", "random_forest", "decision_tree", "xgboost", "lightgbm", "gradient_boosting",
 ]
@@ -76,6 +78,18 @@ def training_facts(train: DataFrame, problem: str) -> TrainingFacts:
     return TrainingFacts(row["n"], width["w"] if width else 0, classes, row["s"] or 1.0)
 
 
+def spread(train: DataFrame, rows: int, key: str = "row_key") -> DataFrame:
+    """The training rows in partitions of about PARTITION_ROWS rows, in an order that every retry repeats.
+
+    A small file is read by few tasks, and a trainer keeps far more bytes a row than the file has. Vectors are part of the hash, as
+    keys may repeat or be missing.
+    """
+    parts = -(-rows // PARTITION_ROWS)
+    if parts <= 1:
+        return train
+    return train.repartition(parts, key, "label", vector_to_array("features")).sortWithinPartitions(key, "label")
+
+
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
     """Random cosine features whose dot products approximate an RBF kernel (Rahimi and Recht 2007)."""
 

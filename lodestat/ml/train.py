@@ -9,6 +9,7 @@ import statistics
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.ml import Estimator
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestat.errors import NoModelTrained
 from lodestat.functions.columns import named, present
-from lodestat.ml.models import CLASSIFIERS, ENGINES, REGRESSORS, TITLES, build, training_facts
+from lodestat.ml.models import CLASSIFIERS, ENGINES, REGRESSORS, TITLES, build, spread, training_facts
 from lodestat.ml.prepare import FOLDS, FeatureModel, fit_features, model_inputs, model_table, problem_type, split, target_stage, with_folds
 from lodestat.operators import evaluate
 from lodestat.sources.sinks import EXPERIMENT
@@ -174,7 +175,10 @@ def prepare_rows(df: DataFrame, target: str, keys: list[str], test_size: float =
 def fit(df: DataFrame, target: str, keys: list[str], name: str, test_size: float = 0.2, rules: str = "trainer", problem: str | None = None, **settings) -> tuple[TrainedModel, Prepared]:
     """Fit one named model on the training part; returns it with the prepared tables."""
     ready = prepare_rows(df, target, keys, test_size, rules, problem)
-    model = build(name, ready.problem, training_facts(ready.train, ready.problem), **settings).fit(ready.train)
+    facts = training_facts(ready.train, ready.problem)
+    estimator = build(name, ready.problem, facts, **settings)
+    # MLlib's estimators train on the partitions they get; the others deal their rows themselves
+    model = estimator.fit(spread(ready.train, facts.rows) if isinstance(estimator, Estimator) else ready.train)
     return ready.trained(name, TITLES.get(name, name), model, settings), ready
 
 
@@ -200,7 +204,7 @@ def train_all(
     ready = prepare_rows(df, target, keys, test_size, rules)
     problem = ready.problem
     stratify = "label" if problem == "classification" else None
-    train = with_folds(ready.train, folds, ["row_key"], stratify, seed="folds").persist()
+    train = spread(with_folds(ready.train, folds, ["row_key"], stratify, seed="folds"), ready.train.count()).persist()
     test = ready.test.persist()
     try:
         return _train_each(df.sparkSession, ready, train, test, target, models, folds, tuning, rules, settings)

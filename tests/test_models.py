@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from lodestat import errors
@@ -217,3 +219,20 @@ def test_json_arrays_grow_in_number_not_in_length(spark, tmp_path, monkeypatch):
     assert got.select("p_partkey").distinct().count() == got.count() == 10_000
     files = spark.read.text(path, wholetext=True).selectExpr("json_array_length(value) AS n")
     assert files.count() == 101 and files.agg(F.max("n")).first()[0] == 100
+
+
+@pytest.mark.parametrize("name", ["svr", "random_forest"])
+def test_training_rows_are_spread_over_partitions(spark, monkeypatch, name):
+    monkeypatch.setattr(models, "PARTITION_ROWS", 50)
+    df = spark.range(500).coalesce(1).selectExpr("IF(id % 4 = 0, NULL, id) AS id", "double(id % 8) AS f", "double(id % 8 * 10) AS y")
+    estimator, seen = RandomForestRegressor if name == "random_forest" else Pipeline, []
+    inner = estimator.fit
+
+    def fit(self, rows, *more):
+        seen.append([len(p) for p in rows.rdd.glom().collect()])
+        return inner(self, rows, *more)
+
+    monkeypatch.setattr(estimator, "fit", fit)
+    _, ready = train.fit(df, "y", ["id"], name, problem="regression", **({"n_estimators": 3} if name == "random_forest" else {}))
+    dealt = seen[-1]
+    assert len(dealt) == -(-ready.train.count() // 50) and sum(dealt) == ready.train.count()
