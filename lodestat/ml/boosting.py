@@ -32,13 +32,15 @@ PREFIXES = 16
 #: Rows of one block, points of one feature's sketch, groups in which sketches are merged before the last merge, rounds between two writes of
 #: the margins.
 BLOCK_ROWS, SKETCH_SIZE, SKETCH_GROUPS, KEEP_ROUNDS = 1 << 16, 4096, 64, 20
+#: Styles that grow a tree for each output.
+_MANY_TREES = ("newton", "gradient")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Boosting:
-    """Settings of one training run. ``style``: newton (depth- or leaf-wise trees), ordered (oblivious trees, ordered boosting), single
-    (one tree whose leaves hold means or class shares)."""
+    """Settings of one training run. ``style``: newton (depth- or leaf-wise trees), ordered (oblivious trees, ordered boosting), gradient
+    (first-order trees, as MLlib's), single (one tree whose leaves hold means or class shares)."""
 
     style: str = "newton"
     rounds: int = 100
@@ -54,6 +56,9 @@ def gradients(margin: np.ndarray, y: np.ndarray, loss: str) -> tuple[np.ndarray,
     """(first, second) derivatives of the loss by each margin, (rows, outputs)."""
     if loss == "squared":
         return margin - y[:, None], np.ones_like(margin)
+    if loss == "rest":  # each class against the rest
+        p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+        return p - (y[:, None] == np.arange(margin.shape[1])), np.ones_like(margin)
     if loss == "shares":  # one output for each class; a leaf's value becomes the share of each class
         return margin - (y[:, None] == np.arange(margin.shape[1])), np.ones_like(margin)
     p = probabilities(margin)
@@ -88,6 +93,9 @@ class BoostedModel:
     def outputs(self, x: np.ndarray) -> np.ndarray:
         """Class probabilities, or predictions in one column."""
         margin = self.margins(x)
+        if self.loss == "rest":  # logistic values of half the margins, made to sum to 1
+            each = 1 / (1 + np.exp(-np.clip(margin / 2, -500, 500)))
+            return each / each.sum(axis=1, keepdims=True)
         return margin if self.loss in ("squared", "shares") else probabilities(margin)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -263,9 +271,17 @@ class _Task:
                     sums[:, k, m, c] = np.bincount(leaf[inside], part[:, k] * often[inside], nodes)
         return sums.reshape(-1, 2)
 
-    def trees(self, grower: Grower, leaf_sums) -> list[Tree]:
+    def rate(self, number: int) -> float:
+        """What a leaf's mean gradient is multiplied by in round ``number``. MLlib's gradients are twice these (half log-odds: four times
+        these, and the margin twice the sum of its trees); its first tree is fitted to the labels, or -1 and 1, and counts in full."""
+        if self.settings.style == "gradient":
+            first, later = (1.0, 2.0) if self.loss == "squared" else (4.0, 8.0)
+            return later * self.settings.rate if number else first
+        return 1.0 if self.settings.style == "single" else self.settings.rate
+
+    def trees(self, grower: Grower, leaf_sums, number: int) -> list[Tree]:
         """The finished trees of a round; those of ordered boosting hold the leaf values of every model."""
-        rate = 1.0 if self.settings.style == "single" else self.settings.rate
+        rate = self.rate(number)
         made = [grower.tree(t, rate) for t in range(grower.count)]
         if self.settings.style != "ordered":
             return made
@@ -294,6 +310,8 @@ class _Task:
             g, h = gradients(every[np.arange(len(every)), :, self.own_model(block)], block.y, self.loss)
             return [np.column_stack([g, h.mean(axis=1), np.ones(len(g))]) * often]
         g, h = gradients(block.margin, block.y, self.loss)
+        if self.settings.style == "gradient":
+            h = np.ones_like(g)
         weight = np.ones(len(g))
         if self.settings.top_rate is not None:
             size = np.abs(g).sum(axis=1)
@@ -408,7 +426,7 @@ class _Run:
                 at = np.flatnonzero(flat.any(axis=1))
                 return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(flat[at, c].copy()) for c in range(flat.shape[1]))], ["slot", *(f"c{c}" for c in range(flat.shape[1]))])
 
-            outputs = len(task.base) // task.models if task.settings.style != "newton" else 1
+            outputs = len(task.base) // task.models if task.settings.style not in _MANY_TREES else 1
             names = [f"c{c}" for c in range(outputs + 2)]
             sent = self._map("slot long, " + ", ".join(f"{c} double" for c in names), handle)
             table = sent.groupBy("slot").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
@@ -426,14 +444,14 @@ class _Run:
         if not self.single:
             grower = Grower(trees, task.settings.growth, cuts)
             grower.grow(self._histograms(first, self._threshold()))
-            return [task.trees(grower, self._leaf_sums)]
+            return [task.trees(grower, self._leaf_sums, first)]
 
         def handle(block: _Block, row: dict) -> pa.RecordBatch:
             made = []
             for number in range(first, first + count):
                 own = Grower(trees, task.settings.growth, cuts)
                 own.grow(_local(block, task.channels(block, number, task.threshold(_size_counts(block, task.loss))), task.missing))
-                made.append(task.trees(own, lambda tree: task.leaf_sums(block, tree)))
+                made.append(task.trees(own, lambda tree: task.leaf_sums(block, tree), number))
                 if idle(made[-1]):
                     break
                 task.advance(block, made[-1:])
@@ -471,10 +489,10 @@ def start(rows: DataFrame, classes: int, settings: Boosting) -> tuple[list[float
     """(first margin of each output, loss)."""
     if not classes:
         mean = rows.agg(F.avg("label")).first()[0] or 0.0
-        return [0.0 if settings.style == "single" else float(mean)], "squared"
+        return [0.0 if settings.style in ("single", "gradient") else float(mean)], "squared"
     if settings.style == "single":
         return [0.0] * classes, "shares"
-    return ([0.0], "logistic") if classes <= 2 else ([0.0] * classes, "softmax")
+    return ([0.0], "logistic") if classes <= 2 else ([0.0] * classes, "rest" if settings.style == "gradient" else "softmax")
 
 
 class Booster:
@@ -495,7 +513,7 @@ class Booster:
         cuts = feature_cuts(rows, about.w, self.settings.bins)
         missing = to_bins(np.zeros((0, about.w)), cuts)[1]
         task = _Task(self.settings, loss, tuple(np.repeat(base, models).tolist()), about.w, missing, about.n, models)
-        run = _Run(*_blocks(rows, cuts, task), task, cuts, len(base) if self.settings.style == "newton" else 1)
+        run = _Run(*_blocks(rows, cuts, task), task, cuts, len(base) if self.settings.style in _MANY_TREES else 1)
         rounds, wanted = [], 1 if self.settings.style == "single" else self.settings.rounds
         while len(rounds) < wanted:
             made = run.rounds(len(rounds), min(KEEP_ROUNDS, wanted - len(rounds)))

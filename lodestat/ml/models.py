@@ -8,33 +8,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestat.errors import UnknownOperation
 from lodestat.ml.boosting import Booster, Boosting
+from lodestat.ml.margins import SEED, MarginMachine, RandomFourierFeatures
 from lodestat.ml.trees import Growth
 from lodestat.operators.neighbors import mean_label, nearest, vote
 
-SEED = 42
 #: Training rows of one partition: a few hundred numbers a row, as the kernel machines and forests keep, stay below 100 MB in a task.
 PARTITION_ROWS = 1 << 15
 CLASSIFIERS = [
@@ -53,7 +45,7 @@ TITLES = {
 }
 # what trains a model whose title names a library that is not Spark-native
 ENGINES = {
-    "gradient_boosting": "MLlib gradient-boosted trees",
+    "gradient_boosting": "first-order boosting of histogram trees with MLlib's steps (lodestat.ml.boosting)",
     "xgboost": "second-order boosting of depth-wise histogram trees (lodestat.ml.boosting)",
     "lightgbm": "second-order boosting of leaf-wise histogram trees (lodestat.ml.boosting)",
     "catboost": "ordered boosting of oblivious histogram trees (lodestat.ml.boosting)",
@@ -71,54 +63,24 @@ class TrainingFacts:
 
 
 def training_facts(train: DataFrame, problem: str) -> TrainingFacts:
-    """One pass for rows and label spread; class and feature counts come from column metadata where set."""
-    row = train.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s"), F.max("label").alias("m")).first()
-    width = train.select(F.size(vector_to_array("features")).alias("w")).first()
+    """One pass for rows, label spread, classes and features."""
+    width = F.max(F.size(vector_to_array("features")))
+    row = train.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s"), F.max("label").alias("m"), width.alias("w")).first()
     classes = int(row["m"]) + 1 if problem == "classification" and row["m"] is not None else 0
-    return TrainingFacts(row["n"], width["w"] if width else 0, classes, row["s"] or 1.0)
+    return TrainingFacts(row["n"], row["w"] or 0, classes, row["s"] or 1.0)
 
 
 def spread(train: DataFrame, rows: int, key: str = "row_key") -> DataFrame:
     """The training rows in partitions of about PARTITION_ROWS rows, in an order that every retry repeats.
 
-    A small file is read by few tasks, and a trainer keeps far more bytes a row than the file has. Vectors are part of the hash, as
-    keys may repeat or be missing.
+    A small file is read by few tasks, and a trainer keeps far more bytes a row than the file has. A few rows that come out of a shuffle
+    stand in hundreds of partitions, of which each of a trainer's many jobs makes tasks. Vectors are part of the hash, as keys may repeat
+    or be missing.
     """
-    parts = -(-rows // PARTITION_ROWS)
-    if parts <= 1:
-        return train
+    parts = max(1, -(-rows // PARTITION_ROWS))
     return train.repartition(parts, key, "label", vector_to_array("features")).sortWithinPartitions(key, "label")
 
 
-class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """Random cosine features whose dot products approximate an RBF kernel (Rahimi and Recht 2007)."""
-
-    width = Param(Params._dummy(), "width", "number of input features", TypeConverters.toInt)
-    size = Param(Params._dummy(), "size", "number of random features", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel coefficient", TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, inputCol="features", outputCol="rff", width=1, size=256, gamma=1.0, seed=SEED):
-        super().__init__()
-        self._setDefault(inputCol="features", outputCol="rff", width=1, size=256, gamma=1.0, seed=SEED)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        rng = np.random.default_rng(self.getSeed())
-        n, d = self.getOrDefault(self.size), self.getOrDefault(self.width)
-        weights = rng.normal(0, np.sqrt(2 * self.getOrDefault(self.gamma)), (d, n))
-        shift = rng.uniform(0, 2 * np.pi, n)
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def project(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return x
-            return pd.Series(list(np.sqrt(2 / n) * np.cos(np.stack(x.to_numpy()) @ weights + shift)))
-
-        made = array_to_vector(project(vector_to_array(self.getInputCol())))
-        return dataset.withColumn(self.getOutputCol(), made)
-
-
 class KnnModel:
     """Keeps the training rows; prediction is a distributed exact k-nearest-neighbour join."""
 
@@ -149,7 +111,7 @@ def ridge_strength(alpha: float, facts: TrainingFacts) -> float:
     return alpha / facts.rows * facts.label_std
 
 
-def build(name: str, problem: str, facts: TrainingFacts, key: str = "row_key", **given) -> Estimator | Knn | Booster:
+def build(name: str, problem: str, facts: TrainingFacts, key: str = "row_key", **given) -> Estimator | Knn | Booster | MarginMachine:
     """An unfitted estimator for ``name``; ``given`` overrides single settings (as in tuning)."""
     if name == "auto":
         name = "logistic" if problem == "classification" else "linear"
@@ -161,7 +123,7 @@ def build(name: str, problem: str, facts: TrainingFacts, key: str = "row_key", *
     return maker(name, facts, key, dict(given))
 
 
-def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn | Booster:
+def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn | Booster | MarginMachine:
     binary = facts.classes <= 2
     if name == "logistic":
         return LogisticRegression(maxIter=p.get("max_iter", 1000), regParam=1 / (p.get("C", 1.0) * facts.rows), standardization=False)
@@ -171,8 +133,10 @@ def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator
         return Knn("classification", p.get("n_neighbors", 5), p.get("weights", "uniform"), key)
     if name == "svc":
         kernel = _rbf(facts, p)
+        if binary:
+            return MarginMachine(kernel, 1 / (p.get("C", 1.0) * facts.rows))
         svm = LinearSVC(featuresCol=_kernel_col(kernel), regParam=1 / (p.get("C", 1.0) * facts.rows), maxIter=100)
-        machine = svm if binary else OneVsRest(classifier=svm, featuresCol=_kernel_col(kernel), parallelism=4)
+        machine = OneVsRest(classifier=svm, featuresCol=_kernel_col(kernel), parallelism=4)
         # probabilities from a logistic fit on the margins
         platt = LogisticRegression(
             featuresCol="rawPrediction", predictionCol="platt_prediction", rawPredictionCol="platt_raw", probabilityCol="probability"
@@ -185,14 +149,13 @@ def _classifier(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator
             numTrees=p.get("n_estimators", 100), maxDepth=_depth(p, 15), minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=SEED
         )
     if name == "gradient_boosting":
-        gbt = GBTClassifier(**_boosting(p))
-        return gbt if binary else OneVsRest(classifier=gbt, parallelism=4)
+        return _gradient_boosting("classification", facts, key, p)
     if name in ENGINES:
         return _histogram_boosting(name, "classification", facts, key, p)
     raise UnknownOperation(f"{name} is not a classifier")
 
 
-def _regressor(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn | Booster:
+def _regressor(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator | Knn | Booster | MarginMachine:
     alpha = p.get("alpha", 1.0)
     if name == "linear":
         return LinearRegression(regParam=0.0, solver="normal")
@@ -219,7 +182,7 @@ def _regressor(name: str, facts: TrainingFacts, key: str, p: dict) -> Estimator
             numTrees=p.get("n_estimators", 100), maxDepth=_depth(p, 15), minInstancesPerNode=2, featureSubsetStrategy="all", seed=SEED
         )
     if name == "gradient_boosting":
-        return GBTRegressor(**_boosting(p))
+        return _gradient_boosting("regression", facts, key, p)
     if name in ENGINES:
         return _histogram_boosting(name, "regression", facts, key, p)
     raise UnknownOperation(f"{name} is not a regressor")
@@ -230,8 +193,10 @@ def _depth(p: dict, default: int) -> int:
     return 30 if depth is None else depth  # 30 is MLlib's deepest tree
 
 
-def _boosting(p: dict) -> dict:
-    return {"maxIter": p.get("n_estimators", 100), "maxDepth": _depth(p, 6), "stepSize": p.get("learning_rate", 0.1), "seed": SEED}
+def _gradient_boosting(problem: str, facts: TrainingFacts, key: str, p: dict) -> Booster:
+    """First-order trees with the steps of MLlib's gradient-boosted trees; several classes one against the rest."""
+    growth = Growth(_depth(p, 6), ridge=0.0)
+    return Booster(problem, facts.classes, Boosting("gradient", p.get("n_estimators", 100), p.get("learning_rate", 0.1), growth, seed=SEED), key)
 
 
 def _single_tree(problem: str, facts: TrainingFacts, key: str, p: dict) -> Booster:

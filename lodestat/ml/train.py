@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 
 from lodestat.errors import NoModelTrained
 from lodestat.functions.columns import named, present
-from lodestat.ml.models import CLASSIFIERS, ENGINES, REGRESSORS, TITLES, build, spread, training_facts
+from lodestat.ml.margins import MarginMachine
+from lodestat.ml.models import CLASSIFIERS, ENGINES, PARTITION_ROWS, REGRESSORS, TITLES, build, spread, training_facts
 from lodestat.ml.prepare import FOLDS, FeatureModel, fit_features, model_inputs, model_table, problem_type, split, target_stage, with_folds
 from lodestat.operators import evaluate
 from lodestat.sources.sinks import EXPERIMENT
 
 LOG = logging.getLogger(__name__)
 SEARCH_SIZE = 8
+#: Models of one run that are trained at the same time; each has up to five fits in flight.
+MODELS_AT_ONCE = 3
 # The settings tried by the random search.
 GRIDS = {
     "logistic": {"C": [0.01, 0.1, 1, 10]},
@@ -97,8 +100,18 @@ def score_metrics(scored: DataFrame, problem: str, average: str = "auto") -> dic
     """Test metrics of a scored table, from a few grouped counts."""
     if problem == "regression":
         return evaluate.regression_metrics(scored).first().asDict()
-    pairs = scored.select(F.col("label").cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"))
-    return {**evaluate.accuracy(pairs).first().asDict(), **evaluate.prf(pairs, average).first().asDict()}
+    return {**evaluate.accuracy(_pairs(scored)).first().asDict(), **evaluate.prf(_pairs(scored), average).first().asDict()}
+
+
+def main_score(scored: DataFrame, problem: str) -> float:
+    """The test metric that ranks models, in one pass."""
+    if problem == "regression":
+        return score_metrics(scored, problem)[_main(problem)[0]]
+    return evaluate.accuracy(_pairs(scored)).first()["accuracy"]
+
+
+def _pairs(scored: DataFrame) -> DataFrame:
+    return scored.select(F.col("label").cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"))
 
 
 def _main(problem: str) -> tuple[str, str]:
@@ -115,7 +128,7 @@ def cross_validate(name: str, prepared: DataFrame, problem: str, k: int = FOLDS,
     def one(fold: int) -> float:
         train = prepared.where(F.col("fold") != fold)
         model = build(name, problem, training_facts(train, problem), key, **settings).fit(train)
-        return score_metrics(model.transform(prepared.where(F.col("fold") == fold)), problem)[_main(problem)[0]]
+        return main_score(model.transform(prepared.where(F.col("fold") == fold)), problem)
 
     with ThreadPoolExecutor(parallelism) as pool:
         scores = list(pool.map(one, range(k)))
@@ -177,8 +190,8 @@ def fit(df: DataFrame, target: str, keys: list[str], name: str, test_size: float
     ready = prepare_rows(df, target, keys, test_size, rules, problem)
     facts = training_facts(ready.train, ready.problem)
     estimator = build(name, ready.problem, facts, **settings)
-    # MLlib's estimators train on the partitions they get; the others deal their rows themselves
-    model = estimator.fit(spread(ready.train, facts.rows) if isinstance(estimator, Estimator) else ready.train)
+    # MLlib's estimators and the kernel machine train on the partitions they get; the others deal their rows themselves
+    model = estimator.fit(spread(ready.train, facts.rows) if isinstance(estimator, Estimator | MarginMachine) and facts.rows > PARTITION_ROWS else ready.train)
     return ready.trained(name, TITLES.get(name, name), model, settings), ready
 
 
@@ -220,36 +233,52 @@ def _train_each(spark, ready: Prepared, train: DataFrame, test: DataFrame, targe
     every = CLASSIFIERS if problem == "classification" else REGRESSORS
     wanted = models or (["random_forest", linear] if rules == "quick" else every)
     short, metric = _main(problem)
-    results, fitted, failed = [], {}, {}
-    for name in wanted:
+
+    def last(name: str, chosen: dict) -> tuple[object, dict]:
+        model = build(name, problem, facts, **chosen).fit(train)
+        scored = model.transform(test)
+        margin = positive_score(scored) if problem == "classification" and facts.classes == 2 else None
+        # one pass of the model serves all metrics
+        scored = scored.select("label", "prediction", *([] if margin is None else [margin.alias("score")])).persist()
+        try:
+            found = score_metrics(scored, problem, "weighted" if rules == "quick" else "auto")
+            if margin is not None:
+                found["auc"] = evaluate.auc(scored.select("label", "score")).first()["auc"]
+            elif problem == "classification" and rules == "quick":
+                found["auc"] = 0.0
+        finally:
+            scored.unpersist()
+        return model, found
+
+    def one(name: str) -> tuple[str, dict, object, str, dict]:
         name = {"auto": linear}.get(name, name)
         chosen = (settings or {}).get(name, {"max_depth": None} if rules == "quick" and name == "random_forest" else {})
+        title, searched = TITLES.get(name, name), False
         try:
-            title, searched = TITLES.get(name, name), False
             if tuning and name in GRIDS:
                 try:
                     chosen, cv, cv_std = tune(name, train, problem, folds)
                     title, searched = title + " (Tuned)", True
                 except Exception as error:  # the untuned model is trained instead
                     LOG.warning("search for %s failed: %s", name, error)
-            if not searched:
-                cv, cv_std = cross_validate(name, train, problem, folds, **chosen)
-            model = build(name, problem, facts, **chosen).fit(train)
-            scored = model.transform(test)
-            found = score_metrics(scored, problem, "weighted" if rules == "quick" else "auto")
-            if problem == "classification" and facts.classes == 2 and positive_score(scored) is not None:
-                curve = scored.select(F.col("label"), positive_score(scored).alias("score"))
-                found["auc"] = evaluate.auc(curve).first()["auc"]
-            elif problem == "classification" and rules == "quick":
-                found["auc"] = 0.0
+            with ThreadPoolExecutor(1) as pool:
+                fit = pool.submit(last, name, chosen)  # beside the folds
+                if not searched:
+                    cv, cv_std = cross_validate(name, train, problem, folds, **chosen)
+                model, found = fit.result()
         except Exception as error:  # one broken model must not lose the others
             LOG.warning("model %s failed: %s", name, error)
-            failed[name] = f"{type(error).__name__}: {error}"[:500]
-            continue
+            return name, chosen, None, title, {"error": f"{type(error).__name__}: {error}"[:500]}
         if name in ENGINES:
             found["engine"] = ENGINES[name]
-        results.append({"name": name, "model_name": title, "metric": metric, "test_score": found[short], "cv_score": cv, "cv_std": cv_std, **found})
-        fitted[name] = ready.trained(name, title, model, chosen)
+        return name, chosen, model, title, {"name": name, "model_name": title, "metric": metric, "test_score": found[short], "cv_score": cv, "cv_std": cv_std, **found}
+
+    # a small table leaves most cores idle in a fit, so some models are trained side by side
+    with ThreadPoolExecutor(MODELS_AT_ONCE) as pool:
+        made = list(pool.map(one, wanted))
+    results = [found for *_, model, _, found in made if model is not None]
+    fitted = {name: ready.trained(name, title, model, chosen) for name, chosen, model, title, _ in made if model is not None}
+    failed = {name: found["error"] for name, _, model, _, found in made if model is None}
     if not results:
         raise NoModelTrained(f"none of {wanted} could be trained: {failed}")
     results.sort(key=lambda r: (-r["test_score"], r["model_name"]))

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from lodestat import errors
-from lodestat.ml import explain, models, train
+from lodestat.ml import explain, margins, models, train
 from lodestat.plans.recipe import fit_recipe
 from lodestat.sources import readers, sinks
 from lodestat.sources.readers import read_table
@@ -236,3 +237,72 @@ def test_training_rows_are_spread_over_partitions(spark, monkeypatch, name):
     _, ready = train.fit(df, "y", ["id"], name, problem="regression", **({"n_estimators": 3} if name == "random_forest" else {}))
     dealt = seen[-1]
     assert len(dealt) == -(-ready.train.count() // 50) and sum(dealt) == ready.train.count()
+
+
+@pytest.fixture(scope="module")
+def noisy_rows(spark):
+    """Prepared rows of two classes that no model parts: few values, so that histograms of any kind have the same bins."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 12, (600, 2)).astype(float)
+    y = (x[:, 0] + 3 * np.sin(x[:, 1]) + rng.normal(0, 2, 600) > 5).astype(int)
+    rows = [(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    return train.prepare_rows(spark.createDataFrame(rows, "id bigint, a double, b double, y int"), "y", ["id"]).train.persist()
+
+
+def test_small_tables_train_in_few_jobs_on_few_partitions(spark, noisy_rows):
+    dealt = models.spread(noisy_rows.repartition(50), noisy_rows.count())
+    assert dealt.rdd.getNumPartitions() == 1 and sorted(dealt.collect()) == sorted(noisy_rows.collect())
+    facts = models.training_facts(dealt, "classification")
+    for name in ("svc", "gradient_boosting"):
+        spark.sparkContext.setJobGroup(f"jobs of {name}", name)
+        try:
+            models.build(name, "classification", facts).fit(dealt)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"jobs of {name}")) < 60
+
+
+def test_gradient_boosting_takes_the_steps_of_mllib(noisy_rows):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    facts = models.training_facts(noisy_rows, "classification")
+    for problem, theirs, output in [
+        ("classification", GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1), lambda t: F.get(vector_to_array("probability"), F.lit(1))),
+        ("regression", GBTRegressor(maxIter=8, maxDepth=3, stepSize=0.1), lambda t: F.col("prediction")),
+    ]:
+        ours = models.build("gradient_boosting", problem, facts, n_estimators=8, max_depth=3)
+        a, b = ([r.v for r in e.fit(noisy_rows).transform(noisy_rows).orderBy("row_key").select(output(e).alias("v")).collect()] for e in (ours, theirs))
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_kernel_machine_finds_the_least_hinge_loss(noisy_rows):
+    from pyspark.ml.classification import LinearSVC
+
+    strength = 1 / noisy_rows.count()
+    found = margins.MarginMachine([], strength).fit(noisy_rows)
+    # the same steps as jobs over several partitions
+    spread_out = margins.MarginMachine([], strength).fit(noisy_rows.repartition(12, "row_key"))
+    theirs = LinearSVC(regParam=strength, maxIter=30).fit(noisy_rows)
+
+    def cost(model, weights):
+        table = model.transform(noisy_rows).select("label", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("m"))
+        # features have deviation 1
+        return table.agg(F.avg(F.greatest(F.lit(0.0), 1 - (2 * F.col("label") - 1) * F.col("m")))).first()[0] + strength / 2 * sum(w * w for w in weights)
+
+    ours = found.stages[-1]
+    assert cost(found, ours.getOrDefault("weights")) <= cost(theirs, theirs.coefficients) + 0.005
+    assert np.allclose(ours.getOrDefault("weights"), spread_out.stages[-1].getOrDefault("weights"), atol=1e-6)
+    shares = found.transform(noisy_rows).agg(F.avg("label"), F.avg(F.get(vector_to_array("probability"), F.lit(1)))).first()
+    assert abs(shares[0] - shares[1]) < 1e-3  # the logistic fit is calibrated
+
+
+def test_a_saved_kernel_machine_scores_the_same(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), "in" if a * a + b * b < 1.2 else "out") for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, side string")
+    model, _ = train.fit(df, "side", ["id"], "svc")
+    sinks.save_trained(model, str(tmp_path / "svc"))
+    again = sinks.load_trained(str(tmp_path / "svc"))
+    a, b = (sorted(train.score(m, df, ["id"]).select("id", "prediction", "prediction_confidence").collect()) for m in (model, again))
+    assert a == b
