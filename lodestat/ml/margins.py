@@ -2,7 +2,7 @@
 
 Both fits are Newton steps. A step is one job: tasks make the features of their rows a batch at a time and send sums (loss, gradient,
 matrix of second derivatives), which Spark adds up in groups; the driver sees a few matrices of the features' size, however many rows
-there are. Rows that stand in one partition take all steps in the task that holds them, by the same code. The hinge has no second derivative, so its corner is rounded by a parabola that narrows from step to step (Chapelle,
+there are. Up to TASK_ROWS rows take all steps in one task, by the same code. The hinge has no second derivative, so its corner is rounded by a parabola that narrows from step to step (Chapelle,
 "Training a Support Vector Machine in the Primal", 2007).
 """
 
@@ -161,7 +161,7 @@ class _Rows:
 
     def solved(self, solve: Callable[[Callable[[Sums, int], np.ndarray]], np.ndarray]) -> np.ndarray:
         """What ``solve`` makes of a function that sums over all rows: a job each time, or one job where one task has all rows."""
-        if self.parts > 1 or self.n > TASK_ROWS:
+        if self.n > TASK_ROWS:
             return solve(self.summed)
         width = self.width
 
@@ -230,8 +230,8 @@ class MarginMachine:
         if not about.n:
             raise LodestatError("no rows to train on")
         n, width, kernel, ridge = about.n, about.w, self.kernel, self.ridge
-        # partitions without rows are left out
-        rows = _Rows(table.coalesce(1) if about.parts == 1 else table, n, width, about.parts)
+        few = n <= TASK_ROWS
+        rows = _Rows(table.coalesce(1) if few else table, n, width, 1 if few else about.parts)
         raw = kernel[0].projection() if kernel else lambda x: x
         size = raw(np.zeros((1, width))).shape[1]
 

@@ -276,14 +276,15 @@ def test_gradient_boosting_takes_the_steps_of_mllib(noisy_rows):
         assert np.allclose(a, b, atol=1e-9)
 
 
-def test_kernel_machine_finds_the_least_hinge_loss(noisy_rows):
+def test_kernel_machine_finds_the_least_hinge_loss(noisy_rows, monkeypatch):
     from pyspark.ml.classification import LinearSVC
 
     strength = 1 / noisy_rows.count()
     found = margins.MarginMachine([], strength).fit(noisy_rows)
+    theirs = LinearSVC(regParam=strength, maxIter=30).fit(noisy_rows.coalesce(1))
     # the same steps as jobs over several partitions
-    spread_out = margins.MarginMachine([], strength).fit(noisy_rows.repartition(12, "row_key"))
-    theirs = LinearSVC(regParam=strength, maxIter=30).fit(noisy_rows)
+    monkeypatch.setattr(margins, "TASK_ROWS", 0)
+    spread_out = margins.MarginMachine([], strength).fit(noisy_rows.repartition(2, "row_key"))
 
     def cost(model, weights):
         table = model.transform(noisy_rows).select("label", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("m"))
